@@ -128,6 +128,11 @@ def pad_right(ids: Column, fill: Column | int, width: Column | int) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(fill, missing)), F.lit(1), width)
 
 
+def pad_left(ids: Column, fill: Column | int, width: Column) -> Column:
+    fill = F.lit(fill) if isinstance(fill, int) else fill
+    return F.concat(F.array_repeat(fill, F.greatest(width - F.size(ids), F.lit(0))), ids)
+
+
 def attention_mask(ids: Column) -> Column:
     return F.transform(ids, lambda _: F.lit(1))
 

@@ -24,7 +24,7 @@ FROM neighbours"""
 def _tokens(source: str, keys: str, text: str, tokeniser: str) -> str:
     pieces = f"regexp_extract_all({text}, '{TOKENISERS[tokeniser]}')"
     return f"""
-SELECT {keys}, unnest({pieces}) AS piece, generate_subscripts({pieces}, 1) - 1 AS at FROM {source}"""
+SELECT {keys}, unnest({pieces}) AS piece, generate_subscripts({pieces}, 1) - 1 AS nth FROM {source}"""
 
 
 def _vocabulary(source: str) -> str:
@@ -75,9 +75,9 @@ FROM conversations GROUP BY conv_id""",
     "student_raw": _tokens("fragments", "conv_id, place", "fragment", "student"),
     "teacher_raw": _tokens("fragments", "conv_id, place", "fragment", "teacher"),
     "student_all": """
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place, at) - 1 AS pos, piece FROM student_raw""",
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place, nth) - 1 AS pos, piece FROM student_raw""",
     "teacher_all": """
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place, at) - 1 AS pos, piece FROM teacher_raw""",
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place, nth) - 1 AS pos, piece FROM teacher_raw""",
     "student_vocabulary": _vocabulary("student_raw"),
     "teacher_vocabulary": _vocabulary("teacher_raw"),
     "encoded": """
@@ -118,7 +118,7 @@ FROM (SELECT conv_id, turn, 'chosen' AS side, prompt, chosen AS completion FROM
     "pref_vocabulary": _vocabulary("pref_tokens"),
     "pref_ids": """
 SELECT conv_id, turn, side, batch_id,
-       list(id::INT ORDER BY at) FILTER (WHERE part = 0) AS p, list(id::INT ORDER BY at) FILTER (WHERE part = 1) AS c
+       list(id::INT ORDER BY nth) FILTER (WHERE part = 0) AS p, list(id::INT ORDER BY nth) FILTER (WHERE part = 1) AS c
 FROM pref_tokens JOIN pref_vocabulary USING (piece) GROUP BY ALL""",
     "pref_padded": """
 SELECT *, max(len(p)) OVER (PARTITION BY batch_id) AS pw, max(len(c)) OVER (PARTITION BY batch_id) AS cw,
@@ -302,4 +302,7 @@ def with_tables(body: str) -> str:
     if not ordered:
         return body.strip()
     ctes = ",\n".join(f"{name} AS ({TABLES[name].strip()})" for name in ordered)
-    return f"WITH {ctes}\n{body.strip()}"
+    body = body.strip()
+    if body.startswith("WITH "):
+        return f"WITH {ctes},\n{body.removeprefix('WITH ')}"
+    return f"WITH {ctes}\n{body}"
