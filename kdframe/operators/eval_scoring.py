@@ -36,9 +36,10 @@ def exact_match(prediction: Column, gold: Column) -> Column:
 
 
 def normalise_answer(text: Column) -> Column:
-    """Lower case, no punctuation, no articles, single spaces."""
+    """Lower case, no ASCII punctuation, no articles, single spaces."""
     plain = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    return strip(F.regexp_replace(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    kept = F.filter(F.split(plain, r"(?U)\s+"), lambda w: ~w.isin("", "a", "an", "the"))
+    return F.array_join(kept, " ")
 
 
 def match_any(prediction: Column, golds: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from kdframe.plans import dataset, losses, prompts, tokens  # noqa: F401
+    from kdframe.plans import dataset, evaluation, losses, prompts, streams, tokens  # noqa: F401
 
 
 def all_queries():

@@ -230,7 +230,8 @@ def l15(spark, root):
                  avg(chosen) AS "logps/chosen", avg(rejected) AS "logps/rejected", any_value(kd) AS "logits/kd", any_value(nll) AS nll_loss
           FROM rewards JOIN batch_kd USING (batch_id) LEFT JOIN batch_nll USING (batch_id) GROUP BY batch_id, split)
         SELECT batch_id, split, CASE WHEN split = 'eval' THEN 'eval_' ELSE '' END || metric AS metric, {R("value")} AS value
-        FROM (UNPIVOT INCLUDE NULLS means ON * EXCLUDE (batch_id, split) INTO NAME metric VALUE value)""",
+        FROM means UNPIVOT INCLUDE NULLS (value FOR metric IN ("rewards/chosen", "rewards/rejected", "rewards/accuracies",
+          "rewards/margins", "logps/chosen", "logps/rejected", "logits/kd", nll_loss))""",
 )
 def l16(spark, root):
     rows = (

@@ -268,9 +268,8 @@ SELECT doc_id, text || CASE doc_id % 7
   WHEN 5 THEN '<tool_call>{"name": "get_weather"}</tool_call>' ELSE '' END AS text
 FROM documents""",
     "rewrites": """
-SELECT item_id, text AS source, text AS reference,
-       array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % 3 <> 0), ' ') AS output
-FROM benchmark""",
+SELECT item_id, text AS source, text AS reference, array_to_string(kept[len(kept) // 2 + 1:] || kept[1:len(kept) // 2], ' ') AS output
+FROM (SELECT *, list_filter(string_split(text, ' '), lambda w, i: i % 3 <> 0) AS kept FROM benchmark)""",
     "reports": """
 SELECT doc_id, toxic, CASE doc_id % 8
   WHEN 0 THEN '{"results": {"a": {"acc": ' || quality || '.' || doc_id % 10 || '}, "b": {"accuracy": 9}}}'

@@ -246,6 +246,7 @@ def chunks(spark: SparkSession, root: str) -> DataFrame:
         F.col("seq").cast("long").alias("seq"),
         F.when(stopped, "<|endoftext|>").when(F.col("seq") == 0, F.col("_word"))
         .when(F.col("_word") == "", "").otherwise(F.concat(F.lit(" "), "_word")).alias("delta"),
+        F.timestamp_micros(1_704_067_200_000_000 + F.col("seq") * 1000).alias("ts"),
     )
 
 
@@ -326,10 +327,17 @@ def math_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def rewrites(spark: SparkSession, root: str) -> DataFrame:
-    """Texts and a shortened version with every third word removed."""
-    shorter = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 3 != 2), " ")
-    return base(spark, root, "benchmark").select(
-        "item_id", F.col("text").alias("source"), F.col("text").alias("reference"), shorter.alias("output")
+    """Texts and a rewrite: every third word removed, the second half put first."""
+    kept = F.filter(F.split("text", " "), lambda w, i: i % 3 != 2)
+    texts = base(spark, root, "benchmark").withColumn("_kept", kept).withColumn("_half", F.floor(F.size("_kept") / 2).cast("int"))
+    swapped = F.concat(
+        F.slice("_kept", F.col("_half") + 1, F.size("_kept")), F.slice("_kept", F.lit(1), F.col("_half"))
+    )
+    return texts.select(
+        "item_id",
+        F.col("text").alias("source"),
+        F.col("text").alias("reference"),
+        F.array_join(swapped, " ").alias("output"),
     )
 
 

@@ -23,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STOPS = ("<end_action>", "<|endoftext|>")
 PROBE_EVERY = 100
 PART_CHUNKS = 4096
+IDLE_MS = 3_600_000
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -139,16 +140,20 @@ _STATE = "next_seq long, chars long, pending_seq array<long>, pending_delta arra
 def _assemble(
     key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     next_seq, chars, seqs, deltas, done = state.get if state.exists else (0, 0, [], [], False)
+    finished = done
     pending = dict(zip(seqs, deltas))
+    latest = state.getCurrentWatermarkMs()
     for batch in batches:
+        latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
         if not done:
             pending.update(zip(batch["seq"].tolist(), batch["delta"].tolist()))
     fresh: list[str] = []
-    while not done and next_seq in pending:
+    while pending and not done:
+        if next_seq not in pending:
+            if not state.hasTimedOut:
+                break
+            next_seq = min(pending)  # an idle request: give out what came after the gap
         delta = pending.pop(next_seq)
         next_seq += 1
         if delta in STOPS:
@@ -157,9 +162,13 @@ def _assemble(
             fresh.append(delta)
     text = "".join(fresh)
     chars += len(text)
-    state.update((next_seq, chars, list(pending), list(pending.values()), done))
-    state.setTimeoutDuration("1 hour")
-    if text or done:
+    if state.hasTimedOut:
+        state.remove()
+        done = True
+    else:
+        state.update((next_seq, chars, list(pending), list(pending.values()), done))
+        state.setTimeoutTimestamp(latest + IDLE_MS)
+    if text or (done and not finished):
         yield pd.DataFrame(
             {
                 "request_id": [key[0]],
@@ -175,10 +184,14 @@ def assemble_stream(chunks: DataFrame) -> DataFrame:
     """Newly readable text of every request per micro-batch.
 
     Deltas may arrive out of order: early ones wait in the state by ``seq``, and only the
-    contiguous text is given out. Idle requests are evicted.
+    contiguous text is given out. A request that is idle for an hour of event time is evicted, and
+    what it still holds is given out then.
     """
-    return chunks.select("request_id", "seq", "delta").groupBy("request_id").applyInPandasWithState(
-        _assemble, ASSEMBLED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    return (
+        chunks.select("request_id", "seq", "delta", "ts")
+        .withWatermark("ts", "1 hour")
+        .groupBy("request_id")
+        .applyInPandasWithState(_assemble, ASSEMBLED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
