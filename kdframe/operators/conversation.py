@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kdframe.functions.text import strip
-from kdframe.operators.ranking import prefix_sum, range_bucket
+from kdframe.operators.ranking import prefix_sum, prefix_sums, range_bucket
 
 # fixed values: default system prompts and the markers of the chat format
 DEFAULT_SYSTEM = "You are a helpful assistant."
@@ -149,36 +149,48 @@ def drop_blank(df: DataFrame, text: str) -> DataFrame:
 # ---- flat twins: one row per turn ----------------------------------------------------------
 
 
-def missing_system(turns: DataFrame, conv: str = "conv_id", system: str = DEFAULT_SYSTEM) -> DataFrame:
-    """A default system row, at turn -1, for every conversation that has no system turn."""
-    has = turns.groupBy(conv).agg(F.max((F.col("role") == "system").cast("int")).alias("_has"))
-    return has.where("_has = 0").select(
-        conv, F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit(system).alias("text")
+def _placed(turns: DataFrame, conv: str) -> DataFrame:
+    """Turns of known speakers with their ``place``: system turns are negative, the last one first."""
+    place = F.when(F.col("role") == "system", -1 - F.col("turn")).otherwise(F.col("turn"))
+    return turns.where(F.col("role").isin("user", "assistant", "system")).select(
+        conv, place.alias("place"), "role", "text"
     )
 
 
 def with_system_turns(turns: DataFrame, conv: str = "conv_id", system: str = DEFAULT_SYSTEM) -> DataFrame:
     """Flat form of ``ensure_system(hoist_system(...))``: ``place`` orders the turns.
 
-    System turns get negative places, the last one first. Only rows are relabelled; nothing is
+    Only rows are relabelled, and a default row is added where there is no system turn; nothing is
     gathered per conversation.
     """
-    known = turns.where(F.col("role").isin("user", "assistant", "system"))
-    place = F.when(F.col("role") == "system", -1 - F.col("turn")).otherwise(F.col("turn"))
-    present = known.select(conv, place.alias("place"), "role", "text")
-    return present.unionByName(missing_system(known, conv, system).withColumnRenamed("turn", "place"))
+    placed = _placed(turns, conv)
+    has = placed.groupBy(conv).agg(F.max((F.col("role") == "system").cast("int")).alias("_has"))
+    default = has.where("_has = 0").select(
+        conv, F.lit(-1).cast("long").alias("place"), F.lit("system").alias("role"), F.lit(system).alias("text")
+    )
+    return placed.unionByName(default)
 
 
-def render_turns(turns: DataFrame, generation_prompt: bool = True, conv: str = "conv_id") -> DataFrame:
-    """Flat form of ``render_chat``: the text fragment of every placed turn.
+def render_turns(
+    turns: DataFrame, generation_prompt: bool = True, conv: str = "conv_id", system: str = DEFAULT_SYSTEM
+) -> DataFrame:
+    """Text fragment of every turn, plus the default system turn and the generation prompt.
 
-    Concatenating the fragments in ``place`` order gives the conversation's text.
+    Concatenating the fragments in ``place`` order gives the conversation's text. Both added
+    fragments come from one narrow aggregate per conversation.
     """
-    fragments = turns.select(conv, "place", render_message(F.col("role"), F.col("text")).alias("fragment"))
-    if not generation_prompt:
-        return fragments
-    last = turns.groupBy(conv).agg((F.max("place") + 1).alias("place"))
-    return fragments.unionByName(last.withColumn("fragment", F.lit(ASSISTANT_START)))
+    placed = _placed(turns, conv)
+    summary = placed.groupBy(conv).agg(
+        F.max((F.col("role") == "system").cast("int")).alias("_has"), F.max("place").alias("_last")
+    )
+    piece = lambda place, text: F.struct(place.alias("place"), text.alias("fragment"))
+    opening = piece(F.lit(-1).cast("long"), render_message(F.lit("system"), F.lit(system)))
+    added = [F.when(F.col("_has") == 0, opening)]
+    if generation_prompt:
+        added.append(piece(F.col("_last") + 1, F.lit(ASSISTANT_START)))
+    extra = F.filter(F.array(*added), lambda f: f.isNotNull())
+    fragments = placed.select(conv, "place", render_message(F.col("role"), F.col("text")).alias("fragment"))
+    return fragments.unionByName(summary.select(conv, F.inline(extra)))
 
 
 def chat_context(
@@ -207,8 +219,7 @@ def context_sizes(turns: DataFrame, system: str, conv: str = "conv_id") -> DataF
     """Messages and characters sent when each user turn is processed, from running sums."""
     bucket = [range_bucket(F.col("turn"), TURN_RANGE)]
     narrow = turns.select(conv, "turn", "role", F.length("text").cast("long").alias("_chars"))
-    counted = prefix_sum(narrow, ["turn"], bucket, by=[conv], name="_earlier")
-    summed = prefix_sum(counted, ["turn"], bucket, value=F.col("_chars"), by=[conv], name="_before")
+    summed = prefix_sums(narrow, ["turn"], bucket, {"_earlier": F.lit(1), "_before": F.col("_chars")}, by=[conv])
     return summed.where("role = 'user'").select(
         conv,
         "turn",

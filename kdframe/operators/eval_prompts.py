@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from kdframe.functions.text import strip
 from kdframe.operators.ranking import order_key
 from kdframe.operators.tokens import pieces
+from kdframe.session import broadcast_if_fits, materialize
+
+BROADCAST_TASKS = 1000
 
 # ---- prompt builders ------------------------------------------------------------------------
 
@@ -213,10 +216,10 @@ def few_shots(
     nth = F.row_number().over(Window.partitionBy(task).orderBy("_key", item))
     ranked = pool.select(task, item, text, key.alias("_key")).withColumn("_nth", nth)
     best = ranked.where(F.col("_nth") <= shots + (1 if same_split else 0))
-    lists = best.groupBy(task).agg(
+    lists = materialize(best.groupBy(task).agg(
         F.sort_array(F.collect_list(F.struct("_nth", F.col(item).alias("_id"), F.col(text).alias("_text")))).alias("_shots")
-    )
-    joined = items.join(lists, task, "left")
+    ))
+    joined = items.join(broadcast_if_fits(lists, BROADCAST_TASKS), task, "left")
     others = F.filter("_shots", lambda s: s["_id"] != F.col(item)) if same_split else F.col("_shots")
     chosen = F.transform(F.slice(others, 1, shots), lambda s: F.concat(s["_text"], F.lit("\n\n")))
     return joined.withColumn("few_shot", F.coalesce(F.array_join(chosen, ""), F.lit(""))).drop("_shots")

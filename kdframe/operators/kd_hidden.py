@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,28 +25,33 @@ def map_layer(layer: Column, student_layers: int, teacher_layers: int) -> Column
     return F.bround(layer * F.lit(teacher_layers - 1) / F.lit(student_layers - 1)).cast("int")
 
 
-def project(
-    hidden: DataFrame, weights: DataFrame, keys: Sequence[str] = ("seq_id", "layer", "pos"), out: str = "h"
-) -> DataFrame:
-    """Per-layer linear projection ``w h + b``; layers without a projection are dropped.
+def _packed(weights: DataFrame) -> DataFrame:
+    """One matrix per layer."""
+    rows = F.sort_array(F.collect_list(F.struct("out_idx", "w", "bias")))
+    return weights.groupBy("layer").agg(rows.alias("_matrix"))
+
+
+def _project_broadcast(hidden: DataFrame, weights: DataFrame, out: str) -> DataFrame:
+    joined = hidden.join(F.broadcast(_packed(weights)), "layer")
+    outputs = F.transform("_matrix", lambda r: dot(F.col("h"), r["w"]) + r["bias"])
+    return joined.withColumn(out, outputs).drop("_matrix").select(*hidden.columns)
+
 
-    ``weights`` has one row per ``(layer, out_idx)``. Up to ``BROADCAST_OUTPUTS`` such rows (counted)
-    are packed into one matrix per layer and broadcast. More are joined by shuffle and the outputs
-    of a position are collected again.
+def project(hidden: DataFrame, weights: DataFrame) -> DataFrame:
+    """Per-layer linear projection ``w h + b`` of ``h``; layers without a projection are dropped.
+
+    ``weights`` has one row per ``(layer, out_idx)``. Up to ``BROADCAST_OUTPUTS`` rows in all
+    (counted) are broadcast at once. A larger set is broadcast one layer at a time, each layer's
+    size being the model's output width; the layer list has one entry per model layer.
     """
     if fits(weights, BROADCAST_OUTPUTS):
-        packed = weights.groupBy("layer").agg(
-            F.sort_array(F.collect_list(F.struct("out_idx", "w", "bias"))).alias("_matrix")
-        )
-        joined = hidden.join(F.broadcast(packed), "layer")
-        outputs = F.transform("_matrix", lambda r: dot(F.col("h"), r["w"]) + r["bias"])
-        return joined.withColumn(out, outputs).drop("_matrix")
-    one = hidden.join(weights, "layer").withColumn("_y", dot(F.col("h"), F.col("w")) + F.col("bias"))
-    rest = [c for c in hidden.columns if c not in (*keys, "h")]
-    return one.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("out_idx", "_y"))), lambda r: r["_y"]).alias(out),
-        *[F.first(c).alias(c) for c in rest],
-    )
+        return _project_broadcast(hidden, weights, "h")
+    layers = [r["layer"] for r in weights.select("layer").distinct().orderBy("layer").collect()]
+    parts = [
+        _project_broadcast(hidden.where(F.col("layer") == layer), weights.where(F.col("layer") == layer), "h")
+        for layer in layers
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def checked_shapes(df: DataFrame, student: str = "s", teacher: str = "t") -> DataFrame:

@@ -41,25 +41,25 @@ def _rotate(a: Column, first: Column) -> Column:
 def flush_left(df: DataFrame, mask: str, others: Sequence[str], batch: str = "batch_id") -> DataFrame:
     """Rotate every row so that its first 1 is leftmost, then cut at the batch's first empty column.
 
-    A row without any 1 is an error.
+    A row without any 1 is an error. A batch is gathered into one row to look down its columns; it
+    has at most the configured batch size of rows.
     """
     first = F.array_position(mask, 1).cast("int")
     checked = F.when(first == 0, F.raise_error(F.lit("flush_left: a row has an all-zero mask"))).otherwise(first)
-    rotated = df.withColumn("_first", checked)
-    for name in (*others, mask):
-        rotated = rotated.withColumn(name, _rotate(F.col(name), F.col("_first")))
-    empty = (
-        rotated.select(batch, F.posexplode(mask).alias("_pos", "_one"))
-        .groupBy(batch, "_pos")
-        .agg(F.max("_one").alias("_any"))
-        .where(F.col("_any") == 0)
-        .groupBy(batch)
-        .agg(F.min("_pos").alias("_cut"))
+    arrays = [*others, mask]
+    rest = [c for c in df.columns if c not in (batch, *arrays)]
+    rotated = df.withColumn("_first", checked).select(
+        batch, *rest, *[_rotate(F.col(name), F.col("_first")).alias(name) for name in arrays]
+    )
+    rows = rotated.groupBy(batch).agg(F.collect_list(F.struct(*rest, *arrays)).alias("_rows"))
+    blank = F.array_repeat(F.lit(0), F.size(F.col("_rows")[0][mask]))
+    used = F.aggregate("_rows", blank, lambda seen, row: F.zip_with(seen, row[mask], lambda a, b: F.greatest(a, b.cast("int"))))
+    whole = rows.withColumn("_used", used).withColumn("_empty", F.array_position("_used", 0).cast("int"))
+    width = F.when(F.col("_empty") > 0, F.col("_empty") - 1).otherwise(F.size("_used"))
+    flat = whole.withColumn("_width", width).select(batch, "_width", F.inline("_rows"))
+    return flat.select(
+        batch, *rest, *[F.slice(F.col(name), F.lit(1), F.col("_width")).alias(name) for name in arrays]
     )
-    joined = rotated.join(empty, batch, "left").withColumn("_width", F.coalesce("_cut", F.size(mask)))
-    for name in (*others, mask):
-        joined = joined.withColumn(name, F.slice(F.col(name), F.lit(1), F.col("_width")))
-    return joined.drop("_first", "_cut", "_width")
 
 
 def truncate_batch(df: DataFrame, columns: Sequence[str], max_length: int, mode: str = "keep_end") -> DataFrame:

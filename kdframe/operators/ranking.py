@@ -33,45 +33,52 @@ def range_bucket(value: Column, width: int) -> Column:
     return F.floor(value / F.lit(width))
 
 
-def prefix_sum(
+def prefix_sums(
     df: DataFrame,
     order: Sequence[Column | str],
     bucket: Sequence[Column],
-    value: Column | None = None,
+    values: dict[str, Column],
     by: Sequence[str] = (),
-    name: str = "rank",
 ) -> DataFrame:
-    """Sum of ``value`` over the rows before this one in ``order`` (exclusive), per ``by`` group.
+    """Sum of each value over the rows before this one in ``order`` (exclusive), per ``by`` group.
 
-    With no ``value`` every row counts 1, which makes the result a dense rank from 0.
     ``bucket`` must be monotone in ``order``. A hot ``by`` group is spread over its buckets.
     """
-    buckets = [f"_bucket{i}" for i in range(len(bucket))]
-    amount = F.lit(1).cast("long") if value is None else value
-    staged = df
-    for label, expression in zip(buckets, bucket):
-        staged = staged.withColumn(label, expression)
-    staged = staged.withColumn("_amount", amount)
+    buckets = {f"_bucket{i}": expression for i, expression in enumerate(bucket)}
+    amounts = {f"_amount{i}": value.cast("long") for i, value in enumerate(values.values())}
+    staged = df.withColumns({**buckets, **amounts})
     keys = [*by, *buckets]
 
-    totals = staged.groupBy(*keys).agg(F.sum("_amount").alias("_total"))
+    totals = staged.groupBy(*keys).agg(*[F.sum(a).alias(a) for a in amounts])
     before = Window.partitionBy(*by).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        totals.withColumn("_offset", F.sum("_total").over(before))
-        .where(F.col("_offset").isNotNull())
-        .select(*keys, "_offset")
-    )
+    offsets = totals.select(*keys, *[F.sum(a).over(before).alias(f"_offset{a}") for a in amounts])
+    # the first bucket of a group has nothing before it, and most groups have one bucket only
+    later = offsets.where(F.col(f"_offset{next(iter(amounts))}").isNotNull())
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    sums = {
+        name: F.coalesce(F.col(f"_offset{a}"), zero) + F.coalesce(F.sum(a).over(inner), zero)
+        for name, a in zip(values, amounts)
+    }
     return (
-        staged.join(offsets, keys, "left")
-        .withColumn(
-            name,
-            F.coalesce(F.col("_offset"), F.lit(0)) + F.coalesce(F.sum("_amount").over(inner), F.lit(0)),
-        )
-        .drop(*buckets, "_amount", "_offset")
+        staged.join(later, keys, "left")
+        .withColumns(sums)
+        .drop(*buckets, *amounts, *[f"_offset{a}" for a in amounts])
     )
 
 
+def prefix_sum(
+    df: DataFrame,
+    order: Sequence[Column | str],
+    bucket: Sequence[Column],
+    value: Column | None = None,
+    by: Sequence[str] = (),
+    name: str = "rank",
+) -> DataFrame:
+    """One prefix sum. With no ``value`` every row counts 1: a dense rank from 0."""
+    return prefix_sums(df, order, bucket, {name: F.lit(1) if value is None else value}, by)
+
+
 def shuffled_rank(
     df: DataFrame, ids: Sequence[str], seed: int = 42, by: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from kdframe.operators.mixture import Source
 from kdframe.operators.ranking import shuffled_rank
 from kdframe.plans import tables
 from kdframe.plans.catalog import digest, query, r6, spoken
-from kdframe.session import fresh_path
+from kdframe.session import fresh_path, materialize
 from kdframe.sources import tables as sources
 
 # ---- sources and sinks ----------------------------------------------------------------------
@@ -325,7 +325,8 @@ def d11(spark, root):
         WHERE k - 1 = r % n""",
 )
 def d12(spark, root):
-    placed = shuffled_rank(quota_rows(spark, root), ["doc_id"], by=["lang"], name="place")
+    # sizes and rows are both read from it
+    placed = materialize(shuffled_rank(quota_rows(spark, root), ["doc_id"], by=["lang"], name="place"))
     mixed = mixture.interleave(placed, [line.name for line in SPEC], "place", source="lang")
     return mixed.select("out_pos", "round", "lang", "doc_id")
 

@@ -34,7 +34,7 @@ _WIKI = "replace(regexp_replace(replace({}, ' [title]', '. '), '\\[.*?\\]', '',
                 CASE WHEN doc_id % 4 = 3 THEN -1 ELSE doc_id % 4 END::INT AS gold_index FROM documents""",
 )
 def e1(spark, root):
-    rows = tables.base(spark, root, "documents").select(
+    rows = tables.texts(spark, root).select(
         "doc_id",
         F.col("source").alias("activity_label"),
         F.lit("Step [title] one  two").alias("ctx_a"),
@@ -47,7 +47,7 @@ def e1(spark, root):
 
 def commonsense(spark, root):
     return eval_prompts.commonsense_qa(
-        tables.base(spark, root, "documents").select(
+        tables.texts(spark, root).select(
             "doc_id",
             F.col("text").alias("question"),
             F.array(*[F.lit(c) for c in "ABCDE"]).alias("labels"),
@@ -78,7 +78,7 @@ def e2_rejects(spark, root):
          md5('A|B|C') AS choices, (doc_id % 3)::INT AS gold_index FROM documents""",
 )
 def e3(spark, root):
-    rows = tables.base(spark, root, "documents").select(
+    rows = tables.texts(spark, root).select(
         "doc_id",
         F.concat(F.lit("topic_"), "lang").alias("category"),
         F.col("text").alias("question"),
@@ -254,7 +254,7 @@ def e12(spark, root):
         .when(kind == 2, F.concat(F.lit(" 'other' "), "source", F.lit("\n")))
         .otherwise(F.concat("text", F.lit(" wrong")))
     )
-    rows = tables.base(spark, root, "documents").select(
+    rows = tables.texts(spark, root).select(
         F.col("source").alias("task"),
         answer.alias("prediction"),
         F.array(F.lower("text"), F.concat(F.lit("other "), "source")).alias("golds"),
@@ -275,7 +275,7 @@ def e13(spark, root):
         .when(kind == 1, F.concat("text", F.lit(" #### "), F.col("n_chars").cast("string"), F.lit(" not 17")))
         .otherwise(F.concat("text", F.lit(" = -3.5")))
     )
-    rows = tables.base(spark, root, "documents").select(
+    rows = tables.texts(spark, root).select(
         F.col("lang").alias("task"),
         answer.alias("prediction"),
         F.concat(F.lit("work 1 2 3 #### "), F.col("n_chars").cast("string")).alias("gold"),

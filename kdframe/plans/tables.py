@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kdframe.functions.vectors import doubles
-from kdframe.operators.conversation import render_turns, with_system_turns
+from kdframe.operators.conversation import render_turns
 from kdframe.operators.ranking import prefix_sum
+from kdframe.session import spread
 
 
 def base(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def texts(spark: SparkSession, root: str) -> DataFrame:
+    """Documents for work that is heavy per row, at least one partition per core."""
+    return spread(base(spark, root, "documents"))
+
+
 def turns(spark: SparkSession, root: str) -> DataFrame:
     return base(spark, root, "conversations")
 
@@ -24,7 +30,7 @@ def threads(spark: SparkSession, root: str) -> DataFrame:
     Some lines are system turns (also in the middle), some come from an unknown speaker, and every
     ninth line of some documents has no value.
     """
-    docs = base(spark, root, "documents")
+    docs = texts(spark, root)
 
     def one(line: Column, i: Column) -> Column:
         speaker = (
@@ -103,7 +109,7 @@ def preferences(spark: SparkSession, root: str) -> DataFrame:
 
 def fragments(spark: SparkSession, root: str) -> DataFrame:
     """Rendered turns of every conversation, with the default system turn and generation prompt."""
-    return render_turns(with_system_turns(turns(spark, root)))
+    return render_turns(turns(spark, root))
 
 
 def _neighbours(spark: SparkSession, root: str) -> DataFrame:
@@ -182,7 +188,7 @@ def choices(spark: SparkSession, root: str) -> DataFrame:
 def items(spark: SparkSession, root: str) -> DataFrame:
     """Evaluation items of three tasks, with subsets and splits."""
     doc = F.col("doc_id")
-    return base(spark, root, "documents").select(
+    return texts(spark, root).select(
         doc.alias("item_id"),
         F.when(doc % 3 == 0, "bbh").when(doc % 3 == 1, "math").otherwise("arc").alias("task"),
         F.col("source").alias("subset"),
@@ -237,7 +243,7 @@ def trainlog_of(events: DataFrame) -> DataFrame:
 
 def chunks(spark: SparkSession, root: str) -> DataFrame:
     """Text deltas: the words of whole documents; some are empty, and some documents stop early."""
-    words = base(spark, root, "documents").select(
+    words = texts(spark, root).select(
         F.col("doc_id").alias("request_id"), F.posexplode(F.split("text", " ")).alias("seq", "_word")
     )
     stopped = (F.col("seq") == 30) & (F.col("request_id") % 4 == 0)
@@ -295,7 +301,7 @@ def agent_outputs(spark: SparkSession, root: str) -> DataFrame:
         .when(kind == 5, '<tool_call>{"name": "get_weather"}</tool_call>')
         .otherwise("")
     )
-    return base(spark, root, "documents").select("doc_id", F.concat("text", tail).alias("text"))
+    return texts(spark, root).select("doc_id", F.concat("text", tail).alias("text"))
 
 
 def math_pairs(spark: SparkSession, root: str) -> DataFrame:
@@ -323,7 +329,7 @@ def math_pairs(spark: SparkSession, root: str) -> DataFrame:
         return F.concat("text", F.lit(" "), answer)
 
     gold = F.when(doc % 4 == 0, pick(0)).when(doc % 4 == 1, F.concat(F.lit(r"so \boxed{"), n, F.lit("}"))).otherwise(pick(1))
-    return base(spark, root, "documents").select("doc_id", "source", pick(0).alias("pred"), gold.alias("gold"))
+    return texts(spark, root).select("doc_id", "source", pick(0).alias("pred"), gold.alias("gold"))
 
 
 def rewrites(spark: SparkSession, root: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kdframe.operators.eval_reports import latest_state
-from kdframe.operators.ranking import prefix_sum, range_bucket
+from kdframe.operators.ranking import prefix_sum, prefix_sums, range_bucket
 from kdframe.session import fresh_path
 from kdframe.sources.tables import read_snapshot, write_snapshot
 
@@ -98,39 +98,46 @@ def follow_tasks(updates: DataFrame, root: str, checkpoint: str, time: str = "ts
 # ---- text from deltas -----------------------------------------------------------------------
 
 
-def kept_chunks(chunks: DataFrame) -> DataFrame:
-    """Non-empty deltas before the first stop delta of their request."""
-    usable = chunks.where(F.length("delta") > 0)
-    stops = usable.where(F.col("delta").isin(*STOPS)).groupBy("request_id").agg(F.min("seq").alias("_stop"))
-    return usable.join(stops, "request_id", "left").where(
-        F.col("_stop").isNull() | (F.col("seq") < F.col("_stop"))
-    ).drop("_stop")
-
-
 def growing_prefix(chunks: DataFrame) -> DataFrame:
-    """Length of the text after every kept delta.
+    """Length of the text after every delta that counts: not empty, and before the first stop.
 
     The prefix shown after a delta is that many characters of the final text, so the growing text
     is described without writing it out once per delta.
     """
-    sized = kept_chunks(chunks).withColumn("_n", F.length("delta").cast("long"))
-    summed = prefix_sum(
-        sized, ["seq"], [range_bucket(F.col("seq"), PART_CHUNKS)], value=F.col("_n"), by=["request_id"], name="_before"
-    )
-    return summed.select("request_id", "seq", (F.col("_before") + F.col("_n")).alias("prefix_chars"))
+    stop = F.col("delta").isin(*STOPS)
+    sums = {"_before": F.length("delta"), "_stops": stop.cast("int")}
+    summed = prefix_sums(chunks, ["seq"], [range_bucket(F.col("seq"), PART_CHUNKS)], sums, by=["request_id"])
+    kept = summed.where((F.col("_stops") == 0) & ~stop & (F.length("delta") > 0))
+    return kept.select("request_id", "seq", (F.col("_before") + F.length("delta")).alias("prefix_chars"))
 
 
 def final_text(chunks: DataFrame) -> DataFrame:
-    """The assembled text of every request, put together in parts and then from parts."""
-    ordered = lambda order, value: F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda r: r[value]), ""
-    )
+    """The assembled text of every request, put together in parts and then from parts.
+
+    Each part ends at its first stop delta, and the text ends with the first part that has one.
+    Requests with no text at all are left out.
+    """
+    stop = F.col("delta").isin(*STOPS)
+
+    def joined(parts: Column) -> Column:
+        """Concatenate up to and including the first stopped part."""
+        first = F.array_position(F.transform(parts, lambda p: p["stopped"]), True).cast("int")
+        upto = F.when(first > 0, F.slice(parts, F.lit(1), first)).otherwise(parts)
+        return F.array_join(F.transform(upto, lambda p: p["text"]), "")
+
+    one = F.struct("seq", F.when(stop, "").otherwise(F.col("delta")).alias("text"), stop.alias("stopped"))
     parts = (
-        kept_chunks(chunks)
-        .groupBy("request_id", F.floor(F.col("seq") / PART_CHUNKS).alias("_part"))
-        .agg(ordered("seq", "delta").alias("_text"))
+        chunks.groupBy("request_id", F.floor(F.col("seq") / PART_CHUNKS).alias("part"))
+        .agg(F.sort_array(F.collect_list(one)).alias("_deltas"))
+        .select(
+            "request_id",
+            F.struct(
+                "part", joined(F.col("_deltas")).alias("text"), F.exists("_deltas", lambda d: d["stopped"]).alias("stopped")
+            ).alias("_part"),
+        )
     )
-    return parts.groupBy("request_id").agg(ordered("_part", "_text").alias("text"))
+    whole = parts.groupBy("request_id").agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
+    return whole.select("request_id", joined(F.col("_parts")).alias("text")).where(F.length("text") > 0)
 
 
 ASSEMBLED = "request_id long, last_seq long, new_text string, prefix_chars long, done boolean"
