@@ -74,16 +74,29 @@ def _check(loss: str) -> None:
         raise ValueError(f"Unknown loss_type: {loss}")
 
 
-def layer_loss(df: DataFrame, loss: str = "mse", by: Sequence[str] = ("layer",)) -> DataFrame:
-    """Unmasked loss of every layer; element mean, or mean of ``1 - cos`` over positions."""
-    _check(loss)
+def _plain(loss: str) -> Column:
     s, t = F.col("s"), F.col("t")
     if loss == "cosine":
-        value = F.avg(1 - cosine(s, t))
-    else:
-        error = squared_error(s, t) if loss == "mse" else huber_error(s, t)
-        value = F.sum(error) / F.sum(F.size("s"))
-    return df.groupBy(*by).agg(value.alias("loss"))
+        return F.avg(1 - cosine(s, t))
+    error = squared_error(s, t) if loss == "mse" else huber_error(s, t)
+    return F.sum(error) / F.sum(F.size("s"))
+
+
+def _aggregate(df: DataFrame, columns: dict[str, Column], by: Sequence[str]) -> DataFrame:
+    """All losses in one pass, in long form."""
+    wide = df.groupBy(*by).agg(*[c.alias(name) for name, c in columns.items()])
+    return wide.unpivot(list(by), list(columns), "loss_type", "loss")
+
+
+def layer_losses(df: DataFrame, losses: Sequence[str] = LOSSES, by: Sequence[str] = ("layer",)) -> DataFrame:
+    """Unmasked losses of every layer; element mean, or mean of ``1 - cos`` over positions."""
+    for loss in losses:
+        _check(loss)
+    return _aggregate(df, {loss: _plain(loss) for loss in losses}, by)
+
+
+def layer_loss(df: DataFrame, loss: str = "mse", by: Sequence[str] = ("layer",)) -> DataFrame:
+    return layer_losses(df, [loss], by).drop("loss_type")
 
 
 def scaled_layer_mean(layers: DataFrame, hidden_dim: int) -> DataFrame:
@@ -95,28 +108,35 @@ def layer_mean(layers: DataFrame) -> DataFrame:
     return layers.agg(F.avg("loss").alias("kd"))
 
 
-def masked_layer_loss(
-    df: DataFrame, loss: str = "cosine", by: Sequence[str] = ("layer",), strict: bool = True
+def _masked(loss: str, strict: bool) -> Column:
+    s, t = F.col("s"), F.col("t")
+    m = (F.col("s_mask") * F.col("t_mask")).cast("double")
+    kept = F.greatest(F.sum(m), F.lit(1.0))
+    if loss == "cosine":
+        return (F.sum(1 - cosine(s, t) * m) if strict else F.sum((1 - cosine(s, t)) * m)) / kept
+    error = squared_error(s, t) if loss == "mse" else huber_error(s, t)
+    elements = F.greatest(F.sum(m * F.size("s")), F.lit(1.0))
+    return F.sum(error * m) / (kept if strict else elements)
+
+
+def masked_layer_losses(
+    df: DataFrame, losses: Sequence[str] = LOSSES, by: Sequence[str] = ("layer",), strict: bool = True
 ) -> DataFrame:
-    """Loss over positions kept by both masks (``s_mask``, ``t_mask``).
+    """Losses over positions kept by both masks (``s_mask``, ``t_mask``).
 
     ``strict`` keeps two properties of the original: squared and Huber errors are divided by the
     number of positions, not elements; and for the cosine every masked position adds 1. Without it
     elements are averaged and masked positions are left out.
     """
-    _check(loss)
-    s, t = F.col("s"), F.col("t")
-    m = (F.col("s_mask") * F.col("t_mask")).cast("double")
-    kept = F.greatest(F.sum(m), F.lit(1.0))
-    if loss == "cosine":
-        value = F.sum(1 - cosine(s, t) * m) if strict else F.sum((1 - cosine(s, t)) * m)
-        value = value / kept
-    else:
-        error = squared_error(s, t) if loss == "mse" else huber_error(s, t)
-        value = F.sum(error * m) / kept
-        if not strict:
-            value = F.sum(error * m) / F.greatest(F.sum(m * F.size("s")), F.lit(1.0))
-    return df.groupBy(*by).agg(value.alias("loss"))
+    for loss in losses:
+        _check(loss)
+    return _aggregate(df, {loss: _masked(loss, strict) for loss in losses}, by)
+
+
+def masked_layer_loss(
+    df: DataFrame, loss: str = "cosine", by: Sequence[str] = ("layer",), strict: bool = True
+) -> DataFrame:
+    return masked_layer_losses(df, [loss], by, strict).drop("loss_type")
 
 
 def mean_pool(hidden: DataFrame, by: Sequence[str] = ("seq_id", "layer"), h: str = "h", mask: str = "mask") -> DataFrame:

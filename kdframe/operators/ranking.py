@@ -60,8 +60,9 @@ def prefix_sums(
         name: F.coalesce(F.col(f"_offset{a}"), zero) + F.coalesce(F.sum(a).over(inner), zero)
         for name, a in zip(values, amounts)
     }
+    # hash join: the window below needs this very partitioning, and only it has to sort the rows
     return (
-        staged.join(later, keys, "left")
+        staged.join(later.hint("shuffle_hash"), keys, "left")
         .withColumns(sums)
         .drop(*buckets, *amounts, *[f"_offset{a}" for a in amounts])
     )

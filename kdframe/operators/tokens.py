@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kdframe.functions.text import join_ints  # noqa: F401  (re-exported for callers)
 from kdframe.operators.ranking import prefix_sum, shuffled_rank
-from kdframe.session import fits
+from kdframe.session import fits, materialize
 
 # fixed values
 IGNORE = -100
@@ -41,10 +41,11 @@ def explode_pieces(df: DataFrame, text: str, keep: Sequence[str], tokeniser: str
 def build_vocabulary(tokens: DataFrame) -> DataFrame:
     """``(piece, n, id)``: special tokens first, then by falling count and piece.
 
-    Counting combines map-side, so frequent pieces do not skew. The rank is cut into buckets by
-    count and first two characters instead of sorting the vocabulary in one task.
+    Counting combines map-side, so frequent pieces do not skew, and the counts are stored so that
+    the text is tokenised once. The rank is cut into buckets by count and first two characters
+    instead of sorting the vocabulary in one task.
     """
-    counted = tokens.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(tokens.groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
     special = F.array_position(F.array(*[F.lit(s) for s in SPECIALS]), F.col("piece")) - 1
     ordinary = counted.where(~F.col("piece").isin(*SPECIALS)).withColumn("_desc", -F.col("n"))
     ranked = prefix_sum(
@@ -161,17 +162,19 @@ def mark_spans(
     seq: Sequence[str] = ("conv_id",),
     value: str = "piece",
     name: str = "supervised",
+    order: Sequence[str] = ("pos",),
 ) -> DataFrame:
     """Mark the tokens after a ``start`` marker sequence up to the next ``end`` marker sequence.
 
     A start event sits on the first token after its marker, an end event on the first token of its
-    marker, and the latest event decides. The end wins when both fall on one token.
+    marker, and the latest event decides. The end wins when both fall on one token. ``order`` may
+    name columns the tokens are already sorted by.
     """
-    order = Window.partitionBy(*seq).orderBy("pos")
+    sorted_rows = Window.partitionBy(*seq).orderBy(*order)
 
     def matches(marker: Sequence[str | int], shift: int) -> Column:
         checks = [
-            (F.lag(value, shift - k) if shift > k else F.lead(value, k - shift)).over(order) == F.lit(m)
+            (F.lag(value, shift - k) if shift > k else F.lead(value, k - shift)).over(sorted_rows) == F.lit(m)
             for k, m in enumerate(marker)
         ]
         both = checks[0]
@@ -180,7 +183,7 @@ def mark_spans(
         return F.coalesce(both, F.lit(False))
 
     event = F.when(matches(end, 0), F.lit(False)).when(matches(start, len(start)), F.lit(True))
-    latest = F.last("_event", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    latest = F.last("_event", ignorenulls=True).over(sorted_rows.rowsBetween(Window.unboundedPreceding, 0))
     return (
         tokens.withColumn("_event", event)
         .withColumn(name, F.coalesce(latest, F.lit(False)))

@@ -337,7 +337,7 @@ def d12(spark, root):
         FROM ({_QUOTA})""",
 )
 def d13(spark, root):
-    kept = quota_rows(spark, root)
+    kept = materialize(quota_rows(spark, root))
     shards = {line.name: kept.where(F.col("lang") == line.name).select("doc_id") for line in SPEC}
     return mixture.shuffle(mixture.union_shards(shards, "lang"), ["lang", "doc_id"])
 

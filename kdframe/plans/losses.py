@@ -272,6 +272,10 @@ def _losses(df):
     return df.select("layer", r6("loss").alias("loss"))
 
 
+def _typed(df):
+    return df.select("loss_type", "layer", r6("loss").alias("loss"))
+
+
 @query(
     "h1_layer_map",
     """SELECT s.seq_id, s.layer, count(*) AS positions, max(t.layer)::INT AS teacher_layer
@@ -339,9 +343,7 @@ def h6(spark, root):
         UNION ALL SELECT 'huber', layer, {R('sum(hu) / (count(*) * 64)')} FROM errors GROUP BY layer""",
 )
 def h7(spark, root):
-    pairs = mapped_pairs(spark, root)
-    parts = [_losses(hid.layer_loss(pairs, kind)).withColumn("loss_type", F.lit(kind)) for kind in hid.LOSSES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _typed(hid.layer_losses(mapped_pairs(spark, root)))
 
 
 @query(
@@ -359,9 +361,7 @@ def h8(spark, root):
         UNION ALL SELECT 'huber', layer, {R('sum(hu * m) / greatest(sum(m), 1)')} FROM errors GROUP BY layer""",
 )
 def h9(spark, root):
-    pairs = mapped_pairs(spark, root)
-    parts = [_losses(hid.masked_layer_loss(pairs, kind)).withColumn("loss_type", F.lit(kind)) for kind in hid.LOSSES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _typed(hid.masked_layer_losses(mapped_pairs(spark, root)))
 
 
 @query(
@@ -370,12 +370,7 @@ def h9(spark, root):
         UNION ALL SELECT 'cosine', layer, {R('sum((1 - cos) * m) / greatest(sum(m), 1)')} FROM errors GROUP BY layer""",
 )
 def h9_plain(spark, root):
-    pairs = mapped_pairs(spark, root)
-    parts = [
-        _losses(hid.masked_layer_loss(pairs, kind, strict=False)).withColumn("loss_type", F.lit(kind))
-        for kind in ("mse", "cosine")
-    ]
-    return parts[0].unionByName(parts[1])
+    return _typed(hid.masked_layer_losses(mapped_pairs(spark, root), ("mse", "cosine"), strict=False))
 
 
 @query(

@@ -28,6 +28,10 @@ def token_rows(spark, root, tokeniser="student"):
     return tok.sequence_tokens(tables.fragments(spark, root), LENGTH, tokeniser=tokeniser)
 
 
+def marked(spark, root):
+    return tok.mark_spans(token_rows(spark, root), START, END, order=["place", "at"])
+
+
 def ids_of(spark, root, tokeniser, name):
     found = tok.lookup_ids(token_rows(spark, root, tokeniser), vocabulary(spark, root, tokeniser))
     return tok.collect_ids(found, ["conv_id"], name=name)
@@ -140,8 +144,7 @@ def t5(spark, root):
        FROM supervised JOIN student_vocabulary USING (piece) GROUP BY conv_id""",
 )
 def t6(spark, root):
-    marked = tok.mark_spans(token_rows(spark, root), START, END)
-    found = tok.lookup_ids(marked, vocabulary(spark, root, "student"))
+    found = tok.lookup_ids(marked(spark, root), vocabulary(spark, root, "student"))
     labelled = found.withColumn("label", tok.span_labels(F.col("supervised"), F.col("id")))
     return tok.collect_ids(labelled, ["conv_id"], "label", "labels").select("conv_id", listing("labels"))
 
@@ -186,7 +189,7 @@ def t9(spark, root):
 
 
 def budgets(spark, root):
-    kept = tok.sequence_budget(tok.mark_spans(token_rows(spark, root), START, END))
+    kept = tok.sequence_budget(marked(spark, root))
     return lengths(spark, root).withColumnRenamed("length", "full_tokens").join(kept, "conv_id")
 
 

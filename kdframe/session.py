@@ -44,8 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/kdframe/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, in one folder per application."""
+    return f"{shared_dir(spark).rstrip('/')}/kdframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

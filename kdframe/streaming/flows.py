@@ -234,8 +234,8 @@ def list_sessions(messages: DataFrame, chat: str = "chat_id", width: int = 1 <<
     chats = messages.groupBy(chat).agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("messages"))
     keyed = chats.withColumn("_id", -F.col(chat)).withColumn("_time", -F.unix_micros("last_ts"))
     by_id = prefix_sum(keyed, ["_id"], [range_bucket(F.col("_id"), width)], name="place_by_id")
-    hour = range_bucket(F.col("_time"), 3_600_000_000)
-    timed = prefix_sum(by_id, ["_time", "_id"], [hour, range_bucket(F.col("_id"), width)], name="place_by_time")
+    minute = range_bucket(F.col("_time"), 60_000_000)
+    timed = prefix_sum(by_id, ["_time", "_id"], [minute], name="place_by_time")
     return timed.drop("_id", "_time")
 
 
