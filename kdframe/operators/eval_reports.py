@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: (task, shots, kind) of the full suite
@@ -17,6 +17,12 @@ SUITE = [
 ]
 
 
+def suite_table(spark: SparkSession) -> DataFrame:
+    """The suite before a run: 16 pending tasks."""
+    rows = [(i, name, shots, kind, "pending") for i, (name, shots, kind) in enumerate(SUITE)]
+    return spark.createDataFrame(rows, "task_id long, name string, shots int, kind string, status string")
+
+
 def humantime(seconds: Column) -> Column:
     """``1h 2m 3s`` with leading zero parts left out."""
     whole = F.floor(seconds).cast("long")
@@ -35,6 +41,27 @@ def latest_state(updates: DataFrame, by: Sequence[str] = ("task_id",), time: str
     return updates.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_s")).select(*by, "_s.*")
 
 
+def task_table(suite: DataFrame, updates: DataFrame, time: str = "ts") -> DataFrame:
+    """Current row of every suite task: status, score, runtime so far and report file.
+
+    Updates are reduced to one row per task before they meet the 16-row suite.
+    """
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    spans = updates.groupBy("task_id").agg(
+        ((micros(F.max(time)) - micros(F.min(time))) / 1e6).alias("_span"), F.max_by("score", time).alias("score"),
+        F.max_by("status", time).alias("_status"),
+    )
+    return suite.join(spans, "task_id", "left").select(
+        "task_id",
+        "name",
+        "shots",
+        F.coalesce("_status", "status").alias("status"),
+        "score",
+        humantime(F.col("_span")).alias("runtime"),
+        F.struct(F.concat("name", F.lit(".json")).alias("path"), F.col("score").isNotNull().alias("exists")).alias("report"),
+    )
+
+
 def progress(states: DataFrame, updates: DataFrame, time: str = "ts") -> DataFrame:
     """Tasks done, total and elapsed time of a run."""
     counts = states.agg(

@@ -144,6 +144,17 @@ def s10(spark, root):
     return back.select("chat_id", "turn", "role", "content", F.unix_micros("ts").alias("ts_us"))
 
 
+@query(
+    "s10_chat_ids",
+    """SELECT chat_id, CASE WHEN chat_id % 3 = 0 THEN 'chat ' || chat_id ELSE strftime(min(ts), '%Y%m%d_%H%M%S') END AS name
+       FROM sessions GROUP BY chat_id""",
+)
+def s10_ids(spark, root):
+    started = tables.sessions(spark, root).groupBy("chat_id").agg(F.min("ts").alias("started"))
+    title = F.when(F.col("chat_id") % 3 == 0, F.concat(F.lit("chat "), F.col("chat_id").cast("string"))).otherwise("")
+    return started.select("chat_id", sources.chat_id(title, F.col("started")).alias("name"))
+
+
 @query(
     "s11_saved_splits",
     """SELECT doc_id, md5(text) AS digest FROM (

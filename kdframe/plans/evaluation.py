@@ -369,16 +369,34 @@ def e18(spark, root):
     return tables.reports(spark, root).select("doc_id", r6(eval_scoring.pick_score(result)).alias("score"))
 
 
+_HUMAN = """CASE WHEN sec >= 3600 THEN sec // 3600 || 'h ' ELSE '' END
+         || CASE WHEN sec >= 60 THEN sec % 3600 // 60 || 'm ' ELSE '' END || sec % 60 || 's'"""
+
+
 @query(
     "e19_progress",
-    """SELECT done, total, sec AS elapsed_sec, CASE WHEN sec >= 3600 THEN sec // 3600 || 'h ' ELSE '' END
-         || CASE WHEN sec >= 60 THEN sec % 3600 // 60 || 'm ' ELSE '' END || sec % 60 || 's' AS elapsed_human
-       FROM (SELECT count(*) FILTER (WHERE status = 'done') AS done, count(*) AS total FROM latest)
+    f"""SELECT done, 16::BIGINT AS total, sec AS elapsed_sec, {_HUMAN} AS elapsed_human
+       FROM (SELECT count(*) FILTER (WHERE status = 'done') AS done FROM latest)
        CROSS JOIN (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS sec FROM status)""",
 )
 def e19(spark, root):
     updates = tables.status_of(tables.base(spark, root, "events"))
-    return eval_reports.progress(eval_reports.latest_state(updates), updates)
+    return eval_reports.progress(eval_reports.task_table(eval_reports.suite_table(spark), updates), updates)
+
+
+_NAMES = ", ".join(f"'{name}'" for name, _, _ in eval_reports.SUITE)
+
+
+@query(
+    "e19_task_table",
+    f"""SELECT task_id, ([{_NAMES}])[task_id + 1] AS name, status, {R("score")} AS score, {_HUMAN} AS runtime,
+               ([{_NAMES}])[task_id + 1] || '.json' AS report
+        FROM latest JOIN (SELECT task_id, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS sec FROM status GROUP BY task_id) USING (task_id)""",
+)
+def e19_table(spark, root):
+    updates = tables.status_of(tables.base(spark, root, "events"))
+    table = eval_reports.task_table(eval_reports.suite_table(spark), updates)
+    return table.select("task_id", "name", "status", r6("score").alias("score"), "runtime", F.col("report.path").alias("report"))
 
 
 def _stats(df):

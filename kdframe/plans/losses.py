@@ -227,17 +227,22 @@ def l15(spark, root):
     f"""WITH means AS (
           SELECT batch_id, split, avg(reward_chosen) AS "rewards/chosen", avg(reward_rejected) AS "rewards/rejected",
                  avg((reward_chosen > reward_rejected)::INT) AS "rewards/accuracies", avg(reward_chosen - reward_rejected) AS "rewards/margins",
-                 avg(chosen) AS "logps/chosen", avg(rejected) AS "logps/rejected", any_value(kd) AS "logits/kd", any_value(nll) AS nll_loss
-          FROM rewards JOIN batch_kd USING (batch_id) LEFT JOIN batch_nll USING (batch_id) GROUP BY batch_id, split)
+                 avg(chosen) AS "logps/chosen", avg(rejected) AS "logps/rejected", any_value(kd) AS "logits/kd", any_value(nll) AS nll_loss,
+                 any_value(lc) AS "logits/chosen", any_value(lr) AS "logits/rejected"
+          FROM rewards JOIN (SELECT batch_id, avg(list_avg(student)) FILTER (WHERE side = 'chosen') AS lc,
+                                    avg(list_avg(student)) FILTER (WHERE side = 'rejected') AS lr
+                             FROM aligned WHERE loss_mask = 1 GROUP BY batch_id) USING (batch_id) JOIN batch_kd USING (batch_id) LEFT JOIN batch_nll USING (batch_id) GROUP BY batch_id, split)
         SELECT batch_id, split, CASE WHEN split = 'eval' THEN 'eval_' ELSE '' END || metric AS metric, {R("value")} AS value
         FROM means UNPIVOT INCLUDE NULLS (value FOR metric IN ("rewards/chosen", "rewards/rejected", "rewards/accuracies",
-          "rewards/margins", "logps/chosen", "logps/rejected", "logits/kd", nll_loss))""",
+          "rewards/margins", "logps/chosen", "logps/rejected", "logits/kd", "logits/chosen", "logits/rejected", nll_loss))""",
 )
 def l16(spark, root):
+    means = kd.mean_logits(aligned(spark, root), "student", ["batch_id", "side"])
     rows = (
         rewarded(spark, root)
         .join(kd.batchmean_kl(aligned(spark, root), 1.0, ["batch_id"]), "batch_id")
         .join(kd.chosen_nll(scored(spark, root), "student", ["batch_id"]), "batch_id", "left")
+        .join(kd.pivot_sides(means, ["batch_id"], "mean_logit", "logit_"), "batch_id")
     )
     return kd.batch_metrics(rows).select("batch_id", "split", "metric", r6("value").alias("value"))
 

@@ -91,6 +91,11 @@ def nest_sessions(messages: DataFrame, chat: str = "chat_id", order: str = "turn
     )
 
 
+def chat_id(title: Column, started: Column) -> Column:
+    """Name of a saved chat: its title, else its start time."""
+    return F.coalesce(F.nullif(title, F.lit("")), F.date_format(started, "yyyyMMdd_HHmmss"))
+
+
 SESSION_SCHEMA = "id long, part long, messages array<struct<role:string,content:string,timestamp:string>>"
 
 

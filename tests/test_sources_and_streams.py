@@ -18,6 +18,21 @@ def test_suite_files(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("custom", "arc", 0, True), ("extended", "ifeval", 5, False)]
 
 
+def test_first_available_dataset(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "second"))
+    names = [str(tmp_path / "first"), str(tmp_path / "second")]
+    assert eval_prompts.first_available(spark, names).count() == 4
+
+
+def test_splits_are_pruned_on_read(spark, tmp_path):
+    path = str(tmp_path / "data")
+    sources.save_splits(spark.range(10).withColumn("split", F.when(F.col("id") < 3, "test").otherwise("train")), path)
+    test = sources.load_split(spark, path, "test")
+    assert sorted(r.id for r in test.collect()) == [0, 1, 2]
+    assert "PartitionFilters: [isnotnull(split" in test._jdf.queryExecution().executedPlan().toString()
+    assert sources.load_subset(spark, str(tmp_path), "data", "train", tasks=2).count() == 7
+
+
 def test_registry_has_42_tasks(spark):
     registry = eval_prompts.task_registry(spark)
     assert registry.count() == 42 and registry.where("task LIKE 'bbh:%'").count() == 27
