@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kdframe.functions.text import join_ints  # noqa: F401  (re-exported for callers)
+from kdframe.functions.text import clipped, join_ints  # noqa: F401  (re-exported for callers)
+from kdframe.functions.vectors import let
 from kdframe.operators.ranking import prefix_sum, shuffled_rank
 from kdframe.session import fits, materialize
 
@@ -73,19 +74,14 @@ def lookup_ids(tokens: DataFrame, vocabulary: DataFrame, broadcast_rows: int = B
     return common.unionByName(rare)
 
 
-def sequence_tokens(
-    fragments: DataFrame,
-    max_length: int,
-    seq: str = "conv_id",
-    place: str = "place",
-    text: str = "fragment",
-    tokeniser: str = "student",
+def sequence_texts(
+    fragments: DataFrame, max_length: int, seq: str = "conv_id", place: str = "place", text: str = "fragment"
 ) -> DataFrame:
-    """First ``max_length`` tokens of every sequence, from its ordered text fragments.
+    """``text`` of every sequence, long enough for its first ``max_length`` tokens.
 
-    Every fragment gives at least one token, so fragments after the ``max_length``-th are cut
-    before the shuffle (a group limit on the map side) and a very long sequence stays bounded.
-    ``pos`` numbers the tokens from 0.
+    Every fragment gives at least one token, so fragments after the ``max_length``-th are cut, by a
+    group limit that works before the shuffle. A sequence of any length therefore costs at most
+    that many fragments, and the grouping reuses the window's partitioning.
     """
     order = Window.partitionBy(seq).orderBy(place)
     bounded = (
@@ -93,10 +89,21 @@ def sequence_tokens(
         .withColumn("_nth", F.row_number().over(order))
         .where(F.col("_nth") <= max_length)
     )
-    cut = F.slice(pieces(F.col(text), tokeniser), 1, max_length)
-    tokens = bounded.select(seq, place, F.posexplode(cut).alias("at", "piece"))
-    numbered = tokens.withColumn("pos", F.row_number().over(Window.partitionBy(seq).orderBy(place, "at")) - 1)
-    return numbered.where(F.col("pos") < max_length)
+    ordered = F.sort_array(F.collect_list(F.struct("_nth", text)))
+    return bounded.groupBy(seq).agg(F.array_join(F.transform(ordered, lambda f: f[text]), "").alias("text"))
+
+
+def sequence_tokens(
+    fragments: DataFrame,
+    max_length: int,
+    seq: str = "conv_id",
+    place: str = "place",
+    text: str = "fragment",
+    tokeniser: str = "student",
+) -> DataFrame:
+    """First ``max_length`` tokens of every sequence; ``pos`` numbers them from 0."""
+    whole = sequence_texts(fragments, max_length, seq, place, text)
+    return whole.select(seq, F.posexplode(F.slice(pieces(F.col("text"), tokeniser), 1, max_length)).alias("pos", "piece"))
 
 
 def collect_ids(tokens: DataFrame, by: Sequence[str], value: str = "id", name: str = "input_ids") -> DataFrame:
@@ -191,6 +198,58 @@ def mark_spans(
     )
 
 
+def span_segments(text: Column, start: str, end: str) -> Column:
+    """Cut text after every start marker and before every end marker, and mark the supervised parts.
+
+    Gives ``ARRAY<STRUCT<segment, supervised>>``. A part is supervised when the part before it ends
+    in the start marker, unless it begins with the end marker. The markers must be whole tokens of
+    the tokeniser, as the chat markers are.
+    """
+    cuts = F.split(text, rf"(?<=\Q{start}\E)|(?=\Q{end}\E)")
+    return let(
+        cuts,
+        lambda parts: F.transform(
+            parts,
+            lambda part, i: F.struct(
+                part.alias("segment"),
+                (
+                    F.coalesce(F.endswith(F.get(parts, i - 1), F.lit(start)), F.lit(False))
+                    & ~F.startswith(part, F.lit(end))
+                ).alias("supervised"),
+            ),
+        ),
+    )
+
+
+def supervised_pieces(text: Column, start: str, end: str, tokeniser: str = "student") -> Column:
+    """Tokens of a text with their span mark, ``ARRAY<STRUCT<piece, supervised>>``, without any window."""
+    return F.flatten(
+        F.transform(
+            span_segments(text, start, end),
+            lambda s: F.transform(
+                pieces(s["segment"], tokeniser), lambda p: F.struct(p.alias("piece"), s["supervised"].alias("supervised"))
+            ),
+        )
+    )
+
+
+def sequence_counts(text: Column, start: str, end: str, max_length: int, tokeniser: str = "student") -> Column:
+    """``STRUCT<tokens, supervised>`` of a text cut at ``max_length`` tokens; only segment sizes are used."""
+    zero = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("supervised"))
+
+    def add(acc: Column, s: Column) -> Column:
+        kept = clipped(F.size(pieces(s["segment"], tokeniser)), acc["tokens"], max_length)
+        return let(
+            kept,
+            lambda n: F.struct(
+                (acc["tokens"] + n).alias("tokens"),
+                (acc["supervised"] + F.when(s["supervised"], n).otherwise(0)).alias("supervised"),
+            ),
+        )
+
+    return F.aggregate(span_segments(text, start, end), zero, add)
+
+
 def span_labels(supervised: Column, ids: Column) -> Column:
     return F.when(supervised, ids).otherwise(F.lit(IGNORE))
 
@@ -229,10 +288,16 @@ def padding_per_batch(df: DataFrame, batch: str, length: str) -> DataFrame:
     ).withColumn("padding", F.col("padded") - F.col("tokens"))
 
 
-def sequence_budget(tokens: DataFrame, seq: Sequence[str] = ("conv_id",)) -> DataFrame:
-    """Tokens and supervised tokens of every sequence."""
-    return tokens.groupBy(*seq).agg(
-        F.count(F.lit(1)).alias("tokens"), F.sum(F.col("supervised").cast("long")).alias("supervised_tokens")
+def sequence_budget(
+    fragments: DataFrame, max_length: int, start: str, end: str, seq: str = "conv_id"
+) -> DataFrame:
+    """Tokens and supervised tokens of every sequence, cut at ``max_length``; no token rows are made."""
+    counts = sequence_counts(F.col("text"), start, end, max_length)
+    counted = sequence_texts(fragments, max_length, seq).select(seq, counts.alias("_n"))
+    return counted.select(
+        seq,
+        F.col("_n.tokens").cast("long").alias("tokens"),
+        F.col("_n.supervised").cast("long").alias("supervised_tokens"),
     )
 
 

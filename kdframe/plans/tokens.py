@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kdframe.operators import preference as pref
 from kdframe.operators import tokens as tok
-from kdframe.operators.conversation import preference_format
+from kdframe.operators import conversation as chat
+from kdframe.operators.conversation import ASSISTANT_START, preference_format
 from kdframe.operators.mixture import concat_sides, train_test_split
 from kdframe.plans import tables
 from kdframe.plans.catalog import digest, query, r6
@@ -15,7 +16,8 @@ from kdframe.session import materialize
 
 LENGTH = 512
 BATCH = 8
-START, END = ["<|im_start|>", "assistant", "\n"], ["<|im_end|>"]
+START, END = ASSISTANT_START, chat.END
+START_PIECES = ["<|im_start|>", "assistant", "\n"]
 
 
 def vocabulary(spark, root, tokeniser):
@@ -28,10 +30,6 @@ def token_rows(spark, root, tokeniser="student"):
     return tok.sequence_tokens(tables.fragments(spark, root), LENGTH, tokeniser=tokeniser)
 
 
-def marked(spark, root):
-    return tok.mark_spans(token_rows(spark, root), START, END, order=["place", "at"])
-
-
 def ids_of(spark, root, tokeniser, name):
     found = tok.lookup_ids(token_rows(spark, root, tokeniser), vocabulary(spark, root, tokeniser))
     return tok.collect_ids(found, ["conv_id"], name=name)
@@ -138,15 +136,29 @@ def t5(spark, root):
     )
 
 
-@query(
-    "t6_span_labels",
-    """SELECT conv_id, md5(string_agg(CASE WHEN supervised THEN id ELSE -100 END, ',' ORDER BY pos)) AS labels
-       FROM supervised JOIN student_vocabulary USING (piece) GROUP BY conv_id""",
-)
+_LABELS = """SELECT conv_id, md5(string_agg(CASE WHEN supervised THEN id ELSE -100 END, ',' ORDER BY pos)) AS labels
+       FROM supervised JOIN student_vocabulary USING (piece) GROUP BY conv_id"""
+
+
+def labelled(spark, root, marked):
+    found = tok.lookup_ids(marked, vocabulary(spark, root, "student"))
+    labels = found.withColumn("label", tok.span_labels(F.col("supervised"), F.col("id")))
+    return tok.collect_ids(labels, ["conv_id"], "label", "labels").select("conv_id", listing("labels"))
+
+
+@query("t6_span_labels", _LABELS)
 def t6(spark, root):
-    found = tok.lookup_ids(marked(spark, root), vocabulary(spark, root, "student"))
-    labelled = found.withColumn("label", tok.span_labels(F.col("supervised"), F.col("id")))
-    return tok.collect_ids(labelled, ["conv_id"], "label", "labels").select("conv_id", listing("labels"))
+    """Spans found in the text."""
+    texts = tok.sequence_texts(tables.fragments(spark, root), LENGTH)
+    marked = F.slice(tok.supervised_pieces(F.col("text"), START, END), 1, LENGTH)
+    rows = texts.select("conv_id", F.posexplode(marked).alias("pos", "_t")).select("conv_id", "pos", "_t.*")
+    return labelled(spark, root, rows)
+
+
+@query("t6_span_labels_tokens", _LABELS)
+def t6_tokens(spark, root):
+    """Spans found in the token rows, for markers of any kind."""
+    return labelled(spark, root, tok.mark_spans(token_rows(spark, root), START_PIECES, [END]))
 
 
 @query(
@@ -189,7 +201,7 @@ def t9(spark, root):
 
 
 def budgets(spark, root):
-    kept = tok.sequence_budget(marked(spark, root))
+    kept = tok.sequence_budget(tables.fragments(spark, root), LENGTH, START, END)
     return lengths(spark, root).withColumnRenamed("length", "full_tokens").join(kept, "conv_id")
 
 

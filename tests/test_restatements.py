@@ -167,3 +167,25 @@ def test_normalised_answers(spark):
     numbers = [("so 1,234.", "#### 1234", 1), ("#### 5 then 7", "5", 1), ("none", "5", 0), ("-3.5", "#### -3.5", 1)]
     df = spark.createDataFrame(numbers, "p string, g string, want int")
     assert all(r[0] == r[1] for r in df.select(eval_scoring.number_match(F.col("p"), F.col("g")), "want").collect())
+
+
+def test_spans_in_text_equal_spans_in_tokens(spark):
+    start, end = "<|im_start|>assistant\n", "<|im_end|>"
+    bits = [start, end, "<|im_start|>user\n", "hi there", " assistant\n", "\n", "x1 "]
+    rows = [(i, 0, "".join(random.choice(bits) for _ in range(random.randrange(1, 14)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "conv_id int, place int, fragment string")
+    limit = 15
+    marked = tokens.mark_spans(
+        tokens.sequence_tokens(df, limit), ["<|im_start|>", "assistant", "\n"], [end]
+    )
+    by_token = {(r.conv_id, r.pos): (r.piece, r.supervised) for r in marked.collect()}
+    found = F.slice(tokens.supervised_pieces(F.col("text"), start, end), 1, limit)
+    texts = tokens.sequence_texts(df, limit)
+    by_text = {
+        (r.conv_id, r.pos): (r.t.piece, r.t.supervised)
+        for r in texts.select("conv_id", F.posexplode(found).alias("pos", "t")).collect()
+    }
+    assert by_text == by_token
+    for r in tokens.sequence_budget(df, limit, start, end).collect():
+        mine = [v for k, v in by_token.items() if k[0] == r.conv_id]
+        assert (r.tokens, r.supervised_tokens) == (len(mine), sum(v[1] for v in mine))
