@@ -192,13 +192,13 @@ def train_test_split(
     return flagged.withColumn(column, F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
-def concat_sides(df: DataFrame, shared: Sequence[str], chosen: str, rejected: str) -> DataFrame:
-    """Chosen rows followed by rejected rows, told apart by ``side``."""
-    parts = [
-        df.select(*shared, F.lit(side).alias("side"), F.col(column).alias("completion"))
+def concat_sides(df: DataFrame, shared: Sequence[str | Column], chosen: str, rejected: str) -> DataFrame:
+    """One row per pair and side: ``side`` and ``completion``. The pairs are read once."""
+    sides = [
+        F.struct(F.lit(side).alias("side"), F.col(column).alias("completion"))
         for side, column in (("chosen", chosen), ("rejected", rejected))
     ]
-    return parts[0].unionByName(parts[1])
+    return df.select(*shared, F.inline(F.array(*sides)))
 
 
 def split_sides(df: DataFrame, shared: Sequence[str]) -> DataFrame:

@@ -237,23 +237,30 @@ def t9_report(spark, root):
 # ---- preference batches ---------------------------------------------------------------------
 
 PAIRS = 4
-KEYS = ["conv_id", "turn", "side", "batch_id"]
 
 
 def pair_ids(spark, root):
-    """Prompt and completion ids of both sides of every pair, in batches of four pairs."""
+    """Prompt and completion ids of both sides of every pair, in batches of four pairs.
+
+    The vocabulary counts the text as the model sees it, prompts once per side. Encoding handles
+    each text once and gives the prompt to both sides afterwards.
+    """
     pairs = preference_format(tables.preferences(spark, root), keep=("conv_id", "turn"))
-    rows = concat_sides(
-        tok.assign_batches(pairs, ["conv_id", "turn"], PAIRS), ["conv_id", "turn", "batch_id", "prompt"], "chosen", "rejected"
-    )
-    both = F.array(F.struct(F.lit(0).alias("part"), F.col("prompt").alias("text")), F.struct(F.lit(1).alias("part"), F.col("completion").alias("text")))
-    parts = rows.select(*KEYS, F.inline(both))
-    pieces = tok.explode_pieces(parts, "text", [*KEYS, "part"]).withColumnRenamed("at", "pos")
-    found = tok.lookup_ids(pieces, materialize(tok.build_vocabulary(pieces)))
+    batched_pairs = tok.assign_batches(pairs, ["conv_id", "turn"], PAIRS)
+    keys = ["conv_id", "turn", "batch_id"]
+    texts = F.inline(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("text")) for c in ("prompt", "chosen", "rejected")]))
+    seen = concat_sides(pairs, ["conv_id", "turn", "prompt"], "chosen", "rejected")
+    seen = seen.select(F.explode(F.array("prompt", "completion")).alias("text"))
+    vocabulary_ = materialize(tok.build_vocabulary(tok.explode_pieces(seen, "text", [])))
+    rows = tok.explode_pieces(batched_pairs.select(*keys, texts), "text", [*keys, "part"]).withColumnRenamed("at", "pos")
+    found = tok.lookup_ids(rows, vocabulary_)
     ordered = lambda part: F.transform(
         F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("pos", "id")))), lambda t: t["id"].cast("int")
+    ).alias(part)
+    whole = found.groupBy(*keys).agg(ordered("prompt"), ordered("chosen"), ordered("rejected"))
+    return concat_sides(whole, [*keys, F.col("prompt").alias("prompt_ids")], "chosen", "rejected").withColumnRenamed(
+        "completion", "completion_ids"
     )
-    return found.groupBy(*KEYS).agg(ordered(0).alias("prompt_ids"), ordered(1).alias("completion_ids"))
 
 
 def pair_batches(spark, root):
