@@ -24,13 +24,13 @@ def suite_table(spark: SparkSession) -> DataFrame:
 
 
 def humantime(seconds: Column) -> Column:
-    """``1h 2m 3s`` with leading zero parts left out."""
+    """``1h 2m 3s`` with leading zero parts left out; NULL for no time."""
     whole = F.floor(seconds).cast("long")
     hours, minutes, rest = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
     return (
         F.when(hours > 0, F.format_string("%dh %dm %ds", hours, minutes, rest))
         .when(minutes > 0, F.format_string("%dm %ds", minutes, rest))
-        .otherwise(F.format_string("%ds", rest))
+        .when(whole.isNotNull(), F.format_string("%ds", rest))
     )
 
 

@@ -389,9 +389,9 @@ _NAMES = ", ".join(f"'{name}'" for name, _, _ in eval_reports.SUITE)
 
 @query(
     "e19_task_table",
-    f"""SELECT task_id, ([{_NAMES}])[task_id + 1] AS name, status, {R("score")} AS score, {_HUMAN} AS runtime,
-               ([{_NAMES}])[task_id + 1] || '.json' AS report
-        FROM latest JOIN (SELECT task_id, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS sec FROM status GROUP BY task_id) USING (task_id)""",
+    f"""SELECT task_id, ([{_NAMES}])[task_id + 1] AS name, coalesce(status, 'pending') AS status, {R("score")} AS score,
+               CASE WHEN sec IS NOT NULL THEN {_HUMAN} END AS runtime, ([{_NAMES}])[task_id + 1] || '.json' AS report
+        FROM (SELECT unnest(range(16)) AS task_id) LEFT JOIN latest USING (task_id) LEFT JOIN (SELECT task_id, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS sec FROM status GROUP BY task_id) USING (task_id)""",
 )
 def e19_table(spark, root):
     updates = tables.status_of(tables.base(spark, root, "events"))

@@ -122,8 +122,8 @@ def test_unknown_loss_and_shapes(spark):
 
 
 def test_humantime(spark):
-    df = spark.createDataFrame([(5,), (65,), (3600,), (3725,)], "s long")
-    assert [r[0] for r in df.select(humantime(F.col("s"))).collect()] == ["5s", "1m 5s", "1h 0m 0s", "1h 2m 5s"]
+    df = spark.createDataFrame([(5,), (65,), (3600,), (3725,), (None,)], "s long")
+    assert [r[0] for r in df.select(humantime(F.col("s"))).collect()] == ["5s", "1m 5s", "1h 0m 0s", "1h 2m 5s", None]
 
 
 def test_hoisted_system_turns_come_out_reversed(spark):
