@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,16 @@ def local_session(app: str = "kdframe", cores: int | str = "*", shuffle: int = 8
     )
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process, and so see the same disk."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A temporary folder is set only when the session names none, as in local tests.
+    A temporary folder is set only when the session names none and runs in one local process.
+    On a cluster, where executors and driver share no local disk, a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -38,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kdframe-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kdframe.plans import all_queries, all_sql
 
 ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -24,8 +25,9 @@ def duck():
 
 
 def test_registry_is_complete():
-    names = set(entry.queries())
-    assert names == set(entry.oracle_sql())
+    names = set(all_queries())
+    assert names == set(all_sql())
+    assert names <= set(entry.queries())
     wanted = {"s": 11, "d": 16, "c": 14, "t": 9, "p": 7, "l": 17, "h": 16, "e": 22, "x": 7, "u": 4}
     for family, count in wanted.items():
         for i in range(1, count + 1):
@@ -42,12 +44,12 @@ def ordered(rows):
     return sorted(rows, key=lambda r: [(v is None, str(type(v)), v if not isinstance(v, float) else round(v, 4)) for v in r])
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, ROOT)
+    df = all_queries()[name](spark, ROOT)
     columns = sorted(df.columns)
     got = ordered([tuple(r[c] for c in columns) for r in df.collect()])
-    cursor = duck.execute(entry.oracle_sql()[name])
+    cursor = duck.execute(all_sql()[name])
     kinds = {d[0]: str(d[1]) for d in cursor.description}
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns

@@ -132,3 +132,21 @@ def test_length_groups_save_padding(spark):
     grouped = tokens.length_grouped_batches(df, ["id"], "n", 8)
     assert grouped.groupBy("batch_id").count().where("count = 8").count() == 500
     assert pad(grouped) < 0.2 * pad(tokens.assign_batches(df, ["id"], 8))
+
+
+def test_local_masters():
+    from kdframe.session import is_local
+
+    assert all(is_local(m) for m in ("local", "local[4]", "local[*]", "local[2,3]"))
+    assert not any(is_local(m) for m in ("local-cluster[3,2,1024]", "yarn", "k8s://host", "spark://host:7077"))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from kdframe.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_dir(session)
