@@ -9,11 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kdframe.llm import decontaminate, packing
+from kdframe.llm import decontaminate, language, line_dedup, near_duplicates, packing
 from kdframe.llm.common import table
 from kdframe.llm.registry import tokenizer_files
 from kdframe.session import materialize
 
+#: Least share of the best language in the evidence of a document.
+LANGUAGE_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, or whose language is in doubt, go."""
+    model = language.fit(docs.where(F.coalesce(language.fold("doc_id") != 2, F.lit(False))))
+    found = docs.withColumn("_found", language.predictor(docs, model)("text"))
+    sure = (F.col("_found.lang_pred") != language.UNKNOWN) & (F.col("_found.score") >= LANGUAGE_SCORE)
+    return found.where(sure).drop("_found")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; so does a document of which nothing is left."""
+    kept = line_dedup.dedup_lines(docs).where("text != ''")
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_duplicates.drop_near_duplicates(docs)
+
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; shorter hits are cut out of the others."""
@@ -27,6 +49,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("language ID", language_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
     ("benchmark decontamination", benchmark_stage),
     ("packing", packing_stage),
 ]

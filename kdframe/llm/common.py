@@ -39,21 +39,30 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, length)
 
 
-def text_function(kind: str, make: Callable[[], Callable[[list], list]]) -> Callable[[Column], Column]:
-    """A column function of a text that runs in Python on Arrow batches.
+def text_function(kind: str, make: Callable[[], Callable[..., list]], *more: str) -> Callable[..., Column]:
+    """A column function of a text, and of columns of the types ``more``, that runs in Python on Arrow batches.
 
     ``make`` is called once in a task and returns a function from a list of texts, of a bounded total
-    length, to a list of values of type ``kind``. Other columns of the row stay in the JVM.
+    length (and lists of the other columns' values), to a list of values of type ``kind``. The row's
+    other columns stay in the JVM.
     """
     arrow = to_arrow_type(_parse_datatype_string(kind))
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def answers(apply: Callable[..., list], columns: tuple[pa.Array, ...]) -> pa.Array:
+        parts = [pa.array(apply(*(c.slice(a, n).to_pylist() for c in columns)), arrow) for a, n in cuts(columns[0])]
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         apply = make()
         for texts in batches:
-            parts = [pa.array(apply(texts.slice(a, n).to_pylist()), arrow) for a, n in cuts(texts)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
+            yield answers(apply, (texts,))
+
+    def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        apply = make()
+        for columns in batches:
+            yield answers(apply, columns)
 
-    return F.arrow_udf(run, kind)
+    return F.arrow_udf(several if more else one, kind)
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

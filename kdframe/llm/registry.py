@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kdframe.llm import decontaminate, packing
+from kdframe.llm import decontaminate, language, line_dedup, near_duplicates, packing
 from kdframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,12 +27,33 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS)
 
 
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(language.fold("doc_id") == 2, F.lit(False))
+    model = language.fit(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.predictor(docs, model)("text").alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(table(spark, sf_dir, "documents"), *tokenizer_files(), keep_ids=False)
     return packing.pack(pieces).drop("ids")
 
 
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, removed_col="n_removed")
+
+
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", near_duplicates.is_kept().alias("kept"))
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
