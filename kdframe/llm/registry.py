@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kdframe.llm import decontaminate, language, line_dedup, near_duplicates, packing
+from kdframe.llm import decontaminate, language, line_dedup, near_duplicates, packing, pii, quality_rules
 from kdframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,20 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS)
 
 
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    names = ("email", "ip", "card", "phone")
+    count = {f"n_{name}": F.size(pii.of_kinds(F.col("pii"), name)).cast("long") for name in names}
+    base = pii.listed(pii.of_kinds(F.col("pii"), *names))
+    return found.select(
+        "doc_id",
+        *(c.alias(name) for name, c in count.items()),
+        F.sha2(base, 256).alias("base_sha256"),
+        pii.listed(F.col("pii")).alias("spans"),
+    )
+
+
 @query
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -42,6 +56,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).drop("ids")
 
 
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.apply_rules(docs).select("doc_id", *names)
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
