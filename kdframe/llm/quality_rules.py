@@ -62,9 +62,21 @@ def repeated_words(words: Column) -> Column:
 
         return F.sort_array(F.transform(F.filter(ranked, twin), lambda x: x["at"]))
 
+    def few(windows: Column, twice: Column) -> Column:
+        found = F.transform(windows, lambda x, i: F.when(F.array_contains(twice, x), i))
+        return covered(F.filter(found, lambda i: i.isNotNull()))
+
     def count(windows: Column) -> Column:
-        ranked = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("window"), i.alias("at"))))
-        several = let(ranked, lambda r: covered(places(r)))
+        """Few different repeated windows are looked for one by one; many are ranked with their places."""
+
+        def by_number(twice: Column) -> Column:
+            ranked = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("window"), i.alias("at"))))
+            return F.when(F.size(twice) <= 8, few(windows, twice)).otherwise(let(ranked, lambda r: covered(places(r))))
+
+        def again(ranked: Column) -> Column:
+            return F.array_distinct(F.filter(ranked, lambda x, i: F.coalesce(x == F.get(ranked, i - 1), F.lit(False))))
+
+        several = let(let(F.sort_array(windows), again), by_number)
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(several)
 
     at = F.sequence(F.lit(0), F.size(words) - 3)

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kdframe.llm import decontaminate, language, line_dedup, near_duplicates, packing, pii, quality_rules
+from kdframe.llm import (
+    decontaminate,
+    language,
+    licenses,
+    line_dedup,
+    near_duplicates,
+    packing,
+    pii,
+    quality_model,
+    quality_rules,
+    sharding,
+)
 from kdframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +27,7 @@ ORACLES: dict[str, str] = {}
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+SHARDS = 256
 
 
 def query(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -50,6 +62,21 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.element_at(F.array_sort(F.transform("licenses", lambda m: F.struct((-m["dice"]).alias("d"), m["license"], m["unit"]))), 1)
+    listed = F.array_join(F.transform("licenses", lambda m: F.concat_ws(":", m["unit"], m["license"])), ",")
+    top = found.withColumn("best", F.when(F.size("licenses") > 0, best))
+    return top.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_matches"),
+        F.col("best.license").alias("license"),
+        F.round(-F.col("best.d"), 6).alias("dice"),
+        listed.alias("matches"),
+    )
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(table(spark, sf_dir, "documents"), *tokenizer_files(), keep_ids=False)
@@ -75,6 +102,20 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", near_duplicates.is_kept().alias("kept"))
 
 
+@query
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.classify(docs).select("doc_id", "weak_score", "quality_score", "good")
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"))
+    placed = sharding.assign_shards(docs, ["doc_id"], [f"shard-{i:03d}" for i in range(SHARDS)])
+    split = sharding.split_shards(placed, ["doc_id"], F.coalesce("size", F.lit(0)))
+    return split.select("doc_id", "slot", "shard", "part")
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
