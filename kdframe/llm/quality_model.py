@@ -30,7 +30,7 @@ from kdframe.session import materialize
 
 FIT_ROWS = 20_000
 FIT_PARTS = 8
-EPOCHS = 4
+EPOCHS = 12
 BUCKETS = 1 << 14
 RATE = 0.5
 
@@ -155,24 +155,32 @@ def fit(labelled: DataFrame, *, text_col: str, label_col: str, by: str, fit_rows
     rows = labelled.select(F.xxhash64(by, text_col).alias("by"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     share_of = min(1.0, fit_rows / max(1, rows.count()))
     chosen = rows.where(F.pmod("by", F.lit(1 << 20)) < int(share_of * (1 << 20)))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            at, values = zip(*map(features, column(batch, "text")))
+            columns = [pa.array(at, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))]
+            names = ["by", "label", "at", "values"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
+
+    measured = chosen.mapInArrow(measure, "by long, label double, at array<long>, values array<double>").where("size(at) > 0")
     # a part is a part of the sample, so bounded
-    sample = materialize(chosen.repartition(FIT_PARTS, "by").sortWithinPartitions("by"))
+    sample = materialize(measured.repartition(FIT_PARTS, "by").sortWithinPartitions("by"))
     weights = np.zeros(BUCKETS)
     for epoch in range(epochs):
         shared = labelled.sparkSession.sparkContext.broadcast(weights)
 
         def descend(batches: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
             own, n = shared.value.copy(), 0
-            for batch in (part for whole in batches for part in slices(whole, "text")):
-                for text, label in zip(column(batch, "text"), column(batch, "label")):
-                    at, values = features(text)
-                    if len(at):
-                        wrong = 1 / (1 + np.exp(-np.clip(own[at] @ values, -30, 30))) - label
-                        own[at] -= RATE / (1 + epoch) * wrong * values
-                        n += 1
+            for batch in batches:
+                for label, at, values in zip(*(batch.column(c) for c in range(3))):
+                    at, values = at.values.to_numpy(), values.values.to_numpy()
+                    wrong = 1 / (1 + np.exp(-np.clip(own[at] @ values, -30, 30))) - label.as_py()
+                    own[at] -= RATE / (1 + epoch / 4) * wrong * values
+                n += batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own.tobytes()])], names=["n", "weights"])
 
-        found = sample.select("text", "label").mapInArrow(descend, "n long, weights binary").where("n > 0").collect()
+        found = sample.select("label", "at", "values").mapInArrow(descend, "n long, weights binary").where("n > 0").collect()
         if found:
             weights = np.average([np.frombuffer(r["weights"]) for r in found], axis=0, weights=[r["n"] for r in found])
     return weights
