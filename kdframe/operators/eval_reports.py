@@ -87,17 +87,16 @@ def with_speed(runs: DataFrame) -> DataFrame:
 
 def generation_stats(runs: DataFrame, by: Sequence[str] = ("model",), failed: str | None = None) -> DataFrame:
     """Mean time, mean tokens and overall speed (a ratio of sums) per model; failed models are skipped."""
-    usable = runs
-    if failed is not None:
-        bad = runs.groupBy(*by).agg(F.max(F.col(failed).cast("int")).alias("_bad")).where("_bad = 1").select(*by)
-        usable = runs.join(bad, list(by), "left_anti")
     time, tokens = F.sum("generation_time"), F.sum("tokens_generated")
-    return usable.groupBy(*by).agg(
+    bad = F.coalesce(F.max(F.col(failed).cast("int")), F.lit(0)) if failed is not None else F.lit(0)
+    stats = runs.groupBy(*by).agg(
+        bad.alias("_bad"),
         F.count(F.lit(1)).alias("responses"),
         F.avg("generation_time").alias("avg_generation_time"),
         F.avg("tokens_generated").alias("avg_tokens_generated"),
         tokens_per_second(tokens, time).alias("avg_tokens_per_second"),
     )
+    return stats.where("_bad = 0").drop("_bad")
 
 
 def compare_models(stats: DataFrame, first: str | None = None, second: str | None = None) -> DataFrame:

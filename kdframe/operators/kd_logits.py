@@ -81,7 +81,8 @@ def token_logps(df: DataFrame, logits: str, label: str = "label", mask: str = "l
 def sequence_logps(tokens: DataFrame, by: Sequence[str], per_token: bool = False, mask: str = "loss_mask") -> DataFrame:
     """Sum of token log-probabilities; ``per_token`` divides by the row's masked length."""
     total = F.sum("logp")
-    value = total / F.sum(mask) if per_token else total
+    # a row without loss tokens has no mean
+    value = F.try_divide(total, F.sum(mask)) if per_token else total
     return tokens.groupBy(*by).agg(value.alias("logp"))
 
 
@@ -103,7 +104,7 @@ def policy_weights(
     else:
         logp = F.col("logp")
     terms = tokens.withColumn("_term", (logp - adjustment) * F.col(mask))
-    weights = terms.groupBy(pair, "side").agg((F.sum("_term") / F.sum(mask)).alias("_w"))
+    weights = terms.groupBy(pair, "side").agg(F.try_divide(F.sum("_term"), F.sum(mask)).alias("_w"))
     return weights.groupBy(pair).agg(
         F.least(F.exp(F.sum("_w")), F.lit(1.0)).alias("policy_weight")
     )

@@ -68,14 +68,17 @@ def text_requests(texts: DataFrame, text: str, question: Column | None = None) -
 def parse_tool_calls(df: DataFrame, text: str = "text", tools: list[str] | None = None) -> DataFrame:
     """One row per tool call of the first tagged block; without calls, the raw text is kept.
 
-    A missing tag, an empty list, unreadable JSON and a call without a name all count as no call.
+    A missing tag, an empty list, unreadable JSON, a call without a name and a call of a known tool
+    without arguments all count as no call.
     """
+    names = TOOLS if tools is None else tools
     body = F.regexp_extract(F.col(text), r"(?s)<tool_call>(.*?)</tool_call>", 1)
     calls = F.from_json(F.when(body.rlike(r"^\s*\["), body), CALLS)
-    usable = (F.size(calls) > 0) & F.forall(calls, lambda c: c["name"].isNotNull())
+    complete = F.forall(calls, lambda c: c["name"].isNotNull() & (~c["name"].isin(names) | c["arguments"].isNotNull()))
+    usable = (F.size(calls) > 0) & complete
     parsed = df.withColumn("_calls", F.when(usable, calls))
     exploded = parsed.select(*df.columns, F.posexplode_outer("_calls").alias("call", "_one"))
-    known = F.col("_one.name").isin(TOOLS if tools is None else tools)
+    known = F.col("_one.name").isin(names)
     return (
         exploded.withColumn("tool", F.col("_one.name"))
         .withColumn("arguments", F.col("_one.arguments"))

@@ -19,6 +19,7 @@ from kdframe.session import fits, materialize
 # fixed values
 IGNORE = -100
 DEFAULT_CONTEXT = 4096
+UNKNOWN = 0  # the end-of-text marker, which every vocabulary has
 SPECIALS = ("<|endoftext|>", "<|im_start|>", "<|im_end|>")
 
 _SPECIAL_RULE = "|".join(s.replace("|", r"\|") for s in SPECIALS)
@@ -56,8 +57,10 @@ def build_vocabulary(tokens: DataFrame) -> DataFrame:
     return ranked.select("piece", "n", (F.col("_rank") + len(SPECIALS)).alias("id")).unionByName(marked)
 
 
-def lookup_ids(tokens: DataFrame, vocabulary: DataFrame, broadcast_rows: int = BROADCAST_PIECES) -> DataFrame:
-    """Attach ``id`` to every token.
+def lookup_ids(
+    tokens: DataFrame, vocabulary: DataFrame, broadcast_rows: int = BROADCAST_PIECES, unknown: int = UNKNOWN
+) -> DataFrame:
+    """Attach ``id`` to every token; a piece outside the vocabulary gets ``unknown``.
 
     A vocabulary within ``broadcast_rows`` (counted, reading no more than that) is broadcast. A
     larger one is split: its most frequent pieces, a bounded head that holds nearly all tokens and
@@ -65,37 +68,35 @@ def lookup_ids(tokens: DataFrame, vocabulary: DataFrame, broadcast_rows: int = B
     """
     ids = vocabulary.select("piece", "id")
     if fits(ids, broadcast_rows):
-        return tokens.join(F.broadcast(ids), "piece")
+        return tokens.join(F.broadcast(ids), "piece", "left").na.fill({"id": unknown})
     head = ids.where(F.col("id") < broadcast_rows)
     tail = ids.where(F.col("id") >= broadcast_rows)
     probed = tokens.join(F.broadcast(head), "piece", "left")
     common = probed.where(F.col("id").isNotNull())
-    rare = probed.where(F.col("id").isNull()).drop("id").join(tail, "piece")
+    rare = probed.where(F.col("id").isNull()).drop("id").join(tail, "piece", "left").na.fill({"id": unknown})
     return common.unionByName(rare)
 
 
 def sequence_texts(
-    fragments: DataFrame, max_length: int, seq: str = "conv_id", place: str = "place", text: str = "fragment"
+    fragments: DataFrame, max_length: int | None, seq: str = "conv_id", place: str = "place", text: str = "fragment"
 ) -> DataFrame:
-    """``text`` of every sequence, long enough for its first ``max_length`` tokens.
+    """``text`` of every sequence, long enough for its first ``max_length`` tokens; whole without a limit.
 
     Every fragment gives at least one token, so fragments after the ``max_length``-th are cut, by a
     group limit that works before the shuffle. A sequence of any length therefore costs at most
     that many fragments, and the grouping reuses the window's partitioning.
     """
     order = Window.partitionBy(seq).orderBy(place)
-    bounded = (
-        fragments.where(F.length(text) > 0)
-        .withColumn("_nth", F.row_number().over(order))
-        .where(F.col("_nth") <= max_length)
-    )
+    bounded = fragments.where(F.length(text) > 0).withColumn("_nth", F.row_number().over(order))
+    if max_length is not None:
+        bounded = bounded.where(F.col("_nth") <= max_length)
     ordered = F.sort_array(F.collect_list(F.struct("_nth", text)))
     return bounded.groupBy(seq).agg(F.array_join(F.transform(ordered, lambda f: f[text]), "").alias("text"))
 
 
 def sequence_tokens(
     fragments: DataFrame,
-    max_length: int,
+    max_length: int | None,
     seq: str = "conv_id",
     place: str = "place",
     text: str = "fragment",
@@ -103,7 +104,8 @@ def sequence_tokens(
 ) -> DataFrame:
     """First ``max_length`` tokens of every sequence; ``pos`` numbers them from 0."""
     whole = sequence_texts(fragments, max_length, seq, place, text)
-    return whole.select(seq, F.posexplode(F.slice(pieces(F.col("text"), tokeniser), 1, max_length)).alias("pos", "piece"))
+    found = pieces(F.col("text"), tokeniser)
+    return whole.select(seq, F.posexplode(found if max_length is None else F.slice(found, 1, max_length)).alias("pos", "piece"))
 
 
 def collect_ids(tokens: DataFrame, by: Sequence[str], value: str = "id", name: str = "input_ids") -> DataFrame:

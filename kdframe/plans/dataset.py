@@ -141,7 +141,7 @@ def s10(spark, root):
     path = fresh_path(spark, "sessions")
     sources.write_sessions(tables.sessions(spark, root), path)
     back = sources.read_sessions(spark, path)
-    return back.select("chat_id", "turn", "role", "content", F.unix_micros("ts").alias("ts_us"))
+    return back.select(F.col("chat_id").cast("long").alias("chat_id"), "turn", "role", "content", F.unix_micros("ts").alias("ts_us"))
 
 
 @query(

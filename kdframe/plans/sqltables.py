@@ -86,6 +86,11 @@ SELECT s.conv_id, s.ids AS input_ids, t.ids AS teacher_input_ids FROM
   WHERE pos < 512 GROUP BY conv_id) s
  JOIN (SELECT conv_id, list(id::INT ORDER BY pos) AS ids FROM teacher_all JOIN teacher_vocabulary USING (piece)
   WHERE pos < 512 GROUP BY conv_id) t USING (conv_id)""",
+    "encoded_whole": """
+SELECT s.conv_id, s.ids AS input_ids, t.ids AS teacher_input_ids FROM
+ (SELECT conv_id, list(id::INT ORDER BY pos) AS ids FROM student_all JOIN student_vocabulary USING (piece) GROUP BY conv_id) s
+ JOIN (SELECT conv_id, list(id::INT ORDER BY pos) AS ids FROM teacher_all JOIN teacher_vocabulary USING (piece)
+  GROUP BY conv_id) t USING (conv_id)""",
     "marked": """
 SELECT conv_id, pos, piece, max(start_at) OVER w AS start_at, max(end_at) OVER w AS end_at FROM (
   SELECT conv_id, pos, piece,
@@ -251,9 +256,10 @@ FROM words""",
 SELECT * FROM chunks WHERE delta <> '' AND NOT (request_id % 4 = 0 AND seq >= 30)""",
     "emitted": """
 SELECT doc_id AS request_id, k AS seq,
-       CASE k WHEN 0 THEN substring(text, 1, length(text) // 2) WHEN 1 THEN text ELSE
+       CASE k WHEN 0 THEN substring(text, 1, length(text) // 2)
+         WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'so' ELSE substring(text, 1, 2) END WHEN 2 THEN text ELSE
          CASE doc_id % 3 WHEN 0 THEN text || ' end' WHEN 1 THEN text ELSE 'again ' || text END END AS text
-FROM documents CROSS JOIN (SELECT unnest(range(3)) AS k)""",
+FROM documents CROSS JOIN (SELECT unnest(range(4)) AS k)""",
     "sessions": """
 SELECT conv_id AS chat_id, turn, role, text AS content,
        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(turn + conv_id % 1000) AS ts

@@ -67,9 +67,14 @@ def x3_stream(spark, root):
 
 @query(
     "x4_new_suffixes",
-    """SELECT request_id, seq::INT AS seq, md5(text[length(prev) + 1:]) AS new_text FROM (
-         SELECT *, coalesce(lag(text) OVER (PARTITION BY request_id ORDER BY seq), '') AS prev FROM emitted)
-       WHERE starts_with(text, prev) AND length(text) > length(prev)""",
+    """SELECT request_id, (x).seq::INT AS seq, md5((x).new_text) AS new_text FROM (
+         SELECT request_id, unnest(list_reduce(
+           [{'text': '', 'added': []::STRUCT(seq BIGINT, new_text VARCHAR)[]}] ||
+             list({'text': text, 'added': [{'seq': seq::BIGINT, 'new_text': ''}]} ORDER BY seq),
+           lambda last, x: CASE WHEN NOT starts_with(x.text, last.text) THEN last
+             WHEN length(x.text) = length(last.text) THEN last
+             ELSE {'text': x.text, 'added': last.added || [{'seq': x.added[1].seq, 'new_text': x.text[length(last.text) + 1:]}]} END
+         ).added) AS x FROM emitted GROUP BY request_id)""",
 )
 def x4(spark, root):
     grown = flows.new_suffixes(tables.emitted(spark, root))
@@ -114,6 +119,22 @@ def x7(spark, root):
     )
 
 
+@query(
+    "x7_windowed_health_batch",
+    """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS steps, round(avg(loss_kd), 9) + 0.0 AS mean_kd,
+              round(avg(loss_xe) FILTER (WHERE NOT isnan(loss_xe)), 9) + 0.0 AS mean_xe FROM trainlog GROUP BY 1""",
+)
+def x7_batch(spark, root):
+    """All windows, the open ones included."""
+    health = flows.windowed_health(tables.trainlog_of(tables.base(spark, root, "events")))
+    return health.select(
+        F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"),
+        "steps",
+        F.round("mean_kd", 9).alias("mean_kd"),
+        F.round("mean_xe", 9).alias("mean_xe"),
+    )
+
+
 @query(
     "x7_stepped_health",
     """SELECT step // 500 AS block, count(*) AS steps, round(avg(loss_kd), 6) + 0.0 AS mean_kd,

@@ -257,14 +257,15 @@ def chunks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def emitted(spark: SparkSession, root: str) -> DataFrame:
-    """Three emitted texts per document: half of it, all of it, and all of it again or a restart."""
+    """Four emitted texts per document: half of it, a rejected restart for some, all of it, and more, the same or a restart."""
     docs = base(spark, root, "documents")
     half = F.substr("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    second = F.when(F.col("doc_id") % 2 == 0, F.lit("so")).otherwise(F.substr("text", F.lit(1), F.lit(2)))
     third = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" end"))).when(
         F.col("doc_id") % 3 == 1, F.col("text")
     ).otherwise(F.concat(F.lit("again "), "text"))
     return docs.select(
-        F.col("doc_id").alias("request_id"), F.posexplode(F.array(half, F.col("text"), third)).alias("seq", "text")
+        F.col("doc_id").alias("request_id"), F.posexplode(F.array(half, second, F.col("text"), third)).alias("seq", "text")
     )
 
 

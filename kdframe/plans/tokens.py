@@ -26,18 +26,19 @@ def vocabulary(spark, root, tokeniser):
     return materialize(tok.build_vocabulary(raw))
 
 
-def token_rows(spark, root, tokeniser="student"):
-    return tok.sequence_tokens(tables.fragments(spark, root), LENGTH, tokeniser=tokeniser)
+def token_rows(spark, root, tokeniser="student", length=LENGTH):
+    return tok.sequence_tokens(tables.fragments(spark, root), length, tokeniser=tokeniser)
 
 
-def ids_of(spark, root, tokeniser, name):
-    found = tok.lookup_ids(token_rows(spark, root, tokeniser), vocabulary(spark, root, tokeniser))
+def ids_of(spark, root, tokeniser, name, length=LENGTH):
+    found = tok.lookup_ids(token_rows(spark, root, tokeniser, length), vocabulary(spark, root, tokeniser))
     return tok.collect_ids(found, ["conv_id"], name=name)
 
 
-def encoded(spark, root):
-    student = ids_of(spark, root, "student", "input_ids")
-    return student.join(ids_of(spark, root, "teacher", "teacher_input_ids"), "conv_id")
+def encoded(spark, root, length=LENGTH):
+    """Ids of both tokenisers, of at most ``length`` tokens; of whole conversations without one."""
+    student = ids_of(spark, root, "student", "input_ids", length)
+    return student.join(ids_of(spark, root, "teacher", "teacher_input_ids", length), "conv_id")
 
 
 def listing(name):
@@ -61,10 +62,10 @@ def t1_vocabulary_teacher(spark, root):
 @query(
     "t1_encode",
     f"""SELECT conv_id, len(input_ids)::INT AS n, len(teacher_input_ids)::INT AS teacher_n, {_sql_list("input_ids")} AS input_ids,
-               {_sql_list("teacher_input_ids")} AS teacher_input_ids FROM encoded""",
+               {_sql_list("teacher_input_ids")} AS teacher_input_ids FROM encoded_whole""",
 )
 def t1_encode(spark, root):
-    return encoded(spark, root).select(
+    return encoded(spark, root, None).select(
         "conv_id",
         F.size("input_ids").alias("n"),
         F.size("teacher_input_ids").alias("teacher_n"),

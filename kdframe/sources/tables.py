@@ -39,12 +39,13 @@ def read_suite(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str, tasks: DataFrame) -> DataFrame:
-    """Score of every task from its ``<task>.json`` report; missing or unreadable gives NULL."""
+    """Score of every task from its ``<task>.json`` report, and whether that exists as readable JSON."""
     files = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("task"), "value"
     )
-    scored = files.withColumn("score", pick_score(first_result(F.col("value")))).drop("value")
-    return tasks.join(scored.withColumn("exists", F.lit(True)), "task", "left").na.fill({"exists": False})
+    parsed = files.withColumn("exists", F.try_parse_json("value").isNotNull())
+    scored = parsed.withColumn("score", pick_score(first_result(F.col("value")))).drop("value")
+    return tasks.join(scored, "task", "left").na.fill({"exists": False})
 
 
 def save_splits(df: DataFrame, path: str, split: str = "split") -> None:
@@ -79,14 +80,14 @@ def read_runs(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
 
 
 def iso_time(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
 def nest_sessions(messages: DataFrame, chat: str = "chat_id", order: str = "turn", rows: int = PART_ROWS) -> DataFrame:
     """Chat sessions as ``{id, part, messages: [{role, content, timestamp}]}`` documents."""
     one = F.struct(order, "role", "content", iso_time(F.col("ts")).alias("timestamp"))
     gathered = F.sort_array(F.collect_list(one))
-    return messages.groupBy(F.col(chat).alias("id"), F.floor(F.col(order) / rows).alias("part")).agg(
+    return messages.groupBy(F.col(chat).cast("string").alias("id"), F.floor(F.col(order) / rows).alias("part")).agg(
         F.transform(gathered, lambda m: F.struct(m["role"], m["content"], m["timestamp"])).alias("messages")
     )
 
@@ -96,7 +97,8 @@ def chat_id(title: Column, started: Column) -> Column:
     return F.coalesce(F.nullif(title, F.lit("")), F.date_format(started, "yyyyMMdd_HHmmss"))
 
 
-SESSION_SCHEMA = "id long, part long, messages array<struct<role:string,content:string,timestamp:string>>"
+# ids are titles or times, so they are text
+SESSION_SCHEMA = "id string, part long, messages array<struct<role:string,content:string,timestamp:string>>"
 
 
 def write_sessions(messages: DataFrame, path: str, chat: str = "chat_id") -> None:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -23,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STOPS = ("<end_action>", "<|endoftext|>")
 PROBE_EVERY = 100
 PART_CHUNKS = 4096
-IDLE_MS = 3_600_000
+IDLE = "1 hour"
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -145,7 +145,7 @@ _STATE = "next_seq long, chars long, pending_seq array<long>, pending_delta arra
 
 
 def _assemble(
-    key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState
+    key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int = 3_600_000
 ) -> Iterator[pd.DataFrame]:
     next_seq, chars, seqs, deltas, done = state.get if state.exists else (0, 0, [], [], False)
     finished = done
@@ -154,7 +154,8 @@ def _assemble(
     for batch in batches:
         latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
         if not done:
-            pending.update(zip(batch["seq"].tolist(), batch["delta"].tolist()))
+            # a delta that is sent again after it was given out is dropped
+            pending.update((s, d) for s, d in zip(batch["seq"].tolist(), batch["delta"].tolist()) if s >= next_seq)
     fresh: list[str] = []
     while pending and not done:
         if next_seq not in pending:
@@ -174,7 +175,7 @@ def _assemble(
         done = True
     else:
         state.update((next_seq, chars, list(pending), list(pending.values()), done))
-        state.setTimeoutTimestamp(latest + IDLE_MS)
+        state.setTimeoutTimestamp(latest + idle_ms)
     if text or (done and not finished):
         yield pd.DataFrame(
             {
@@ -187,27 +188,46 @@ def _assemble(
         )
 
 
-def assemble_stream(chunks: DataFrame) -> DataFrame:
+def assemble_stream(chunks: DataFrame, idle: str = IDLE, late: str = IDLE) -> DataFrame:
     """Newly readable text of every request per micro-batch.
 
     Deltas may arrive out of order: early ones wait in the state by ``seq``, and only the
-    contiguous text is given out. A request that is idle for an hour of event time is evicted, and
-    what it still holds is given out then.
+    contiguous text is given out; one that is sent again is dropped. A request that is idle for
+    ``idle`` of event time is evicted, and what it still holds is given out then. Deltas more than
+    ``late`` behind the newest may come after that, so choose both for the longest pause to expect.
     """
+    idle_ms = int(pd.Timedelta(idle) / pd.Timedelta(milliseconds=1))
+
+    def assemble(key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _assemble(key, batches, state, idle_ms)
+
     return (
         chunks.select("request_id", "seq", "delta", "ts")
-        .withWatermark("ts", "1 hour")
+        .withWatermark("ts", late)
         .groupBy("request_id")
-        .applyInPandasWithState(_assemble, ASSEMBLED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(assemble, ASSEMBLED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
 def new_suffixes(texts: DataFrame) -> DataFrame:
-    """What each emitted text adds to the one before; texts that do not extend it give nothing."""
-    before = F.coalesce(F.lag("text").over(Window.partitionBy("request_id").orderBy("seq")), F.lit(""))
-    grown = texts.withColumn("_prev", before).where(F.startswith("text", "_prev"))
-    added = F.substr("text", F.length("_prev") + 1)
-    return grown.withColumn("new_text", added).where(F.length("new_text") > 0).drop("_prev")
+    """What each text adds to the last accepted one; a text that does not extend that is not accepted.
+
+    The texts of one request are versions of one generated answer, so they are folded as an array.
+    """
+    seq, text = texts.schema["seq"].dataType.simpleString(), texts.schema["text"].dataType.simpleString()
+    state = f"struct<text:{text},added:array<struct<seq:{seq},text:{text},new_text:string>>>"
+
+    def fold(last: Column, x: Column) -> Column:
+        new = F.substr(x["text"], F.length(last["text"]) + 1)
+        one = F.array(F.struct(x["seq"].alias("seq"), x["text"].alias("text"), new.alias("new_text")))
+        added = F.when(F.length(new) > 0, F.concat(last["added"], one)).otherwise(last["added"])
+        grown = F.struct(x["text"].alias("text"), added.alias("added"))
+        return F.when(F.coalesce(F.startswith(x["text"], last["text"]), F.lit(False)), grown).otherwise(last)
+
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "text")))
+    start = F.struct(F.lit("").alias("text"), F.array().alias("added")).cast(state)
+    folded = texts.groupBy("request_id").agg(F.aggregate(ordered, start, fold)["added"].alias("_added"))
+    return folded.select("request_id", F.inline("_added"))
 
 
 # ---- sessions -------------------------------------------------------------------------------

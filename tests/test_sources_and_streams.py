@@ -2,10 +2,11 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kdframe.operators import adapters, eval_prompts, textjobs
+from kdframe.operators import adapters, eval_prompts, kd_logits, textjobs, tokens
 from kdframe.operators.eval_reports import compare_models, generation_stats, latest_state
 from kdframe.operators.eval_scoring import first_result, pick_score
 from kdframe.sources import tables as sources
@@ -44,7 +45,7 @@ def test_reports_missing_and_corrupt(spark, tmp_path):
     (tmp_path / "bbh.json").write_text("{broken")
     tasks = spark.createDataFrame([("arc",), ("bbh",), ("math",)], "task string")
     got = {r.task: (r.score, r.exists) for r in sources.read_reports(spark, str(tmp_path), tasks).collect()}
-    assert got == {"arc": (0.25, True), "bbh": (None, True), "math": (None, False)}
+    assert got == {"arc": (0.25, True), "bbh": (None, False), "math": (None, False)}
 
 
 @pytest.mark.parametrize(
@@ -111,12 +112,13 @@ def test_tool_calls(spark):
         (3, "plain"),
         (4, '<tool_call>[\n{"name":"fly"},\n{"name":"get_current_time","arguments":{}}]</tool_call>'),
         (5, '<tool_call>[{"arguments":{}}]</tool_call>'),
+        (6, '<tool_call>[{"name":"get_weather"},{"name":"fly"}]</tool_call>'),
     ]
     out = textjobs.parse_tool_calls(spark.createDataFrame(rows, "id int, text string"))
     got = sorted((r.id, -1 if r.call is None else r.call, r.outcome) for r in out.collect())
     assert got == [
         (0, 0, "call"), (1, -1, rows[1][1]), (2, -1, rows[2][1]), (3, -1, "plain"),
-        (4, 0, "Tool fly not found."), (4, 1, "call"), (5, -1, rows[5][1]),
+        (4, 0, "Tool fly not found."), (4, 1, "call"), (5, -1, rows[5][1]), (6, -1, rows[6][1]),
     ]
 
 
@@ -191,7 +193,66 @@ def test_live_tasks_over_several_batches(spark, tmp_path):
 def test_new_suffixes(spark):
     rows = [(1, 0, "a"), (1, 1, "ab"), (1, 2, "ab"), (1, 3, "x"), (1, 4, "xyz")]
     df = spark.createDataFrame(rows, "request_id int, seq int, text string")
-    assert [(r.seq, r.new_text) for r in flows.new_suffixes(df).orderBy("seq").collect()] == [(0, "a"), (1, "b"), (4, "yz")]
+    assert [(r.seq, r.new_text) for r in flows.new_suffixes(df).orderBy("seq").collect()] == [(0, "a"), (1, "b")]
+    rows = [(1, 0, "ab"), (1, 1, "x"), (1, 2, "abc"), (2, 0, "ab"), (2, 1, "a"), (2, 2, "abc"), (3, 0, None), (3, 1, "q")]
+    df = spark.createDataFrame(rows, "request_id int, seq int, text string")
+    got = [(r.request_id, r.seq, r.new_text) for r in flows.new_suffixes(df).orderBy("request_id", "seq").collect()]
+    assert got == [(1, 0, "ab"), (1, 2, "c"), (2, 0, "ab"), (2, 2, "c"), (3, 1, "q")]
+
+
+def test_a_delta_that_is_sent_again_is_given_out_once():
+    class State:
+        exists, hasTimedOut, kept = False, False, None
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        @property
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept, self.exists = value, True
+
+        def setTimeoutTimestamp(self, at):
+            self.due = at
+
+        def remove(self):
+            self.exists = False
+
+    def deltas(*rows):
+        return pd.DataFrame([(s, d, pd.Timestamp("2024-01-01")) for s, d in rows], columns=["seq", "delta", "ts"])
+
+    state, out = State(), []
+    for batch in ([(0, "a"), (1, "b")], [(1, "b"), (0, "a")], [(2, "c"), (4, "e")]):
+        out += [r for frame in flows._assemble((1,), iter([deltas(*batch)]), state, 5000) for r in frame["new_text"]]
+    assert state.due == pd.Timestamp("2024-01-01").timestamp() * 1000 + 5000
+    state.hasTimedOut = True
+    out += [r for frame in flows._assemble((1,), iter([]), state, 5000) for r in frame["new_text"]]
+    assert out == ["ab", "c", "e"]
+
+
+def test_chats_with_text_ids_and_microseconds(spark, tmp_path):
+    rows = [("My title", 0, "user", "x", "2024-01-01 01:02:03.456789"), ("20240101_010203", 0, "user", "y", "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "chat_id string, turn long, role string, content string, ts string")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    sources.write_sessions(df, str(tmp_path / "chats"))
+    back = sources.read_sessions(spark, str(tmp_path / "chats"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_row_without_loss_tokens_has_no_mean(spark):
+    df = spark.createDataFrame([(1, -0.5, 1), (1, -0.25, 1), (2, -0.5, 0)], "seq_id int, logp double, loss_mask int")
+    got = {r.seq_id: r.logp for r in kd_logits.sequence_logps(df, ["seq_id"], per_token=True).collect()}
+    assert got == {1: -0.375, 2: None}
+
+
+def test_pieces_outside_the_vocabulary_keep_their_place(spark):
+    seqs = spark.createDataFrame([(1, 0, "a"), (1, 1, "zz"), (1, 2, "b")], "seq int, pos int, piece string")
+    vocabulary = spark.createDataFrame([("a", 3), ("b", 4)], "piece string, id long")
+    for rows in (10, 1):
+        got = tokens.lookup_ids(seqs, vocabulary, broadcast_rows=rows, unknown=7).orderBy("pos").collect()
+        assert [r.id for r in got] == [3, 7, 4]
 
 
 def test_modified_sessions(spark):
