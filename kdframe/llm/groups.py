@@ -34,7 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = sym.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
         return sym.join(low, "a").where(condition).select(F.col("b").alias("a"), F.col("low").alias("b"))
 
-    state = None
     current = materialize(edges.select("a", "b").where("a != b").distinct())
     while True:
         # large star: neighbours above a node point to the smallest of its neighbourhood
@@ -44,12 +43,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("low"))
         pulled = down.join(low, "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         current = materialize(pulled.union(low.select("a", F.col("low").alias("b"))).distinct())
-        sums = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(sums) == state:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        state = tuple(sums)
+        # done when every node has one edge, to a node without any
+        forked = current.groupBy("a").count().where("count > 1").select("a")
+        chained = current.select(F.col("b").alias("a")).join(current.select("a"), "a", "left_semi")
+        if forked.union(chained).isEmpty():
+            break
+    roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
@@ -58,20 +58,37 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     return materialize(keys.join(several, "key").where("node != hub").distinct())
 
 
+def common_members(values: pa.ChunkedArray) -> tuple[np.ndarray, Callable[[int], np.ndarray]]:
+    """Sizes of non-empty sets, and a function that counts the members that each has in common with one of them."""
+    values = values.combine_chunks()
+    members = np.unique(values.flatten().to_numpy(), return_inverse=True)[1]
+    size = np.diff(values.offsets.to_numpy()).astype(np.int64)
+    edge = np.concatenate(([0], np.cumsum(size)))
+    marks = np.zeros(members.max() + 1, dtype=bool)
+
+    def common_with(i: int) -> np.ndarray:
+        own = members[edge[i] : edge[i + 1]]
+        marks[own] = True
+        common = np.add.reduceat(marks[members], edge[:-1], dtype=np.int64)
+        marks[own] = False
+        return common
+
+    return size, common_with
+
+
 def grouped(
     members: DataFrame,
     payload: DataFrame,
     linked: Callable[[DataFrame], DataFrame],
-    prepare: Callable[[pa.ChunkedArray], Callable[[int], np.ndarray]],
-    confirm: bool,
+    prepare: Callable[[pa.ChunkedArray], tuple[Callable[[int], np.ndarray], Callable[[int, int], bool] | None]],
     block_members: int = BLOCK_MEMBERS,
 ) -> DataFrame:
     """The smallest node (``root``) of the group of each ``node`` that is linked with another.
 
     ``members``: rows of ``shared_buckets``. ``payload``: (node, value) of all of them. ``linked`` keeps those
-    of pairs (a, b, value_a, value_b) that pass the test. ``prepare`` gets the values of a block and returns a
-    function that says, for one of them, which may pass with it; with ``confirm``, ``linked`` tests what it lets
-    through, else it is the test itself.
+    of pairs (a, b, value_a, value_b) that pass the test. ``prepare`` is the same test for a block: it gets the
+    values and returns a function that says, for one of them, with which it may pass, and one that tests such
+    a pair (None if there is nothing left to test).
     """
 
     def tested(pairs: DataFrame) -> DataFrame:
@@ -113,21 +130,22 @@ def grouped(
 
     def pairs(key: tuple, block: pa.Table) -> pa.Table:
         node, group = block.column("node").to_numpy(), block.column("group").to_numpy()
-        may_pass = prepare(block.column("value"))
+        may_pass, passes = prepare(block.column("value"))
         names, sizes = np.unique(group, return_counts=True)
         largest = names[sizes.argmax()]
         found = []
         for i in np.flatnonzero(group != largest):
             passed = np.flatnonzero(may_pass(i) & (group != group[i]) & ((group == largest) | (node > node[i])))
-            if not confirm:
-                # one link joins two groups, more add nothing
-                passed = passed[np.unique(group[passed], return_index=True)[1]]
-            found += [(min(node[i], node[j]), max(node[i], node[j])) for j in passed]
+            joined = set()  # one link joins two groups, more add nothing
+            for j in passed:
+                if group[j] not in joined and (passes is None or passes(i, j)):
+                    joined.add(group[j])
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
         a, b = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
         return pa.table([a, b], names=["a", "b"])
 
     more = dealt.groupBy("key", "x", "y").applyInArrow(pairs, "a long, b long").distinct()
-    more = materialize(tested(more) if confirm else more)
+    more = materialize(more)
     if more.isEmpty():
         return roots
     return materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))

@@ -16,7 +16,7 @@ to none (null); an empty table gives an empty result; columns other than id and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kdframe.llm.common import column, mix64, slices
-from kdframe.llm.groups import grouped, shared_buckets
+from kdframe.llm.groups import common_members, grouped, shared_buckets
 from kdframe.session import broadcast_if_fits, materialize
 
 WORDS = 5
@@ -119,24 +119,17 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, value array<long>")
 
 
-def similar_sets(similarity: int) -> Callable[[pa.ChunkedArray], Callable[[int], np.ndarray]]:
-    """For one set of a block, which sets are similar enough, by counting common members."""
+def similar_sets(similarity: int):
+    """The test of ``grouped`` for a block of sets: which are similar enough to one of them."""
 
-    def prepare(values: pa.ChunkedArray) -> Callable[[int], np.ndarray]:
-        values = values.combine_chunks()
-        members = np.unique(values.flatten().to_numpy(), return_inverse=True)[1]
-        size = np.diff(values.offsets.to_numpy()).astype(np.int64)
-        edge = np.concatenate(([0], np.cumsum(size)))
-        marks = np.zeros(members.max() + 1, dtype=bool)
+    def prepare(values: pa.ChunkedArray):
+        size, common_with = common_members(values)
 
         def test(i: int) -> np.ndarray:
-            own = members[edge[i] : edge[i + 1]]
-            marks[own] = True
-            common = np.add.reduceat(marks[members], edge[:-1], dtype=np.int64)
-            marks[own] = False
+            common = common_with(i)
             return 100 * common >= similarity * (size[i] + size - common)
 
-        return test
+        return test, None
 
     return prepare
 
@@ -174,7 +167,7 @@ def near_duplicates(
         common = F.size(F.array_intersect("value_a", "value_b"))
         return pairs.where(may).where(100 * common >= similarity * (size_a + size_b - common))
 
-    roots = grouped(members, payload, linked, similar_sets(similarity), confirm=False)
+    roots = grouped(members, payload, linked, similar_sets(similarity))
     return (
         signed.drop("keys")
         .join(nodes.drop("keys"), ["high", "low"], "left")
