@@ -60,8 +60,11 @@ def logsumexp(a: Column) -> Column:
 
 
 def log_softmax(a: Column, temperature: float = 1.0) -> Column:
-    scaled = scale(a, 1.0 / temperature) if temperature != 1.0 else a
-    return let(logsumexp(scaled), lambda z: F.transform(scaled, lambda x: x - z))
+    def normalised(s: Column) -> Column:
+        return let(logsumexp(s), lambda z: F.transform(s, lambda x: x - z))
+
+    # the scaled array is built once
+    return let(scale(a, 1.0 / temperature), normalised) if temperature != 1.0 else normalised(a)
 
 
 def softmax(a: Column, temperature: float = 1.0) -> Column:

@@ -97,13 +97,15 @@ def policy_weights(
     adjustment = let(
         log_softmax(F.col(logits)), lambda lp: logsumexp(F.transform(lp, lambda x: 2.0 * x))
     )
+    # vocabulary-wide work is done before the window, so that only scalars are shuffled
+    tokens = tokens.select(pair, "side", "seq_id", "pos", "logp", mask, adjustment.alias("_adjustment"))
     if strict:
         row = Window.partitionBy("seq_id").orderBy("pos")
         whole = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         logp = F.coalesce(F.lag("logp").over(row), F.last("logp").over(whole))
     else:
         logp = F.col("logp")
-    terms = tokens.withColumn("_term", (logp - adjustment) * F.col(mask))
+    terms = tokens.withColumn("_term", (logp - F.col("_adjustment")) * F.col(mask))
     weights = terms.groupBy(pair, "side").agg(F.try_divide(F.sum("_term"), F.sum(mask)).alias("_w"))
     return weights.groupBy(pair).agg(
         F.least(F.exp(F.sum("_w")), F.lit(1.0)).alias("policy_weight")

@@ -148,12 +148,22 @@ def attention_mask(ids: Column) -> Column:
 
 
 def pad_batch(
-    df: DataFrame, batch: str, student: str, teacher: str, max_length: int, fill: Column | int = 0
+    df: DataFrame,
+    batch: str,
+    student: str,
+    teacher: str,
+    max_length: int,
+    fill: Column | int = 0,
+    teacher_fill: Column | int | None = None,
+    labels: str | None = None,
 ) -> DataFrame:
-    """Pad both sides to the batch's longest sequence of either side, at most ``max_length``."""
+    """Pad both sides to the batch's longest sequence of either side, at most ``max_length``, each with its own
+    model's pad id, and ``labels`` with the ignored value."""
     longest = F.max(F.greatest(F.size(student), F.size(teacher))).over(Window.partitionBy(batch))
     wide = df.withColumn("width", F.least(longest, F.lit(max_length)))
-    for name in (student, teacher):
+    if labels is not None:
+        wide = wide.withColumn(labels, pad_right(F.col(labels), IGNORE, F.col("width")))
+    for name, fill in ((student, fill), (teacher, fill if teacher_fill is None else teacher_fill)):
         wide = wide.withColumn(f"{name}_mask", pad_right(attention_mask(F.col(name)), 0, F.col("width")))
         wide = wide.withColumn(name, pad_right(F.col(name), fill, F.col("width")))
     return wide

@@ -114,16 +114,28 @@ def batched(spark, root):
     "t4_dynamic_pad",
     f"""SELECT conv_id, batch_id, width::INT AS width,
                {_sql_list("input_ids || list_transform(range(width - len(input_ids)), lambda x: 0)")} AS input_ids,
-               {_sql_list("teacher_input_ids || list_transform(range(width - len(teacher_input_ids)), lambda x: 0)")} AS teacher_input_ids,
-               len(input_ids)::INT AS kept FROM (
+               {_sql_list("teacher_input_ids || list_transform(range(width - len(teacher_input_ids)), lambda x: 2)")} AS teacher_input_ids,
+               {_sql_list("input_ids || list_transform(range(width - len(input_ids)), lambda x: -100)")} AS labels,
+               len(input_ids)::INT AS kept, len(teacher_input_ids)::INT AS teacher_kept FROM (
           SELECT *, least({LENGTH}, max(greatest(len(input_ids), len(teacher_input_ids))) OVER (PARTITION BY batch_id)) AS width FROM (
             SELECT e.*, place // {BATCH} AS batch_id FROM encoded e JOIN conv_batches USING (conv_id)))""",
 )
 def t4(spark, root):
-    padded = tok.pad_batch(batched(spark, root), "batch_id", "input_ids", "teacher_input_ids", LENGTH)
-    kept = F.aggregate("input_ids_mask", F.lit(0), lambda s, x: s + x)
+    rows = batched(spark, root).withColumn("labels", tok.copied_labels(F.col("input_ids")))
+    padded = tok.pad_batch(rows, "batch_id", "input_ids", "teacher_input_ids", LENGTH, teacher_fill=2, labels="labels")
+
+    def kept(mask):
+        return F.aggregate(mask, F.lit(0), lambda s, x: s + x)
+
     return padded.select(
-        "conv_id", "batch_id", "width", listing("input_ids"), listing("teacher_input_ids"), kept.alias("kept")
+        "conv_id",
+        "batch_id",
+        "width",
+        listing("input_ids"),
+        listing("teacher_input_ids"),
+        listing("labels"),
+        kept("input_ids_mask").alias("kept"),
+        kept("teacher_input_ids_mask").alias("teacher_kept"),
     )
 
 
