@@ -14,6 +14,7 @@ from kdframe.llm import (
     licenses,
     line_dedup,
     near_duplicates,
+    oracles,
     packing,
     pii,
     quality_model,
@@ -23,7 +24,12 @@ from kdframe.llm import (
 from kdframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: The other queries hash, tokenise, learn or link by sketches, which SQL doesn't; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": oracles.QUALITY_RULES,
+    "op7_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op10_decontamination": oracles.DECONTAMINATION,
+}
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
