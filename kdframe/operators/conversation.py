@@ -79,29 +79,32 @@ def render_chat(messages: Column, generation_prompt: bool = True, system: str =
 
 @dataclass(frozen=True)
 class Template:
-    """A chat format as the text around each message and before the model's answer."""
+    """A chat format as the text around each message and before the model's answer, and the system turn that it
+    puts before a conversation without one."""
 
     prefix: str
     role_end: str
     suffix: str
     gen_prefix: str
+    default_system: str | None = None
 
 
 # the second format is ours: the teacher's own template text is not public here
 TEMPLATES = {
-    "chat": Template(START, "\n", END + "\n", ASSISTANT_START),
+    "chat": Template(START, "\n", END + "\n", ASSISTANT_START, DEFAULT_SYSTEM),
     "tagged": Template("[", "]: ", "\n", "[assistant]: "),
 }
 
 
 def render_with_template(messages: Column, template: Template) -> Column:
-    body = F.transform(
-        messages,
-        lambda m: F.concat(
-            F.lit(template.prefix), m["role"], F.lit(template.role_end), m["content"], F.lit(template.suffix)
-        ),
-    )
-    return F.concat(F.array_join(body, ""), F.lit(template.gen_prefix))
+    def one(role: Column, content: Column) -> Column:
+        return F.concat(F.lit(template.prefix), role, F.lit(template.role_end), content, F.lit(template.suffix))
+
+    body = F.array_join(F.transform(messages, lambda m: one(m["role"], m["content"])), "")
+    if template.default_system is not None:
+        lacking = F.get(messages, F.lit(0))["role"] != "system"
+        body = F.concat(F.when(lacking, one(F.lit("system"), F.lit(template.default_system))).otherwise(F.lit("")), body)
+    return F.concat(body, F.lit(template.gen_prefix))
 
 
 def student_and_teacher_text(

@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType
 
 from kdframe.operators.eval_reports import latest_state
 from kdframe.operators.ranking import prefix_sum, prefix_sums, range_bucket
@@ -250,13 +251,20 @@ def modified_sessions(current: DataFrame, saved: DataFrame, chat: str = "chat_id
 
 
 def list_sessions(messages: DataFrame, chat: str = "chat_id", width: int = 1 << 20) -> DataFrame:
-    """Saved chats with their place by falling id and by falling last message time."""
+    """Saved chats with their place by falling id and by falling last message time.
+
+    Ids are numbers, or texts such as titles, which are cut into buckets by their first bytes.
+    """
     chats = messages.groupBy(chat).agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("messages"))
-    keyed = chats.withColumn("_id", -F.col(chat)).withColumn("_time", -F.unix_micros("last_ts"))
-    by_id = prefix_sum(keyed, ["_id"], [range_bucket(F.col("_id"), width)], name="place_by_id")
+    falling = F.col(chat).desc()
+    if isinstance(messages.schema[chat].dataType, StringType):
+        start = F.expr(f"conv(hex(rpad(substring(cast(`{chat}` as binary), 1, 6), 6)), 16, 10)")
+        bucket = -start.cast("long")
+    else:
+        bucket = range_bucket(-F.col(chat), width)
+    by_id = prefix_sum(chats.withColumn("_time", -F.unix_micros("last_ts")), [falling], [bucket], name="place_by_id")
     minute = range_bucket(F.col("_time"), 60_000_000)
-    timed = prefix_sum(by_id, ["_time", "_id"], [minute], name="place_by_time")
-    return timed.drop("_id", "_time")
+    return prefix_sum(by_id, ["_time", falling], [minute], name="place_by_time").drop("_time")
 
 
 # ---- training health ------------------------------------------------------------------------

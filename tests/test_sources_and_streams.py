@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kdframe.operators import adapters, eval_prompts, kd_logits, textjobs, tokens
+from kdframe.operators import adapters, conversation, eval_prompts, kd_logits, textjobs, tokens
 from kdframe.operators.eval_reports import compare_models, generation_stats, latest_state
 from kdframe.operators.eval_scoring import first_result, pick_score
 from kdframe.sources import tables as sources
@@ -261,3 +261,21 @@ def test_modified_sessions(spark):
     then = [(1, 0, "user", "x", "t"), (2, 0, "user", "y", "t"), (4, 0, "user", None, "t"), (4, 1, "user", "z", "t")]
     out = flows.modified_sessions(spark.createDataFrame(now, schema), spark.createDataFrame(then, schema))
     assert {r.chat_id: r.modified for r in out.collect()} == {1: 0, 2: 1, 3: 1, 4: 1}
+
+
+def test_chats_with_text_ids_are_listed(spark):
+    ids = ["b", "a title", "a titles", "ä", "20240101_010203", "20240101_010204", ""]
+    rows = [(c, 0, f"2024-01-01 00:0{i % 3}:00") for i, c in enumerate(ids)]
+    df = spark.createDataFrame(rows, "chat_id string, turn long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = flows.list_sessions(df).collect()
+    assert [r.chat_id for r in sorted(got, key=lambda r: r.place_by_id)] == sorted(ids, key=lambda c: c.encode(), reverse=True)
+    by_time = sorted(rows, key=lambda r: (r[2], r[0].encode()), reverse=True)
+    assert [r.chat_id for r in sorted(got, key=lambda r: r.place_by_time)] == [r[0] for r in by_time]
+
+
+def test_the_chat_template_renders_as_the_chat_format(spark):
+    kind = "id int, messages array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([(1, [("user", "hi")]), (2, [("system", "s"), ("user", "hi")])], kind)
+    template = conversation.TEMPLATES["chat"]
+    got = df.select(conversation.render_with_template(F.col("messages"), template), conversation.render_chat(F.col("messages"))).collect()
+    assert all(a == b for a, b in got)
