@@ -125,6 +125,42 @@ def question_answer(question: Column, choices: Column | None = None) -> Column:
     return F.concat(F.lit("Question: "), question, F.lit("\n"), F.array_join(lines, ""), F.lit("Answer:"))
 
 
+def asked_choices(df: DataFrame) -> DataFrame:
+    """Multiple choice without letters, from ``question, labels, texts, answer_key``: arc and openbookqa."""
+    return df.withColumns(
+        {
+            "query": question_answer(F.col("question")),
+            "choices": F.transform("texts", lambda t: F.concat(F.lit(" "), t)),
+            "gold_index": (F.array_position("labels", strip(F.col("answer_key"))) - 1).cast("int"),
+        }
+    )
+
+
+def asked_answer(df: DataFrame) -> DataFrame:
+    """An open question with one worked answer, from ``question, answer``: gsm8k."""
+    query = question_answer(F.col("question"))
+    return df.withColumns({"query": query, "choices": F.array(F.concat(F.lit(" "), "answer")), "gold_index": F.lit(0)})
+
+
+def asked_aliases(df: DataFrame) -> DataFrame:
+    """An open question with several right answers, from ``question, aliases``: triviaqa. All choices are gold."""
+    return df.withColumns({"query": question_answer(F.col("question")), "choices": F.col("aliases"), "gold_index": F.lit(0)})
+
+
+def filled_gap(df: DataFrame) -> DataFrame:
+    """A sentence with a gap ``_``, from ``sentence, option1, option2, answer``: winogrande. The choices are the
+    options with the rest of the sentence."""
+    at = F.instr("sentence", F.lit("_"))
+    rest = F.substr("sentence", at + 1)
+    return df.withColumns(
+        {
+            "query": F.substr("sentence", F.lit(1), at - 1),
+            "choices": F.array(*(F.concat(F.col(option), rest) for option in ("option1", "option2"))),
+            "gold_index": F.try_to_number("answer", F.lit("9")).cast("int") - 1,
+        }
+    )
+
+
 # ---- task registry --------------------------------------------------------------------------
 
 # fixed values: base tasks as (task, prompt, subset, metric, generation size, stops, few-shot split,

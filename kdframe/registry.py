@@ -23,6 +23,13 @@ PROMPTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "mmlu_pro": eval_prompts.mmlu_pro,
     "bbh": eval_prompts.bbh,
     "math": eval_prompts.math,
+    "arc": eval_prompts.asked_choices,
+    "openbookqa": eval_prompts.asked_choices,
+    # rows whose key is no label are left out
+    "commonsense_qa": lambda df: eval_prompts.commonsense_qa(df)[0],
+    "gsm8k": eval_prompts.asked_answer,
+    "triviaqa": eval_prompts.asked_aliases,
+    "winogrande": eval_prompts.filled_gap,
 }
 # a metric is a per-item column builder and a corpus aggregate
 METRICS: dict[str, tuple[Callable[[Column, Column], Column], Callable[[Column], Column]]] = {
@@ -30,6 +37,8 @@ METRICS: dict[str, tuple[Callable[[Column, Column], Column], Callable[[Column],
     "quasi_exact_match_triviaqa": (eval_scoring.match_any, F.avg),
     "quasi_exact_match_gsm8k": (eval_scoring.number_match, F.avg),
     "qem": (eval_scoring.math_match, F.avg),
+    # the prediction is a struct of the choices and their log-probabilities, the gold value an index
+    "loglikelihood_acc_norm_nospace": (lambda p, gold: eval_scoring.choice_hit(p["logps"], p["choices"], gold), F.avg),
 }
 
 

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kdframe import registry
 from kdframe.operators import adapters, conversation, eval_prompts, kd_logits, textjobs, tokens
 from kdframe.operators.eval_reports import compare_models, generation_stats, latest_state
 from kdframe.operators.eval_scoring import first_result, pick_score
@@ -40,6 +41,27 @@ def test_registry_has_42_tasks(spark):
     assert registry.where("task LIKE 'math:%' AND generation_size = 1024").count() == 7
 
 
+def test_every_task_has_its_prompt_and_metric(spark):
+    tasks = eval_prompts.task_registry(spark).collect()
+    assert {t.prompt for t in tasks} <= set(registry.PROMPTS)
+    assert {t.metric for t in tasks} <= set(registry.METRICS)
+
+
+def test_prompts_of_the_registry(spark):
+    row = ("What?", ["A", "B"], ["x", "y"], "B", "42", ["p", "q"], "The _ is full.", "cup", "jar", "2")
+    kind = "question string, labels array<string>, texts array<string>, answer_key string, answer string, aliases array<string>, sentence string, option1 string, option2 string"
+    df = spark.createDataFrame([row[:9]], kind)
+    got = {n: registry.PROMPTS[n](df).select("query", "choices", "gold_index").first() for n in ("arc", "openbookqa", "commonsense_qa", "gsm8k", "triviaqa")}
+    asked = "Question: What?\nAnswer:"
+    assert tuple(got["arc"]) == tuple(got["openbookqa"]) == (asked, [" x", " y"], 1)
+    assert tuple(got["commonsense_qa"]) == ("What?", [" x", " y"], 1)
+    assert tuple(got["gsm8k"]) == (asked, [" 42"], 0) and tuple(got["triviaqa"]) == (asked, ["p", "q"], 0)
+    gap = registry.PROMPTS["winogrande"](df.withColumn("answer", F.lit("2"))).select("query", "choices", "gold_index").first()
+    assert tuple(gap) == ("The ", ["cup is full.", "jar is full."], 1)
+    scored = spark.createDataFrame([("t", ([-2.0, -3.0], [" a", " bbbb"]), 1)], "task string, p struct<logps:array<double>,choices:array<string>>, gold int")
+    assert registry.score(scored, "loglikelihood_acc_norm_nospace", "p", "gold").first().score == 1.0
+
+
 def test_reports_missing_and_corrupt(spark, tmp_path):
     (tmp_path / "arc.json").write_text(json.dumps({"results": {"x": {"acc": 0.25}, "y": {"acc": 9}}}, indent=1))
     (tmp_path / "bbh.json").write_text("{broken")
