@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY_DIGITS = 3
+KEY_DIGITS = 4  # 65,536 buckets, so that one of 100 TB holds about 1.5 GB
 
 
 def order_key(seed: int | Column, *ids: str | Column) -> Column:
