@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kdframe.session import materialize
@@ -23,39 +23,32 @@ BLOCK_MEMBERS = 1000
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node (``root``) of the group of each ``node`` that has an edge (a, b) of longs.
 
-    Alternates large-star and small-star steps, each a grouped minimum and a join, until all edges
-    point from a node to its root. Every round is written to the shared folder.
+    Alternates large-star and small-star steps until all edges point from a node to its root. A step is
+    one window over narrow rows by node. Every round is written to the shared folder.
     """
-
-    def neighbours(e: DataFrame) -> DataFrame:
-        return e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def step(sym: DataFrame, condition: str) -> DataFrame:
-        low = sym.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        return sym.join(low, "a").where(condition).select(F.col("b").alias("a"), F.col("low").alias("b"))
-
+    by_node = Window.partitionBy("a")
     current = materialize(edges.select("a", "b").where("a != b").distinct())
     while True:
         # large star: neighbours above a node point to the smallest of its neighbourhood
-        large = step(neighbours(current), "b > a").where("a != b").distinct()
+        both = current.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        lowest = both.withColumn("low", F.least("a", F.min("b").over(by_node)))
+        large = lowest.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         # small star: a node and its neighbours below point to the smallest of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("low"))
-        pulled = down.join(low, "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        current = materialize(pulled.union(low.select("a", F.col("low").alias("b"))).distinct())
+        pulled = large.withColumn("low", F.min("b").over(by_node)).withColumn("up", F.explode(F.array("a", "b")))
+        current = materialize(pulled.where("up != low").select(F.col("up").alias("a"), F.col("low").alias("b")).distinct())
         # done when every node has one edge, to a node without any
-        forked = current.groupBy("a").count().where("count > 1").select("a")
-        chained = current.select(F.col("b").alias("a")).join(current.select("a"), "a", "left_semi")
-        if forked.union(chained).isEmpty():
+        ends = current.select(F.inline(F.array(*(F.struct(F.col(c).alias("node"), F.lit(n).alias("out")) for c, n in (("a", 1), ("b", 0))))))
+        counts = ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("low"))
+        if counts.where("out > 1 or out = 1 and low = 0").isEmpty():
             break
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
-    """Rows (key, node) of buckets with at least two nodes, with the smallest node as ``hub``; in a table."""
+    """Of distinct rows (key, node), those of buckets with at least two nodes, without the smallest, the ``hub``; in a table."""
     several = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
-    return materialize(keys.join(several, "key").where("node != hub").distinct())
+    return materialize(keys.join(several, "key").where("node != hub"))
 
 
 def common_members(values: pa.ChunkedArray) -> tuple[np.ndarray, Callable[[int], np.ndarray]]:
