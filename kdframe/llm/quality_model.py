@@ -25,49 +25,93 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kdframe.llm.common import SPACE, column, slices, text_function
+from kdframe.llm.common import column, slices, text_function
 from kdframe.session import materialize
 
 FIT_ROWS = 20_000
 FIT_PARTS = 8
 EPOCHS = 12
-BUCKETS = 1 << 14
+BUCKETS, STATS = 1 << 14, 16
 RATE = 0.5
 
 
-def share(text: Column, pattern: str) -> Column:
-    """Share of the characters of a text that match a character class."""
-    return 1 - F.length(F.regexp_replace(text, pattern, "")) / F.length(text)
+#: Kinds of bytes: capitals, other ASCII letters, white space, symbols, the rest of ASCII, starts and the rest of other characters.
+SYMBOLS = "#*$%&|<>!=_~^@"
+KIND = np.array(
+    [
+        5 if c >= 192 else 6 if c >= 128 else 0 if 65 <= c <= 90 else 1 if 97 <= c <= 122 else 2 if c in b" \t\n\x0b\f\r" else 3 if chr(c) in SYMBOLS else 4
+        for c in range(256)
+    ]
+)
 
 
-def ranged(value: Column, good: tuple[float, float], bad: tuple[float, float]) -> Column:
+class Facts:
+    """What labellers and scorer look at in a text with words."""
+
+    def __init__(self, text: str):
+        self.text = text.strip(" \t\n\x0b\f\r")
+        data = self.text.encode()
+        self.words = data.split()
+        self.kinds = np.bincount(KIND[np.frombuffer(data, dtype=np.uint8)], minlength=7)[:6]
+        self.chars = int(self.kinds.sum())
+        self.distinct = len(set(self.words))
+        self.again = sum(map(bytes.__eq__, self.words, self.words[1:])) / max(1, len(self.words))
+
+    def share(self, *kinds: int) -> float:
+        return sum(int(self.kinds[k]) for k in kinds) / self.chars
+
+
+def ranged(value: float, good: tuple[float, float], bad: tuple[float, float]) -> int:
     """A vote: 1 within ``good``, -1 outside ``bad``, else 0."""
-    return F.when(value.between(*good), 1).when(~value.between(*bad), -1).otherwise(0)
-
-
-#: Votes on a text with words, given the text and its words.
-LABELLERS: dict[str, Callable[[Column, Column], Column]] = {
-    "symbols": lambda text, words: ranged(share(text, "[#*$%&|<>!=_~^@]"), (0, 0.01), (0, 0.05)),
-    "capitals": lambda text, words: ranged(share(text, r"\p{Lu}"), (0, 0.06), (0, 0.3)),
-    "letters": lambda text, words: ranged(share(text, r"[\p{L}" + SPACE + "]"), (0.93, 1), (0.8, 1)),
-    "variety": lambda text, words: F.when(F.size(words) < 20, 0).otherwise(
-        ranged(F.size(F.array_distinct(words)) / F.sqrt(F.size(words)), (4, 1e9), (2, 1e9))
-    ),
-    "word length": lambda text, words: ranged(F.length(text) / F.size(words), (4, 9), (3, 14)),
-    "sentences": lambda text, words: F.when(text.rlike(f"[.?][{SPACE}]*$"), 1).when(F.size(words) > 10, -1).otherwise(0),
-    "stutter": lambda text, words: ranged(
-        F.size(F.filter(words, lambda w, i: F.coalesce(w == F.get(words, i - 1), F.lit(False)))) / F.size(words), (0, 0.02), (0, 0.1)
-    ),
-    "repeats": lambda text, words: ranged(1 - F.size(F.array_distinct(F.split(text, "\n"))) / F.size(F.split(text, "\n")), (0, 0.1), (0, 0.4)),
+    return 1 if good[0] <= value <= good[1] else 0 if bad[0] <= value <= bad[1] else -1
+
+
+def by_variety(f: Facts) -> int:
+    return 0 if len(f.words) < 20 else ranged(f.distinct / len(f.words) ** 0.5, (4, 1e9), (2, 1e9))
+
+
+def by_sentences(f: Facts) -> int:
+    return 1 if f.text.endswith((".", "?")) else -1 if len(f.words) > 10 else 0
+
+
+def by_lines(f: Facts) -> int:
+    lines = f.text.split("\n")
+    return ranged(1 - len(set(lines)) / len(lines), (0, 0.1), (0, 0.4))
+
+
+LABELLERS: dict[str, Callable[[Facts], int]] = {
+    "symbols": lambda f: ranged(f.share(3), (0, 0.01), (0, 0.05)),
+    "capitals": lambda f: ranged(f.share(0), (0, 0.06), (0, 0.3)),
+    "letters": lambda f: ranged(f.share(0, 1, 2, 5), (0.93, 1), (0.8, 1)),
+    "variety": by_variety,
+    "word length": lambda f: ranged(f.chars / len(f.words), (4, 9), (3, 14)),
+    "sentences": by_sentences,
+    "stutter": lambda f: ranged(f.again, (0, 0.02), (0, 0.1)),
+    "repeated lines": by_lines,
 }
 
 
-def votes(docs: DataFrame, text_col: str = "text", into: str = "votes") -> DataFrame:
-    """``docs`` with the array ``into`` of votes; null for a text without words."""
-    text = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    plain = docs.withColumn("_plain", text).withColumn("_words", F.split("_plain", f"[{SPACE}]+"))
-    cast = F.array(*(vote(F.col("_plain"), F.col("_words")) for vote in LABELLERS.values()))
-    return plain.withColumn(into, F.when(F.col("_plain") != "", cast)).drop("_plain", "_words")
+def votes_of(f: Facts) -> tuple[int, ...]:
+    return tuple(vote(f) for vote in LABELLERS.values())
+
+
+def known(text: str | None) -> Facts | None:
+    """The facts of a text; None without words."""
+    found = Facts(text) if text else None
+    return found if found and found.words else None
+
+
+def votes(text_col: str) -> Column:
+    """A number that stands for the votes on a text, in base three; null for a text without words."""
+
+    def make():
+        def number(text: str | None) -> int | None:
+            f = known(text)
+            return None if f is None else sum((v + 1) * 3**k for k, v in enumerate(votes_of(f)))
+
+        return lambda texts: list(map(number, texts))
+
+    return text_function("int", make)(F.col(text_col))
 
 
 @dataclass
@@ -105,77 +149,65 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> Lab
     return model
 
 
-def label_model(voted: DataFrame, into: str = "votes") -> tuple[LabelModel, dict[tuple[int, ...], float]]:
+def label_model(docs: DataFrame, text_col: str) -> tuple[LabelModel, dict[tuple[int, ...], float]]:
     """The model and the posterior of each pattern. There are at most 3 ** labellers patterns."""
-    rows = voted.where(F.col(into).isNotNull()).groupBy(into).count().collect()
-    patterns = np.array([r[into] for r in rows], dtype=np.int64).reshape(-1, len(LABELLERS))
+    rows = docs.select(votes(text_col).alias("votes")).where("votes is not null").groupBy("votes").count().collect()
+    patterns = np.array([[r["votes"] // 3**k % 3 - 1 for k in range(len(LABELLERS))] for r in rows], dtype=np.int64)
+    patterns = patterns.reshape(-1, len(LABELLERS))
     model = estimate(patterns, np.array([r["count"] for r in rows], dtype=np.float64))
     return model, dict(zip(map(tuple, patterns.tolist()), model.posterior(patterns).tolist()))
 
 
-def posterior_of(posteriors: dict[tuple[int, ...], float], into: str = "votes") -> Column:
-    """The posterior of a row's votes, as a lookup in a literal map."""
-    if not posteriors:
-        return F.lit(0.0)
-    pairs = [x for votes, p in posteriors.items() for x in (F.lit(",".join(map(str, votes))), F.lit(p))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.array_join(F.col(into).cast("array<string>"), ",")), F.lit(0.0))
-
-
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a text, of length 1 together. The first buckets hold statistics."""
-    data = (text or "").encode()
-    words = data.lower().split()
-    if not words:
-        return np.empty(0, np.int64), np.empty(0)
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    found, counts = np.unique(hashed % np.uint64(BUCKETS - 8), return_counts=True)
+def features(f: Facts) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values of a text. The first buckets hold statistics, the others words."""
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, map(bytes.lower, f.words)), dtype=np.uint64, count=len(f.words))
+    found, counts = np.unique(hashed % np.uint64(BUCKETS - STATS), return_counts=True)
     values = np.log1p(counts)
     values /= np.linalg.norm(values)
-    raw = np.frombuffer(data, dtype=np.uint8)
-    kinds = np.bincount(KIND[raw], minlength=4) / len(raw)
-    again = sum(map(bytes.__eq__, words, words[1:])) / len(words)
-    stats = np.array([1.0, *kinds, len(found) / len(words), again, min(len(raw) / len(words), 30) / 30])
-    return np.concatenate((np.arange(len(stats)), found.astype(np.int64) + 8)), np.concatenate((stats, values))
-
-
-#: Kinds of bytes: capitals, other letters, white space, the rest.
-KIND = np.array([0 if 65 <= c <= 90 else 1 if 97 <= c <= 122 or c >= 128 else 2 if chr(c).isspace() else 3 for c in range(256)])
+    n = len(f.words)
+    stats = np.array([1.0, *(f.kinds / f.chars), f.distinct / n, f.again, min(f.chars / n, 30) / 30])
+    return np.concatenate((np.arange(len(stats)), found.astype(np.int64) + STATS)), np.concatenate((stats, values))
 
 
-def scores(weights: np.ndarray, texts: list) -> list[float]:
-    out = []
-    for text in texts:
-        at, values = features(text)
-        out.append(float(1 / (1 + np.exp(-np.clip(weights[at] @ values, -30, 30)))) if len(at) else 0.0)
-    return out
+def logistic(weights: np.ndarray, at: np.ndarray, values: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip(weights[at] @ values, -30, 30))))
 
 
-def fit(labelled: DataFrame, *, text_col: str, label_col: str, by: str, fit_rows: int = FIT_ROWS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights of the scorer. ``label_col`` is the probability of good; ``by`` is hashed to choose the sample."""
-    rows = labelled.select(F.xxhash64(by, text_col).alias("by"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    share_of = min(1.0, fit_rows / max(1, rows.count()))
+def fit(
+    docs: DataFrame, posteriors: dict[tuple[int, ...], float], *, id_col: str, text_col: str, fit_rows: int = FIT_ROWS, epochs: int = EPOCHS
+) -> np.ndarray:
+    """Weights of the scorer, from a sample that a hash of id and text chooses."""
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("by"), F.col(text_col).alias("text"))
+    share_of = min(1.0, fit_rows / max(1, docs.count()))
     chosen = rows.where(F.pmod("by", F.lit(1 << 20)) < int(share_of * (1 << 20)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            at, values = zip(*map(features, column(batch, "text")))
-            columns = [pa.array(at, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))]
-            names = ["by", "label", "at", "values"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
-
-    measured = chosen.mapInArrow(measure, "by long, label double, at array<long>, values array<double>").where("size(at) > 0")
+            by, labels, places, values = [], [], [], []
+            for key, text in zip(column(batch, "by"), column(batch, "text")):
+                if f := known(text):
+                    at, value = features(f)
+                    by.append(key)
+                    labels.append(posteriors[votes_of(f)])
+                    places.append(at)
+                    values.append(value)
+            columns = [pa.array(by, pa.int64()), pa.array(labels, pa.float64())]
+            columns += [pa.array(places, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["by", "label", "at", "values"])
+
+    measured = chosen.mapInArrow(measure, "by long, label double, at array<long>, values array<double>")
     # a part is a part of the sample, so bounded
     sample = materialize(measured.repartition(FIT_PARTS, "by").sortWithinPartitions("by"))
     weights = np.zeros(BUCKETS)
     for epoch in range(epochs):
-        shared = labelled.sparkSession.sparkContext.broadcast(weights)
+        shared = docs.sparkSession.sparkContext.broadcast(weights)
 
         def descend(batches: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
             own, n = shared.value.copy(), 0
             for batch in batches:
                 for label, at, values in zip(*(batch.column(c) for c in range(3))):
                     at, values = at.values.to_numpy(), values.values.to_numpy()
-                    wrong = 1 / (1 + np.exp(-np.clip(own[at] @ values, -30, 30))) - label.as_py()
+                    wrong = logistic(own, at, values) - label.as_py()
                     own[at] -= RATE / (1 + epoch / 4) * wrong * values
                 n += batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own.tobytes()])], names=["n", "weights"])
@@ -188,15 +220,21 @@ def fit(labelled: DataFrame, *, text_col: str, label_col: str, by: str, fit_rows
 
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``weak_score``, the posterior of the votes, ``quality_score`` of the scorer, and ``good``."""
-    voted = votes(docs, text_col, "_votes")
-    _, posteriors = label_model(voted, "_votes")
-    weak = voted.withColumn("weak_score", posterior_of(posteriors, "_votes")).drop("_votes")
-    weights = fit(weak, text_col=text_col, label_col="weak_score", by=id_col)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    _, posteriors = label_model(docs, text_col)
+    weights = fit(docs, posteriors, id_col=id_col, text_col=text_col)
+    shared = docs.sparkSession.sparkContext.broadcast((posteriors, weights))
 
     def make():
-        known = shared.value
-        return lambda texts: scores(known, texts)
+        weak, trained = shared.value
+
+        def score(text: str | None) -> dict:
+            f = known(text)
+            if f is None:
+                return {"weak": 0.0, "strong": 0.0}
+            return {"weak": weak[votes_of(f)], "strong": logistic(trained, *features(f))}
+
+        return lambda texts: list(map(score, texts))
 
-    scored = weak.withColumn("quality_score", text_function("double", make)(F.col(text_col)))
-    return scored.withColumn("good", F.col("quality_score") >= 0.5)
+    scored = docs.withColumn("_scores", text_function("struct<weak:double,strong:double>", make)(F.col(text_col)))
+    rated = scored.withColumns({"weak_score": F.col("_scores.weak"), "quality_score": F.col("_scores.strong")}).drop("_scores")
+    return rated.withColumn("good", F.col("quality_score") >= 0.5)
