@@ -28,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so does a document of which nothing is left."""
-    kept = line_dedup.dedup_lines(docs).where("text != ''")
+    kept = line_dedup.dedup_lines(docs, complete=True).where("text != ''")
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 

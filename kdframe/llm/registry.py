@@ -99,7 +99,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, removed_col="n_removed")
+    return line_dedup.dedup_lines(docs, complete=True, removed_col="n_removed")
 
 
 @query
