@@ -15,6 +15,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +62,9 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+# Complete texts of licences, without copyright lines; those of the GPL family with all they are published with.
+TEMPLATES |= {path.stem: path.read_text() for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
 
 def normal_words(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
@@ -92,14 +96,25 @@ def anchors(grams: list[str], threshold: float) -> set[str]:
     """Words, long ones first, one of which is in a common bigram of any set that reaches the threshold."""
     low = bounds(len(grams), threshold)[0]
     least = math.ceil(threshold * (low + len(grams)) / 2 - 1e-9)
+    within: dict[str, set[str]] = {}
+    for g in grams:
+        for w in g.split():
+            within.setdefault(w, set()).add(g)
     chosen: set[str] = set()
-    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
-        if sum(not chosen.isdisjoint(g.split()) for g in grams) > len(grams) - least:
+    covered: set[str] = set()
+    for word in sorted(within, key=lambda w: (-len(w), w)):
+        if len(covered) > len(grams) - least:
             break
         chosen.add(word)
+        covered |= within[word]
     return chosen
 
 
+def literal(strings: list[str]) -> Column:
+    """An array of strings without commas, folded to a constant."""
+    return F.split(F.lit(",".join(strings)), ",")
+
+
 MATCH = "struct<dice:double,license:string,unit:int>"
 
 
@@ -112,13 +127,15 @@ def find_licenses(
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     sets = {name: template_bigrams(text) for name, text in sorted(templates.items())}
     ranges = {name: bounds(len(grams), threshold) for name, grams in sets.items()}
-    anchor = F.array(*map(F.lit, sorted(set().union(*(anchors(g, threshold) for g in sets.values())))))
+    # one literal each, as the long texts have thousands of bigrams
+    anchor = literal(sorted(set().union(*(anchors(g, threshold) for g in sets.values()))))
+    arrays = {name: literal(grams) for name, grams in sets.items()}
     none = F.lit(None).cast(MATCH)
 
     def best(grams: Column, unit: Column) -> Column:
         found = []
         for name, (low, high) in ranges.items():
-            common = F.size(F.array_intersect(grams, F.array(*map(F.lit, sets[name]))))
+            common = F.size(F.array_intersect(grams, arrays[name]))
             dice = F.lit(2.0) * common / (F.size(grams) + len(sets[name]))
             match = F.struct((-dice).alias("dice"), F.lit(name).alias("license"), unit.cast("int").alias("unit"))
             found.append(F.when(F.size(grams).between(low, high), match).otherwise(none))
