@@ -83,6 +83,61 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no table has a column of that name."""
+    taken = {column.lower() for table in tables for column in table.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(*names: str) -> Column:
     """A 64-bit key for a row with these columns; rows that repeat share it."""
     return F.xxhash64(*names)
+
+
+#: Bits of a ``KeyFilter`` for each key, and at most (16 MB).
+KEY_BITS, MOST_BITS = 16, 1 << 27
+
+
+class KeyFilter:
+    """Bitmap of 64-bit hash keys, of a bounded size, to be broadcast. It errs only towards keeping a key."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> KeyFilter:
+        """From a column of hashes; two bits of each, united in the cluster."""
+        (key,) = keys.columns
+        size = min(MOST_BITS, 1 << max(10, (KEY_BITS * keys.count()).bit_length()))
+        places = F.explode(F.array(F.col(key), F.shiftrightunsigned(key, 37))).alias("place")
+        placed = keys.select(places).select(F.col("place").bitwiseAND(F.lit(size - 1)).alias("place"))
+        bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
+        found = placed.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        words = np.zeros(size // 64, dtype=np.uint64)
+        words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        return cls(words)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), dtype=bool)
+        for place in (keys.view(np.uint64), keys.view(np.uint64) >> np.uint64(37)):
+            place = place & self.mask
+            found &= self.words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) == 1
+        return found
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, in tables of at least ``least`` rows that hold whole keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and len(batch) and sum(map(len, held)) >= least:
+            # the key of the last row held may go on in this batch
+            other = np.flatnonzero(batch.column(0).to_numpy() != held[-1].column(0)[-1].as_py())
+            if len(other):
+                yield pa.Table.from_batches([*held, batch.slice(0, int(other[0]))])
+                held, batch = [], batch.slice(int(other[0]))
+        if len(batch):
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)

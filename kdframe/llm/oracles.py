@@ -71,3 +71,18 @@ named AS (
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+REPEATED_PASSAGES = rf"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM split)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS least FROM windows) WHERE least < doc_id),
+places AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM split),
+judged AS (
+  SELECT doc_id, i, word, coalesce(i - max(l.i) OVER (PARTITION BY doc_id ORDER BY i) < 50, false) AS gone
+  FROM places LEFT JOIN late l USING (doc_id, i)),
+kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)"""

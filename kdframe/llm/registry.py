@@ -20,6 +20,7 @@ from kdframe.llm import (
     quality_model,
     quality_rules,
     sharding,
+    substrings,
 )
 from kdframe.llm.common import table
 
@@ -29,6 +30,7 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": oracles.QUALITY_RULES,
     "op7_near_duplicates": oracles.NEAR_DUPLICATES,
     "op10_decontamination": oracles.DECONTAMINATION,
+    "op12_substring_dedup": oracles.REPEATED_PASSAGES,
 }
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -134,3 +136,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
         decontaminate.is_contaminated().alias("contaminated"),
     )
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", substrings.digest("text").alias("told")).select("doc_id", "told.*")
