@@ -20,6 +20,7 @@ from kdframe.llm import (
     quality_model,
     quality_rules,
     sharding,
+    spelling,
     substrings,
 )
 from kdframe.llm.common import table
@@ -142,3 +143,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", substrings.digest("text").alias("told")).select("doc_id", "told.*")
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), thinned=spelling.THINNED)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
