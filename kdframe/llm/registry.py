@@ -17,6 +17,7 @@ from kdframe.llm import (
     oracles,
     packing,
     pii,
+    prefix_trie,
     quality_model,
     quality_rules,
     sharding,
@@ -24,6 +25,7 @@ from kdframe.llm import (
     substrings,
 )
 from kdframe.llm.common import table
+from kdframe.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The other queries hash, tokenise, learn or link by sketches, which SQL doesn't; tests hold them against brute force.
@@ -149,3 +151,9 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.count_words(table(spark, sf_dir, "documents"), thinned=spelling.THINNED)
     return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialize(prefix_trie.ranked_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(*prefix_trie.with_borrowed_heads(turns))
