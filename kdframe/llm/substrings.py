@@ -269,7 +269,7 @@ def repeated_passages(
     )
     bits = materialize(differing(classes, texts, window, group))
     late = classes.select("key", "digest", F.col("first.doc").alias("low"), "high").join(bits, ["key", "digest"], "left")
-    late = late.where("low < high or bits is not null").drop("high")
+    late = materialize(late.where("low < high or bits is not null").drop("high"))  # so that Spark can split a hot key of the join
     # the smallest document of equal segments loses what its tree says, the others lose all
     whole = F.expr("shiftleft(1L, n) - 1")
     marked = found.join(late, ["key", "digest"]).select("row", "start", F.when(F.col("doc") > F.col("low"), whole).otherwise(F.col("bits")).alias("bits"))
