@@ -10,12 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kdframe.operators.ranking import (
+    cutoffs,
+    key_bucket,
+    key_digits,
+    order_key,
     prefix_sum,
     range_bucket,
     shuffled_rank,
     take_first,
     take_shuffled,
 )
+from kdframe.session import materialize
 
 REPEAT_CHUNK = 4096
 HEAD_RANGE = 1 << 20
@@ -23,11 +28,12 @@ HEAD_RANGE = 1 << 20
 
 @dataclass(frozen=True)
 class Source:
-    """One line of a mixture specification."""
+    """One line of a mixture specification. ``adapter`` and ``ids``, the columns that identify a row, are for ``mix``."""
 
     name: str
     weight: float
     adapter: Callable[..., DataFrame] | None = None
+    ids: tuple[str, ...] = ()
 
 
 def shuffle(df: DataFrame, ids: Sequence[str], seed: int = 42) -> DataFrame:
@@ -49,7 +55,7 @@ def shuffle_without_id(df: DataFrame, seed: int = 42) -> DataFrame:
     ranked = prefix_sum(
         keyed,
         ["_row_key"],
-        [F.substring("_row_key", 1, 3)],
+        [key_bucket(F.col("_row_key"), key_digits(df))],
         value=F.col("_copies"),
         name="_first",
     )
@@ -58,19 +64,31 @@ def shuffle_without_id(df: DataFrame, seed: int = 42) -> DataFrame:
     )
 
 
+def chunks_of(times: Column) -> Column:
+    """Generator of the chunks (``_from``, ``_to``) that ``times`` copies are cut into, so that tasks can share them."""
+    last = F.floor((times.cast("long") - 1) / REPEAT_CHUNK)
+    starts = F.when(times > 0, F.sequence(F.lit(0).cast("long"), last))
+    return F.inline(
+        F.transform(
+            starts,
+            lambda c: F.struct(
+                (c * REPEAT_CHUNK).alias("_from"), (F.least((c + 1) * REPEAT_CHUNK, times.cast("long")) - 1).alias("_to")
+            ),
+        )
+    )
+
+
+def copies(chunked: DataFrame) -> DataFrame:
+    """The rows of chunks, numbered by ``copy`` from 0."""
+    return chunked.withColumn("copy", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+
+
 def repeat_rows(df: DataFrame, times: Column) -> DataFrame:
     """Each row ``times`` times, numbered by ``copy`` from 0.
 
-    Long runs are cut into chunks that are spread over tasks before they are written out.
+    Long runs are cut into chunks; Spark deals those anew, and only as many as make a task too large.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunked = df.withColumn("_times", times.cast("long")).where("_times > 0")
-    chunked = chunked.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / REPEAT_CHUNK)))
-    ).repartition(tasks)
-    start = F.col("_chunk") * REPEAT_CHUNK
-    stop = F.least(start + REPEAT_CHUNK, F.col("_times")) - 1
-    return chunked.withColumn("copy", F.explode(F.sequence(start, stop))).drop("_chunk", "_times")
+    return copies(df.select("*", chunks_of(times)).hint("rebalance"))
 
 
 def cap_rows(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42, mode: str = "sample") -> DataFrame:
@@ -118,11 +136,21 @@ def enough_turns(df: DataFrame, column: str = "conversations", least: int = 2) -
     return df.where(F.size(column) >= least)
 
 
-def interleave(df: DataFrame, shards: Sequence[str], position: str, source: str = "source") -> DataFrame:
+def interleave(
+    df: DataFrame,
+    shards: Sequence[str],
+    position: str,
+    source: str = "source",
+    wide: DataFrame | None = None,
+    ids: Sequence[str] = (),
+) -> DataFrame:
     """Round-robin over the shards until the longest is used up, cycling the shorter ones.
 
     ``position`` numbers the rows of each shard from 0. Adds ``round`` and ``out_pos``. Row ``p`` of
     a shard with ``n`` rows appears in rounds ``p, p + n, p + 2n, ...``.
+
+    The rounds are worked out on ``df`` alone. Give it narrow, and the other columns in ``wide``: its
+    rows are fetched by ``source`` and ``ids`` in one shuffle, and repeated only after it.
     """
     index = reduce(
         lambda rest, pair: F.when(F.col(source) == pair[1], F.lit(pair[0])).otherwise(rest),
@@ -135,14 +163,58 @@ def interleave(df: DataFrame, shards: Sequence[str], position: str, source: str
     # broadcast: one row per shard named by the caller
     sized = known.join(F.broadcast(sizes), source)
     turns = F.ceil((F.col("_longest") - F.col(position)) / F.col("_n"))
-    repeated = repeat_rows(sized, turns)
+    chunked = sized.select("*", chunks_of(turns))
+    chunked = chunked.hint("rebalance") if wide is None else wide.join(chunked, [source, *ids])
     return (
-        repeated.withColumn("round", F.col(position) + F.col("copy") * F.col("_n"))
+        copies(chunked)
+        .withColumn("round", F.col(position) + F.col("copy") * F.col("_n"))
         .withColumn("out_pos", F.col("round") * len(shards) + index)
         .drop("_n", "_longest", "copy")
     )
 
 
+def mix(
+    tables: dict[str, DataFrame], spec: Sequence[Source], target_total: int | None, seed: int = 42, least_turns: int = 2
+) -> DataFrame:
+    """The whole mixture job: cut each source to its quota in the seeded order, adapt it, drop conversations that are
+    too short, and interleave what is left. Gives ``source``, ``round``, ``out_pos`` and ``conversations``.
+
+    Sources may have different columns. Which rows are kept, and their places, is decided on ids, keys and
+    lengths; adapted rows are read once, filtered by the cut-offs and shuffled once, to their rounds.
+    """
+
+    def adapted(line: Source) -> DataFrame:
+        df = tables[line.name]
+        marked = df.withColumns(
+            {"_mix_id": F.concat_ws(":", *(F.col(c).cast("string") for c in line.ids)), "_mix_key": order_key(seed, *line.ids)}
+        )
+        return line.adapter(marked, keep=("_mix_id", "_mix_key")).withColumn("source", F.lit(line.name))
+
+    def united(*columns: str | Column) -> DataFrame:
+        return reduce(DataFrame.unionByName, (adapted(line).select("source", "_mix_id", "_mix_key", *columns) for line in spec))
+
+    sort = ["_mix_key", "_mix_id"]
+    keys = united()
+    bucket = key_bucket(F.col("_mix_key"), max(key_digits(df) for df in tables.values()))
+    long_enough = F.coalesce(F.size("conversations") >= least_turns, F.lit(False))
+    if target_total is None:
+        cut = None
+    else:
+        # broadcast: one row per source of the specification
+        cut = F.broadcast(materialize(cutoffs(keys, quota(spec, target_total), sort, bucket, ["source"])))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        if cut is None:
+            return rows
+        return rows.join(cut, "source").where(F.struct(*sort) <= F.col("_cut")).drop("_cut")
+
+    chosen = kept(united(long_enough.alias("_ok"))).where("_ok").drop("_ok")
+    placed = materialize(prefix_sum(chosen, sort, [bucket], by=["source"], name="_place").select("source", "_mix_id", "_place"))
+    rows = kept(united("conversations").where(long_enough)).drop("_mix_key")
+    mixed = interleave(placed, [line.name for line in spec], "_place", wide=rows, ids=["_mix_id"])
+    return mixed.select("source", "round", "out_pos", "conversations")
+
+
 def union_shards(shards: dict[str, DataFrame], source: str = "source") -> DataFrame:
     """Weight-preserving union: each quota row once, labelled with its source."""
     labelled = [df.withColumn(source, F.lit(name)) for name, df in shards.items()]

@@ -13,7 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY_DIGITS = 4  # 65,536 buckets, so that one of 100 TB holds about 1.5 GB
+BUCKET_BYTES = 64 << 20  # estimated input of one bucket of hash keys
+LEAST_DIGITS, MOST_DIGITS = 2, 5  # of 256 to 1,048,576 buckets
 
 
 def order_key(seed: int | Column, *ids: str | Column) -> Column:
@@ -23,7 +24,19 @@ def order_key(seed: int | Column, *ids: str | Column) -> Column:
     return F.md5(F.concat_ws(":", *parts).cast("binary"))
 
 
-def key_bucket(key: Column, digits: int = KEY_DIGITS) -> Column:
+def key_digits(df: DataFrame) -> int:
+    """Hex digits that cut the table into buckets of about ``BUCKET_BYTES``, by the planner's estimate of its size.
+
+    The estimate decides how work is cut, never what comes out.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    digits = LEAST_DIGITS
+    while digits < MOST_DIGITS and size > BUCKET_BYTES * 16**digits:
+        digits += 1
+    return digits
+
+
+def key_bucket(key: Column, digits: int) -> Column:
     """Leading hex digits of a hash key: uniform buckets in key order."""
     return F.substring(key, 1, digits)
 
@@ -85,10 +98,8 @@ def shuffled_rank(
 ) -> DataFrame:
     """Position of every row in the seeded shuffle order, from 0."""
     keyed = df.withColumn("_key", order_key(seed, *ids))
-    ranked = prefix_sum(
-        keyed, ["_key", *ids], [key_bucket(F.col("_key"))], by=by, name=name
-    )
-    return ranked.drop("_key")
+    bucket = key_bucket(F.col("_key"), key_digits(df))
+    return prefix_sum(keyed, ["_key", *ids], [bucket], by=by, name=name).drop("_key")
 
 
 def cutoffs(
@@ -163,4 +174,4 @@ def take_shuffled(
 ) -> DataFrame:
     """``take_first`` in the seeded shuffle order."""
     keyed = df.withColumn("_key", order_key(seed, *ids))
-    return take_first(keyed, limit, ["_key", *ids], key_bucket(F.col("_key")), by, flag).drop("_key")
+    return take_first(keyed, limit, ["_key", *ids], key_bucket(F.col("_key"), key_digits(df)), by, flag).drop("_key")

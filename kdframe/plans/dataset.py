@@ -229,6 +229,47 @@ def d3(spark, root):
     return quota_rows(spark, root)
 
 
+JOB = [
+    Source("threads", 0.35, adapters.sharegpt, ("doc_id",)),
+    Source("tasks", 0.30, adapters.alpaca, ("doc_id",)),
+    Source("dialogue", 0.15, adapters.qa, ("conv_id", "turn")),
+    Source("web", 0.20, adapters.code, ("page_id",)),
+]
+_ASKED = "CASE source " + " ".join(f"WHEN '{line.name}' THEN {int(TARGET * line.weight)}" for line in JOB) + " END"
+
+
+@query(
+    "d3_mixture_job",
+    f"""WITH everything AS (
+          SELECT 0 AS s, 'threads' AS source, doc_id::VARCHAR AS id, count(*) AS turns,
+                 string_agg(speaker || '=' || coalesce(value, '<none>'), '|' ORDER BY i) AS body FROM said GROUP BY doc_id
+          UNION ALL
+          SELECT 1, 'tasks', doc_id::VARCHAR, 2, 'human=' || CASE WHEN input <> ''
+                 THEN coalesce(instruction, 'None') || chr(10) || chr(10) || 'Input:' || chr(10) || input
+                 ELSE coalesce(instruction, '') END || '|gpt=' || coalesce(output, '') FROM alpaca
+          UNION ALL
+          SELECT 2, 'dialogue', conv_id || ':' || turn, 2, 'human=' || question || '|gpt=' || answer FROM qa
+          UNION ALL
+          SELECT 3, 'web', page_id::VARCHAR, 2, 'human=' || url || '|gpt=' || html FROM pages),
+        cut AS (
+          SELECT *, row_number() OVER (PARTITION BY source ORDER BY key) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM (
+            SELECT *, md5('42:' || id) AS key, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || id), id) AS k FROM everything)
+          WHERE k <= {_ASKED} AND turns >= 2)
+        SELECT source, r AS round, r * 4 + s AS out_pos, md5(body) AS digest
+        FROM (SELECT unnest(range((SELECT max(n) FROM cut))) AS r) JOIN cut ON place = r % n""",
+)
+def d3_job(spark, root):
+    pages = tables.base(spark, root, "pages").select("page_id", F.col("url").alias("prompt"), F.col("html").alias("solution"))
+    given = {
+        "threads": tables.threads(spark, root),
+        "tasks": tables.alpaca(spark, root),
+        "dialogue": tables.qa(spark, root),
+        "web": pages,
+    }
+    mixed = mixture.mix(given, JOB, TARGET)
+    return mixed.select("source", "round", "out_pos", digest(spoken("conversations")).alias("digest"))
+
+
 def _adapted(df, key="doc_id"):
     return df.select(key, F.size("conversations").alias("turns"), digest(spoken("conversations")).alias("digest"))
 
@@ -328,18 +369,19 @@ def d11(spark, root):
 
 @query(
     "d12_interleave",
-    f"""SELECT r * 4 + s AS out_pos, r AS round, lang, doc_id FROM
+    f"""SELECT r * 4 + s AS out_pos, r AS round, lang, doc_id, md5(text) AS digest FROM
           (SELECT unnest(range((SELECT max(c) FROM (SELECT count(*) AS c FROM ({_QUOTA}) GROUP BY lang)))) AS r)
           CROSS JOIN (SELECT lang, count(*) AS n, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS s
                       FROM ({_QUOTA}) GROUP BY lang) AS sizes
-          JOIN (SELECT doc_id, lang, k FROM ({_QUOTA})) AS kept USING (lang)
+          JOIN (SELECT doc_id, lang, k FROM ({_QUOTA})) AS kept USING (lang) JOIN (SELECT doc_id, text FROM documents) USING (doc_id)
         WHERE k - 1 = r % n""",
 )
 def d12(spark, root):
-    # sizes and rows are both read from it
+    # sizes and rounds are both read from it
     placed = materialize(shuffled_rank(quota_rows(spark, root), ["doc_id"], by=["lang"], name="place"))
-    mixed = mixture.interleave(placed, [line.name for line in SPEC], "place", source="lang")
-    return mixed.select("out_pos", "round", "lang", "doc_id")
+    docs = tables.base(spark, root, "documents").select("doc_id", "lang", "text")
+    mixed = mixture.interleave(placed, [line.name for line in SPEC], "place", source="lang", wide=docs, ids=["doc_id"])
+    return mixed.select("out_pos", "round", "lang", "doc_id", digest("text").alias("digest"))
 
 
 @query(
