@@ -180,27 +180,52 @@ BASE_TASKS = [
      None, "random_sampling_from_train", ["test"]),
 ]
 # fixed values: subset names
-BBH_SUBSETS = """
-boolean_expressions causal_judgement date_understanding disambiguation_qa dyck_languages
-formal_fallacies geometric_shapes hyperbaton logical_deduction_five_objects
-logical_deduction_seven_objects logical_deduction_three_objects movie_recommendation
-multistep_arithmetic_two navigate object_counting penguins_in_a_table
-reasoning_about_colored_objects ruin_names salient_translation_error_detection snarks
-sports_understanding temporal_sequences tracking_shuffled_objects_five_objects
-tracking_shuffled_objects_seven_objects tracking_shuffled_objects_three_objects web_of_lies
-word_sorting
-""".split()
-MATH_SUBSETS = """
-algebra counting_and_probability geometry intermediate_algebra number_theory prealgebra precalculus
-""".split()
+BBH_SUBSETS = [
+    "boolean_expressions",
+    "causal_judgement",
+    "date_understanding",
+    "disambiguation_qa",
+    "dyck_languages",
+    "formal_fallacies",
+    "geometric_shapes",
+    "hyperbaton",
+    "logical_deduction_five_objects",
+    "logical_deduction_seven_objects",
+    "logical_deduction_three_objects",
+    "movie_recommendation",
+    "multistep_arithmetic_two",
+    "navigate",
+    "object_counting",
+    "penguins_in_a_table",
+    "reasoning_about_colored_objects",
+    "ruin_names",
+    "salient_translation_error_detection",
+    "snarks",
+    "sports_understanding",
+    "temporal_sequences",
+    "tracking_shuffled_objects_five_objects",
+    "tracking_shuffled_objects_seven_objects",
+    "tracking_shuffled_objects_three_objects",
+    "web_of_lies",
+    "word_sorting",
+]
+MATH_SUBSETS = [
+    "algebra",
+    "counting_and_probability",
+    "geometry",
+    "intermediate_algebra",
+    "number_theory",
+    "prealgebra",
+    "precalculus",
+]
 TASK_FIELDS = (
     "task string, prompt string, subset string, metric string, generation_size int, "
     "stops array<string>, few_shot_split string, few_shot_select string, evaluation_splits array<string>"
 )
 
 
-def task_registry(spark: SparkSession) -> DataFrame:
-    """The task dimension: base tasks, and one row per subset for the two families."""
+def registry_rows() -> list[tuple]:
+    """Base tasks, and one row per subset for the two families."""
     families = {
         "bbh": (BBH_SUBSETS, ("exact_match", None, _QUESTION_STOPS, "train", None, ["train"])),
         "math": (MATH_SUBSETS, ("qem", 1024, ["Problem:"], "fewshot", "sequential", ["test"])),
@@ -208,7 +233,12 @@ def task_registry(spark: SparkSession) -> DataFrame:
     rows = list(BASE_TASKS)
     for family, (subsets, rest) in families.items():
         rows += [(f"{family}:{subset}", family, subset, *rest) for subset in subsets]
-    return spark.createDataFrame(rows, TASK_FIELDS)
+    return rows
+
+
+def task_registry(spark: SparkSession) -> DataFrame:
+    """The task dimension."""
+    return spark.createDataFrame(registry_rows(), TASK_FIELDS)
 
 
 def parse_suite(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -223,6 +253,15 @@ def parse_suite(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
+def expand_suite(suite: DataFrame, tasks: DataFrame) -> DataFrame:
+    """What a suite asks for: its lines with the registry's fields, one row per task. A line that names a family
+    (``bbh``) stands for all of its tasks."""
+    family = F.split("task", ":")[0]
+    named = tasks.withColumn("_line", F.explode(F.array_distinct(F.array("task", family))))
+    lines = suite.select(F.col("task").alias("_line"), "suite", "shots", "truncate")
+    return lines.join(named, "_line").drop("_line")
+
+
 # ---- few-shot examples ----------------------------------------------------------------------
 
 
@@ -261,16 +300,56 @@ def few_shots(
     return joined.withColumn("few_shot", F.coalesce(F.array_join(chosen, ""), F.lit(""))).drop("_shots")
 
 
+#: Split of a task that names none: to take examples from, and to evaluate on.
+DEFAULT_POOL, DEFAULT_SPLIT = "train", "validation"
+
+
+def suite_prompts(prompts: DataFrame, plan: DataFrame, seed: int = 42, item: str = "item_id") -> DataFrame:
+    """Prompts of a suite, from ``expand_suite`` and (task, item, split, query, choices, gold_index) of all splits.
+
+    Each task has its own number of examples, split to take them from, order (by id, or seeded) and
+    splits to evaluate; an item never shows its own answer. Adds ``few_shot`` and the plan's fields.
+    An example is a query with its right choice. The largest number asked for bounds what a task
+    costs before the shuffle, the task's own number what it shows.
+    """
+    plan = materialize(plan)
+    most = plan.agg(F.coalesce(F.max("shots"), F.lit(0))).scalar()
+    wanted = plan.groupBy("task").agg(
+        F.max("shots").alias("_k"),
+        F.max(F.coalesce("few_shot_split", F.lit(DEFAULT_POOL))).alias("_pool"),
+        F.max(F.coalesce(F.col("few_shot_select") == "sequential", F.lit(False))).alias("_by_id"),
+    )
+    pool = prompts.join(broadcast_if_fits(wanted, BROADCAST_TASKS), "task").where(F.col("split") == F.col("_pool"))
+    answer = F.get("choices", F.col("gold_index"))
+    # rows that go by id have equal keys
+    key = F.when(F.col("_by_id"), F.lit("")).otherwise(order_key(seed, item))
+    nth = F.row_number().over(Window.partitionBy("task").orderBy("_key", item))
+    ranked = pool.select("task", item, F.concat("query", answer).alias("_text"), key.alias("_key"), "_k").withColumn("_nth", nth)
+    best = ranked.where(F.col("_nth") <= F.lit(most + 1)).where(F.col("_nth") <= F.col("_k") + 1)
+    listed = best.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("_nth", F.col(item).alias("_id"), "_text"))).alias("_shots"))
+    listed = materialize(listed)
+    asked = prompts.join(broadcast_if_fits(plan, BROADCAST_TASKS), "task")
+    splits = F.when(F.size("evaluation_splits") > 0, F.col("evaluation_splits")).otherwise(F.array(F.lit(DEFAULT_SPLIT)))
+    asked = asked.where(F.array_contains(splits, F.col("split"))).join(broadcast_if_fits(listed, BROADCAST_TASKS), "task", "left")
+    others = F.filter("_shots", lambda s: s["_id"] != F.col(item))
+    chosen = F.transform(F.slice(others, F.lit(1), F.col("shots")), lambda s: F.concat(s["_text"], F.lit("\n\n")))
+    return asked.withColumn("few_shot", F.coalesce(F.array_join(chosen, ""), F.lit(""))).drop("_shots")
+
+
 # ---- model output ---------------------------------------------------------------------------
 
 
-def cut_at_stops(text: Column, stops: Sequence[str]) -> Column:
-    """Text before the earliest stop string."""
-    found = [F.nullif(F.instr(text, s), F.lit(0)) for s in stops]
-    first = F.least(*found) if len(found) > 1 else found[0]
+def cut_at_stops(text: Column, stops: Sequence[str] | Column) -> Column:
+    """Text before the earliest stop string. ``stops`` may be an array column, so that each row has its own."""
+    each = stops if isinstance(stops, Column) else F.array(*map(F.lit, stops))
+    found = F.filter(F.transform(each, lambda s: F.position(s, text)), lambda place: place > 0)
+    first = F.array_min(found)
     return F.when(first.isNull(), text).otherwise(F.substr(text, F.lit(1), first - 1))
 
 
-def cap_tokens(text: Column, limit: int, tokeniser: str = "student") -> Column:
-    """At most ``limit`` tokens of generated text."""
-    return F.array_join(F.slice(pieces(text, tokeniser), 1, limit), "")
+def cap_tokens(text: Column, limit: int | Column, tokeniser: str = "student") -> Column:
+    """At most ``limit`` tokens of generated text; all of them where a row has no limit."""
+    if not isinstance(limit, Column):
+        limit = F.lit(limit)
+    capped = F.array_join(F.slice(pieces(text, tokeniser), F.lit(1), limit), "")
+    return F.when(limit.isNull(), text).otherwise(capped)

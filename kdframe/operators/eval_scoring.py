@@ -211,18 +211,21 @@ def corpus_mean(df: DataFrame, score: str, by: Sequence[str] = ("task",)) -> Dat
     return df.groupBy(*by).agg(F.count(score).alias("items"), total.alias(score))
 
 
-def suite_rollup(df: DataFrame, score: str, name: str = "name") -> DataFrame:
-    """Scores per subset, task and overall from ``task:subset`` names.
+def suite_rollup(df: DataFrame, score: str, name: str = "name", suite: str | None = None) -> DataFrame:
+    """Scores per subset, task and overall from ``task:subset`` names, and per suite if there is a column for it.
 
     ``micro`` weighs every item equally, ``macro`` every subset.
     """
     part = F.split(name, ":")
+    levels = {"task": part[0], "subset": F.coalesce(F.get(part, 1), F.lit("-"))}
+    if suite:
+        levels = {"suite": F.col(suite)} | levels
     cells = (
-        df.select(part[0].alias("task"), F.coalesce(F.get(part, 1), F.lit("-")).alias("subset"), score)
-        .groupBy("task", "subset")
+        df.select(*(c.alias(level) for level, c in levels.items()), score)
+        .groupBy(*levels)
         .agg(F.sum(score).alias("_sum"), F.count(score).alias("_n"))
     )
-    return cells.rollup("task", "subset").agg(
+    return cells.rollup(*levels).agg(
         F.sum("_n").alias("items"),
         (F.sum("_sum") / F.sum("_n")).alias("micro"),
         F.avg(F.col("_sum") / F.col("_n")).alias("macro"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kdframe.operators import adapters, mixture
-from kdframe.operators.eval_prompts import BBH_SUBSETS, parse_suite, task_registry
+from kdframe.operators.eval_prompts import parse_suite, task_registry
 from kdframe.operators.eval_reports import latest_state
 from kdframe.operators.eval_scoring import first_result
 from kdframe.operators.mixture import Source
@@ -57,22 +57,13 @@ def s4(spark, root):
     return parse_suite(lines).withColumn("truncate", F.col("truncate").cast("int"))
 
 
-_SUBSETS = ", ".join(f"'{s}'" for s in BBH_SUBSETS)
-
-
 @query(
     "s5_task_registry",
-    f"""SELECT CASE WHEN doc_id % 10 = 9 THEN 'gsm8k' ELSE 'bbh:' || ([{_SUBSETS}])[doc_id % 27 + 1] END AS task,
-               CASE WHEN doc_id % 10 = 9 THEN 'quasi_exact_match_gsm8k' ELSE 'exact_match' END AS metric,
-               'Question:,Question' AS stops, CASE WHEN doc_id % 10 = 9 THEN 256 END AS generation_size,
-               count(*) AS items, sum(n_chars)::BIGINT AS n_chars
-        FROM documents GROUP BY ALL""",
+    """SELECT task, metric, array_to_string(stops, ',') AS stops, generation_size, count(*) AS items, sum(n_chars)::BIGINT AS n_chars
+       FROM suite_items JOIN registry USING (task) GROUP BY ALL""",
 )
 def s5(spark, root):
-    subset = F.element_at(F.array(*[F.lit(s) for s in BBH_SUBSETS]), (F.col("doc_id") % 27 + 1).cast("int"))
-    named = tables.base(spark, root, "documents").select(
-        F.when(F.col("doc_id") % 10 == 9, "gsm8k").otherwise(F.concat(F.lit("bbh:"), subset)).alias("task"), "n_chars"
-    )
+    named = tables.suite_items(spark, root).select("task", "n_chars")
     # broadcast: the registry has 42 fixed rows
     return (
         named.join(F.broadcast(task_registry(spark)), "task")

@@ -202,6 +202,80 @@ def e9(spark, root):
     )
 
 
+SUITE = ["custom|arc|0|1", "custom|bbh|3|1", "custom|math|4|1", "custom|gsm8k|5|1"]
+
+
+def plan_of(spark, suite=SUITE):
+    """The suite's lines with the registry's fields."""
+    lines = spark.createDataFrame([(line,) for line in suite], "value string")
+    return eval_prompts.expand_suite(eval_prompts.parse_suite(lines), eval_prompts.task_registry(spark))
+
+
+def suite_items(spark, root):
+    """Items of the suite's kinds, each with the columns of its prompt."""
+    rows = tables.suite_items(spark, root)
+    family = F.split("task", ":")[0]
+    labels = F.array(F.lit("A"), F.lit("B"))
+    return {
+        "arc": rows.where(family == "arc").select(
+            "task", "item_id", "split", F.col("input").alias("question"), labels.alias("labels"), F.array("source", "lang").alias("texts"),
+            F.when(F.col("item_id") % 2 == 0, "A").otherwise(" B\n").alias("answer_key"),
+        ),
+        "bbh": rows.where(family == "bbh"),
+        "math": rows.where(family == "math").withColumnsRenamed({"input": "problem", "target": "solution"}),
+        "gsm8k": rows.where(family == "gsm8k").withColumnsRenamed({"input": "question", "target": "answer"}),
+    }
+
+
+@query(
+    "e8_suite_prompts",
+    """WITH asked AS (
+         SELECT *, CASE prompt WHEN 'bbh' THEN 3 WHEN 'math' THEN 4 WHEN 'gsm8k' THEN 5 ELSE 0 END AS shots,
+                CASE prompt WHEN 'bbh' THEN 'Question: ' || input || chr(10) || 'Answer: '
+                     WHEN 'math' THEN 'Problem:' || chr(10) || input || chr(10) || chr(10) || 'Solution:' || chr(10)
+                     ELSE 'Question: ' || input || chr(10) || 'Answer:' END AS query,
+                CASE prompt WHEN 'bbh' THEN target WHEN 'math' THEN target || chr(10) WHEN 'gsm8k' THEN ' ' || target
+                     ELSE ' ' || CASE WHEN item_id % 2 = 0 THEN source ELSE lang END END AS right_choice
+         FROM suite_items WHERE prompt IN ('arc', 'bbh', 'math', 'gsm8k')),
+       pool AS (
+         SELECT task, item_id AS shot_id, query || right_choice || chr(10) || chr(10) AS shot, row_number() OVER (PARTITION BY task
+                  ORDER BY CASE WHEN few_shot_select = 'sequential' THEN '' ELSE md5('42:' || item_id) END, item_id) AS k
+         FROM asked JOIN (SELECT task, few_shot_select, few_shot_split FROM registry) USING (task)
+         WHERE split = coalesce(few_shot_split, 'train')),
+       shown AS (
+         SELECT item_id, string_agg(shot, '' ORDER BY k) AS few_shot FROM (
+           SELECT item_id, shot, k, shots, row_number() OVER (PARTITION BY item_id ORDER BY k) AS place
+           FROM asked JOIN pool USING (task) WHERE k <= shots + 1 AND shot_id <> item_id) WHERE place <= shots GROUP BY item_id)
+       SELECT item_id, task, shots::INT AS shots, generation_size, md5(coalesce(few_shot, '') || query) AS prompt
+       FROM asked JOIN (SELECT task, generation_size, evaluation_splits FROM registry) USING (task) LEFT JOIN shown USING (item_id)
+       WHERE list_contains(evaluation_splits, split)""",
+)
+def e8_suite(spark, root):
+    asked = eval_prompts.suite_prompts(registry.build_prompts(suite_items(spark, root)), plan_of(spark))
+    return asked.select("item_id", "task", "shots", "generation_size", digest(F.concat("few_shot", "query")).alias("prompt"))
+
+
+@query(
+    "e9_suite_outputs",
+    r"""WITH outputs AS (
+          SELECT item_id, task, stops, generation_size,
+                 input || [' Question: more Problem: end', 'Problem: and Question', ' end'][item_id % 3 + 1] AS out
+          FROM suite_items JOIN (SELECT task, stops, generation_size FROM registry) USING (task)),
+        cut AS (
+          SELECT *, coalesce(out[1:list_min(list_filter(list_transform(stops, lambda s: strpos(out, s)), lambda p: p > 0)) - 1], out) AS kept FROM outputs)
+        SELECT item_id, task, md5(CASE WHEN generation_size IS NULL THEN kept ELSE array_to_string(regexp_extract_all(kept,
+               '<\|endoftext\|>|<\|im_start\|>|<\|im_end\|>|
+| ?\p{L}+| ?\p{N}+|[^\p{L}\p{N}]')[1:generation_size], '') END) AS output FROM cut""",
+)
+def e9_suite(spark, root):
+    tails = F.array(*map(F.lit, (" Question: more Problem: end", "Problem: and Question", " end")))
+    said = F.concat("input", F.get(tails, (F.col("item_id") % 3).cast("int")))
+    # broadcast: the registry has 42 fixed rows
+    rows = tables.suite_items(spark, root).join(F.broadcast(eval_prompts.task_registry(spark)), "task")
+    cut = rows.withColumn("out", eval_prompts.cut_at_stops(said, F.col("stops")))
+    return cut.select("item_id", "task", digest(eval_prompts.cap_tokens(F.col("out"), F.col("generation_size"))).alias("output"))
+
+
 # ---- scoring --------------------------------------------------------------------------------
 
 
@@ -343,20 +417,23 @@ def e16(spark, root):
 
 @query(
     "e17_suite_rollup",
-    f"""SELECT coalesce(task, 'ALL') AS task, coalesce(subset, 'ALL') AS subset, sum(n)::BIGINT AS items, {R("sum(s) / sum(n)")} AS micro, {R("avg(s / n)")} AS macro
-        FROM (SELECT task, CASE WHEN task = 'arc' THEN '-' ELSE subset END AS subset, sum(hit) AS s, count(*) AS n
-              FROM (SELECT *, (n_chars % 3 = 0)::INT AS hit FROM items) GROUP BY ALL) GROUP BY ROLLUP (task, subset)""",
+    f"""SELECT coalesce(suite, 'ALL') AS suite, coalesce(task, 'ALL') AS task, coalesce(subset, 'ALL') AS subset,
+               sum(n)::BIGINT AS items, {R("sum(s) / sum(n)")} AS micro, {R("avg(s / n)")} AS macro
+        FROM (SELECT suite, task, subset, sum(hit) AS s, count(*) AS n FROM (
+                SELECT CASE WHEN prompt IN ('arc', 'bbh', 'math', 'gsm8k') THEN 'custom' ELSE 'extended' END AS suite,
+                       split_part(task, ':', 1) AS task, CASE WHEN contains(task, ':') THEN split_part(task, ':', 2) ELSE '-' END AS subset,
+                       (n_chars % 3 = 0)::INT AS hit
+                FROM suite_items WHERE prompt IN ('arc', 'bbh', 'math', 'gsm8k', 'triviaqa', 'winogrande')) GROUP BY ALL)
+        GROUP BY ROLLUP (suite, task, subset)""",
 )
 def e17(spark, root):
-    named = F.when(F.col("task") == "arc", F.col("task")).otherwise(F.concat_ws(":", "task", "subset"))
-    rows = tables.items(spark, root).select(named.alias("name"), (F.col("n_chars") % 3 == 0).cast("int").alias("hit"))
-    rolled = eval_scoring.suite_rollup(rows, "hit")
+    plan = plan_of(spark, [*SUITE, "extended|trivia_qa|0|0", "extended|winogrande|0|1"]).select("suite", "task")
+    hits = tables.suite_items(spark, root).select("task", (F.col("n_chars") % 3 == 0).cast("int").alias("hit"))
+    # broadcast: at most one row per line of the suite and task of the registry
+    rolled = eval_scoring.suite_rollup(hits.join(F.broadcast(plan), "task"), "hit", name="task", suite="suite")
+    every = F.lit("ALL")
     return rolled.select(
-        F.coalesce("task", F.lit("ALL")).alias("task"),
-        F.coalesce("subset", F.lit("ALL")).alias("subset"),
-        "items",
-        r6("micro").alias("micro"),
-        r6("macro").alias("macro"),
+        *(F.coalesce(level, every).alias(level) for level in ("suite", "task", "subset")), "items", r6("micro").alias("micro"), r6("macro").alias("macro")
     )
 
 

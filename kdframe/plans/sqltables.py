@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from kdframe.operators.eval_prompts import registry_rows
 from kdframe.operators.tokens import TOKENISERS
 
 _NEIGHBOURS = """
@@ -14,6 +15,21 @@ FROM embeddings a JOIN embeddings b
 """
 
 
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, list):
+        return "[" + ", ".join(map(_literal, value)) + "]::VARCHAR[]"
+    return str(value) if isinstance(value, int) else f"'{value}'"
+
+
+def _registry() -> str:
+    """The task registry, numbered from 0."""
+    names = "task, prompt, subset, metric, generation_size, stops, few_shot_split, few_shot_select, evaluation_splits".split(", ")
+    columns = ", ".join(f"unnest([{', '.join(_literal(row[i]) for row in registry_rows())}]) AS {name}" for i, name in enumerate(names))
+    return f"SELECT unnest(range({len(registry_rows())})) AS number, {columns}"
+
+
 def _hidden(column: str, layers: int, masked: int) -> str:
     return f"""
 SELECT vec_id // {5 * layers} AS seq_id, (vec_id // 5 % {layers})::INT AS layer, (vec_id % 5)::INT AS pos,
@@ -55,6 +71,11 @@ FROM said""",
 SELECT doc_id, source, CASE WHEN doc_id % 17 <> 16 THEN 'Summarise source ' || source END AS instruction,
        CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS input, CASE WHEN doc_id % 5 <> 4 THEN lang END AS output
 FROM documents""",
+    "registry": _registry(),
+    "suite_items": f"""
+SELECT doc_id AS item_id, task, prompt, ['test', 'validation', 'train', 'fewshot', 'train'][doc_id // {len(registry_rows())} % 5 + 1] AS split,
+       text AS input, 'answer ' || n_chars AS target, lang, source, n_chars
+FROM documents JOIN registry ON number = doc_id % {len(registry_rows())}""",
     "qa": """
 SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1

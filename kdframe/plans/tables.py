@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kdframe.functions.vectors import doubles
 from kdframe.operators.conversation import render_turns
+from kdframe.operators.eval_prompts import registry_rows
 from kdframe.operators.ranking import prefix_sum
 from kdframe.session import spread
 
@@ -200,6 +201,23 @@ def items(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def suite_items(spark: SparkSession, root: str) -> DataFrame:
+    """Items of all tasks of the registry, in four splits."""
+    names = F.array(*[F.lit(row[0]) for row in registry_rows()])
+    splits = F.array(*[F.lit(split) for split in ("test", "validation", "train", "fewshot", "train")])
+    doc = F.col("doc_id")
+    return texts(spark, root).select(
+        doc.alias("item_id"),
+        F.get(names, (doc % len(registry_rows())).cast("int")).alias("task"),
+        F.get(splits, (F.floor(doc / len(registry_rows())) % 5).cast("int")).alias("split"),
+        F.col("text").alias("input"),
+        F.concat(F.lit("answer "), F.col("n_chars").cast("string")).alias("target"),
+        "lang",
+        "source",
+        "n_chars",
+    )
+
+
 def runs(spark: SparkSession, root: str) -> DataFrame:
     """Generation runs: every event type is a model, its events in time order are its prompts."""
     events = base(spark, root, "events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,12 @@ def adapt(df: DataFrame, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.transform(ADAPTERS[name], keep)
 
 
+def build_prompts(items: dict[str, DataFrame], keep: tuple[str, ...] = ("task", "item_id", "split")) -> DataFrame:
+    """``query``, ``choices`` and ``gold_index`` of items of several kinds, each by the prompt of its name."""
+    built = [PROMPTS[name](df).select(*keep, "query", "choices", "gold_index") for name, df in items.items()]
+    return reduce(DataFrame.unionByName, built)
+
+
 def score(df: DataFrame, metric: str, prediction: str, gold: str, by: tuple[str, ...] = ("task",)) -> DataFrame:
     """Corpus score of a registered metric per group."""
     per_item, corpus = METRICS[metric]
