@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kdframe.session import materialize
+
 BUCKET_BYTES = 64 << 20  # estimated input of one bucket of hash keys
 LEAST_DIGITS, MOST_DIGITS = 2, 5  # of 256 to 1,048,576 buckets
 
@@ -93,6 +95,31 @@ def prefix_sum(
     return prefix_sums(df, order, bucket, {name: F.lit(1) if value is None else value}, by)
 
 
+def range_ordered(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` in a table with ``_at``, a number that rises with ``order``: the range of the row and its place there.
+
+    Spark samples the sort columns to split them into ranges of about equal size, whatever their
+    distribution. ``order`` must identify a row.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return materialize(ranged.withColumn("_at", F.monotonically_increasing_id()))
+
+
+def range_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """Position of every row in ``order``, from 0, with one shuffle: the counts of the ranges, one number per
+    task of that shuffle, give the offsets."""
+    placed = range_ordered(df, order)
+    part, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    offsets, total = [], 0
+    for at in range(max(counts, default=-1) + 1):
+        offsets.append(total)
+        total += counts.get(at, 0)
+    start = F.get(F.array(*map(F.lit, offsets)), part.cast("int")) if offsets else F.lit(0)
+    return placed.withColumn(name, (start + nth).cast("long")).drop("_at")
+
+
 def shuffled_rank(
     df: DataFrame, ids: Sequence[str], seed: int = 42, by: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:

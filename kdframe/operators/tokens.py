@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kdframe.functions.text import clipped, join_ints  # noqa: F401  (re-exported for callers)
 from kdframe.functions.vectors import let
-from kdframe.operators.ranking import prefix_sum, shuffled_rank
+from kdframe.operators.ranking import range_rank, shuffled_rank
 from kdframe.session import fits, materialize
 
 # fixed values
@@ -44,15 +44,13 @@ def build_vocabulary(tokens: DataFrame) -> DataFrame:
     """``(piece, n, id)``: special tokens first, then by falling count and piece.
 
     Counting combines map-side, so frequent pieces do not skew, and the counts are stored so that
-    the text is tokenised once. The rank is cut into buckets by count and first two characters
-    instead of sorting the vocabulary in one task.
+    the text is tokenised once. The rank comes from sampled ranges of (count, piece): pieces that
+    occur once, most of a large vocabulary, are spread like all others.
     """
     counted = materialize(tokens.groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
     special = F.array_position(F.array(*[F.lit(s) for s in SPECIALS]), F.col("piece")) - 1
     ordinary = counted.where(~F.col("piece").isin(*SPECIALS)).withColumn("_desc", -F.col("n"))
-    ranked = prefix_sum(
-        ordinary, ["_desc", "piece"], [F.col("_desc"), F.substring("piece", 1, 2)], name="_rank"
-    )
+    ranked = range_rank(ordinary, ["_desc", "piece"], "_rank")
     marked = counted.where(F.col("piece").isin(*SPECIALS)).withColumn("id", special.cast("long"))
     return ranked.select("piece", "n", (F.col("_rank") + len(SPECIALS)).alias("id")).unionByName(marked)
 
@@ -103,9 +101,13 @@ def sequence_tokens(
     tokeniser: str = "student",
 ) -> DataFrame:
     """First ``max_length`` tokens of every sequence; ``pos`` numbers them from 0."""
-    whole = sequence_texts(fragments, max_length, seq, place, text)
+    return text_tokens(sequence_texts(fragments, max_length, seq, place, text), max_length, seq, tokeniser)
+
+
+def text_tokens(texts: DataFrame, max_length: int | None, seq: str = "conv_id", tokeniser: str = "student") -> DataFrame:
+    """The same from (``seq``, text)."""
     found = pieces(F.col("text"), tokeniser)
-    return whole.select(seq, F.posexplode(found if max_length is None else F.slice(found, 1, max_length)).alias("pos", "piece"))
+    return texts.select(seq, F.posexplode(found if max_length is None else F.slice(found, 1, max_length)).alias("pos", "piece"))
 
 
 def collect_ids(tokens: DataFrame, by: Sequence[str], value: str = "id", name: str = "input_ids") -> DataFrame:

@@ -59,7 +59,7 @@ def x3_final(spark, root):
 def x3_stream(spark, root):
     source = fresh_path(spark, "chunks")
     tables.chunks(spark, root).write.parquet(source)
-    assembled = flows.drain(flows.assemble_stream(flows.read_stream(spark, source, "*.parquet")), "assembled")
+    assembled = flows.drain(flows.assemble_stream(flows.read_stream(spark, source, "*.parquet")), "assembled").where("not late")
     pieces = F.sort_array(F.collect_list(F.struct("last_seq", "new_text")))
     text = F.array_join(F.transform(pieces, lambda p: p["new_text"]), "")
     return assembled.groupBy("request_id").agg(digest(text).alias("digest")).where(F.col("digest") != F.md5(F.lit("").cast("binary")))

@@ -30,15 +30,18 @@ def token_rows(spark, root, tokeniser="student", length=LENGTH):
     return tok.sequence_tokens(tables.fragments(spark, root), length, tokeniser=tokeniser)
 
 
-def ids_of(spark, root, tokeniser, name, length=LENGTH):
-    found = tok.lookup_ids(token_rows(spark, root, tokeniser, length), vocabulary(spark, root, tokeniser))
-    return tok.collect_ids(found, ["conv_id"], name=name)
+def ids_of(spark, root, tokeniser, name, length=LENGTH, whole=None):
+    if whole is None:
+        whole = tok.sequence_texts(tables.fragments(spark, root), length)
+    rows = tok.text_tokens(whole, length, tokeniser=tokeniser)
+    return tok.collect_ids(tok.lookup_ids(rows, vocabulary(spark, root, tokeniser)), ["conv_id"], name=name)
 
 
 def encoded(spark, root, length=LENGTH):
     """Ids of both tokenisers, of at most ``length`` tokens; of whole conversations without one."""
-    student = ids_of(spark, root, "student", "input_ids", length)
-    return student.join(ids_of(spark, root, "teacher", "teacher_input_ids", length), "conv_id")
+    whole = materialize(tok.sequence_texts(tables.fragments(spark, root), length))  # grouped once, for both
+    student = ids_of(spark, root, "student", "input_ids", length, whole)
+    return student.join(ids_of(spark, root, "teacher", "teacher_input_ids", length, whole), "conv_id")
 
 
 def listing(name):

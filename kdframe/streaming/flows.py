@@ -6,15 +6,15 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StringType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from kdframe.operators.eval_reports import latest_state
-from kdframe.operators.ranking import prefix_sum, prefix_sums, range_bucket
-from kdframe.session import fresh_path
+from kdframe.operators.ranking import prefix_sums, range_bucket, range_rank
+from kdframe.session import fresh_path, materialize
 from kdframe.sources.tables import read_snapshot, write_snapshot
 
 # tasks receive the helpers of this module by value, so executors need no copy of the package
@@ -25,6 +25,7 @@ STOPS = ("<end_action>", "<|endoftext|>")
 PROBE_EVERY = 100
 PART_CHUNKS = 4096
 IDLE = "1 hour"
+FOLDED_ROWS = 64
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -141,52 +142,103 @@ def final_text(chunks: DataFrame) -> DataFrame:
     return whole.select("request_id", joined(F.col("_parts")).alias("text")).where(F.length("text") > 0)
 
 
-ASSEMBLED = "request_id long, last_seq long, new_text string, prefix_chars long, done boolean"
-_STATE = "next_seq long, chars long, pending_seq array<long>, pending_delta array<string>, done boolean"
-
-
-def _assemble(
-    key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int = 3_600_000
-) -> Iterator[pd.DataFrame]:
-    next_seq, chars, seqs, deltas, done = state.get if state.exists else (0, 0, [], [], False)
-    finished = done
-    pending = dict(zip(seqs, deltas))
-    latest = state.getCurrentWatermarkMs()
-    for batch in batches:
-        latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
-        if not done:
-            # a delta that is sent again after it was given out is dropped
-            pending.update((s, d) for s, d in zip(batch["seq"].tolist(), batch["delta"].tolist()) if s >= next_seq)
-    fresh: list[str] = []
-    while pending and not done:
-        if next_seq not in pending:
-            if not state.hasTimedOut:
+ASSEMBLED = "request_id long, last_seq long, new_text string, prefix_chars long, done boolean, late boolean"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Assembly(StatefulProcessor):
+    """The readable text of one request.
+
+    ``progress`` is a few numbers, ``waiting`` a map of deltas that came early: a delta that is next in
+    line never touches it, and one that fills a gap reads only what follows. A timer of event time
+    evicts an idle request: what still waits is given out, the map is emptied and a mark stays, so that
+    deltas that come after that are told apart as late.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", "next_seq long, chars long, done boolean, evicted boolean")
+        self.waiting = handle.getMapState("waiting", "seq long", "delta string")
+        self.due = handle.getValueState("due", "at long")
+
+    def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            columns = ["last_seq", "new_text", "prefix_chars", "done", "late"]
+            frame = pd.DataFrame(rows, columns=columns).astype({"prefix_chars": "Int64"})
+            frame.insert(0, "request_id", key[0])
+            yield frame
+
+    def _remind(self, latest: int) -> None:
+        if self.due.exists():
+            (before,) = self.due.get()
+            if before >= latest + self.idle_ms:
+                return
+            self.handle.deleteTimer(before)
+        self.due.update((latest + self.idle_ms,))
+        self.handle.registerTimer(latest + self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        next_seq, chars, done, evicted = self.progress.get() if self.progress.exists() else (0, 0, False, False)
+        fresh: dict[int, str] = {}
+        late: dict[int, str] = {}
+        latest = 0
+        for batch in rows:
+            latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
+            given = zip(batch["seq"].tolist(), batch["delta"].tolist())
+            if evicted:
+                late.update((seq, delta) for seq, delta in given if seq >= next_seq)
+            elif not done:
+                # a delta that is sent again after it was given out is dropped
+                fresh.update((seq, delta) for seq, delta in given if seq >= next_seq)
+        if evicted or done:
+            # after a stop nothing counts; after eviction a delta is told as late, at its place
+            yield from self._rows(key, [(seq, late[seq], None, True, True) for seq in sorted(late)])
+            return
+        text: list[str] = []
+        while not done:
+            if next_seq in fresh:
+                delta = fresh.pop(next_seq)
+            elif self.waiting.containsKey((next_seq,)):
+                (delta,) = self.waiting.getValue((next_seq,))
+                self.waiting.removeKey((next_seq,))
+            else:
                 break
-            next_seq = min(pending)  # an idle request: give out what came after the gap
-        delta = pending.pop(next_seq)
-        next_seq += 1
-        if delta in STOPS:
-            done, pending = True, {}
-        elif delta:
-            fresh.append(delta)
-    text = "".join(fresh)
-    chars += len(text)
-    if state.hasTimedOut:
-        state.remove()
-        done = True
-    else:
-        state.update((next_seq, chars, list(pending), list(pending.values()), done))
-        state.setTimeoutTimestamp(latest + idle_ms)
-    if text or (done and not finished):
-        yield pd.DataFrame(
-            {
-                "request_id": [key[0]],
-                "last_seq": [next_seq - 1],
-                "new_text": [text],
-                "prefix_chars": [chars],
-                "done": [done],
-            }
-        )
+            next_seq += 1
+            done = delta in STOPS
+            text += [] if done else [delta or ""]
+        joined = "".join(text)
+        chars += len(joined)
+        if done:
+            self.waiting.clear()
+        else:
+            for seq, delta in fresh.items():
+                self.waiting.updateValue((seq,), (delta,))
+            self._remind(latest)
+        self.progress.update((next_seq, chars, done, False))
+        if joined or done:
+            yield from self._rows(key, [(next_seq - 1, joined, chars, done, False)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        next_seq, chars, done, evicted = self.progress.get()
+        self.due.clear()
+        if done or evicted:
+            return
+        text = []
+        for (seq,), (delta,) in sorted(self.waiting.iterator()):
+            next_seq = seq + 1
+            if delta in STOPS:
+                break
+            text.append(delta or "")
+        self.waiting.clear()
+        joined = "".join(text)
+        self.progress.update((next_seq, chars + len(joined), False, True))
+        yield from self._rows(key, [(next_seq - 1, joined, chars + len(joined), True, False)])
+
+    def close(self) -> None:
+        pass
 
 
 def assemble_stream(chunks: DataFrame, idle: str = IDLE, late: str = IDLE) -> DataFrame:
@@ -194,41 +246,74 @@ def assemble_stream(chunks: DataFrame, idle: str = IDLE, late: str = IDLE) -> Da
 
     Deltas may arrive out of order: early ones wait in the state by ``seq``, and only the
     contiguous text is given out; one that is sent again is dropped. A request that is idle for
-    ``idle`` of event time is evicted, and what it still holds is given out then. Deltas more than
-    ``late`` behind the newest may come after that, so choose both for the longest pause to expect.
+    ``idle`` of event time is evicted, and what it still holds is given out then. A delta that comes
+    after that is a row marked ``late``, with its own ``seq`` and text: a request never starts again.
+    The engine drops rows more than ``late`` behind the newest before they get here.
     """
     idle_ms = int(pd.Timedelta(idle) / pd.Timedelta(milliseconds=1))
-
-    def assemble(key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        return _assemble(key, batches, state, idle_ms)
-
+    # this state needs the store that has maps and timers
+    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return (
         chunks.select("request_id", "seq", "delta", "ts")
         .withWatermark("ts", late)
         .groupBy("request_id")
-        .applyInPandasWithState(assemble, ASSEMBLED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(Assembly(idle_ms), ASSEMBLED, "append", "EventTime")
     )
 
 
-def new_suffixes(texts: DataFrame) -> DataFrame:
-    """What each text adds to the last accepted one; a text that does not extend that is not accepted.
+def assemble_into(chunks: DataFrame, texts: str, late_deltas: str, checkpoint: str, **options) -> None:
+    """``assemble_stream`` into two tables: the texts, and what came after a request was evicted.
 
-    The texts of one request are versions of one generated answer, so they are folded as an array.
+    Each micro-batch has a folder of its own in both, so that a batch that runs again replaces its rows.
     """
-    seq, text = texts.schema["seq"].dataType.simpleString(), texts.schema["text"].dataType.simpleString()
-    state = f"struct<text:{text},added:array<struct<seq:{seq},text:{text},new_text:string>>>"
 
-    def fold(last: Column, x: Column) -> Column:
-        new = F.substr(x["text"], F.length(last["text"]) + 1)
-        one = F.array(F.struct(x["seq"].alias("seq"), x["text"].alias("text"), new.alias("new_text")))
-        added = F.when(F.length(new) > 0, F.concat(last["added"], one)).otherwise(last["added"])
-        grown = F.struct(x["text"].alias("text"), added.alias("added"))
-        return F.when(F.coalesce(F.startswith(x["text"], last["text"]), F.lit(False)), grown).otherwise(last)
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        stored = materialize(batch)  # a micro-batch must be worked out once
+        kept = stored.where("not late").drop("late")
+        kept.write.mode("overwrite").parquet(f"{texts}/batch={batch_id}")
+        side = stored.where("late").select("request_id", F.col("last_seq").alias("seq"), F.col("new_text").alias("delta"))
+        side.write.mode("overwrite").parquet(f"{late_deltas}/batch={batch_id}")
 
-    ordered = F.sort_array(F.collect_list(F.struct("seq", "text")))
-    start = F.struct(F.lit("").alias("text"), F.array().alias("added")).cast(state)
-    folded = texts.groupBy("request_id").agg(F.aggregate(ordered, start, fold)["added"].alias("_added"))
-    return folded.select("request_id", F.inline("_added"))
+    (
+        assemble_stream(chunks, **options)
+        .writeStream.foreachBatch(publish)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+
+
+def new_suffixes(texts: DataFrame) -> DataFrame:
+    """What each text adds to the last accepted one; a text that does not extend that is not accepted.
+
+    The texts of a request stream past in order, one at a time, and only the last accepted one is
+    held: memory doesn't grow with the number of texts of a request.
+    """
+    rows = texts.select("request_id", "seq", "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, last, started = None, "", False
+        for batch in batches:
+            # few rows at a time, as a text may be long
+            for at in range(0, len(batch), FOLDED_ROWS):
+                part = batch.slice(at, FOLDED_ROWS)
+                chosen, added = [], []
+                for i in range(len(part)):
+                    request, text = part.column(0)[i].as_py(), part.column(2)[i].as_py()
+                    if not started or request != owner:
+                        owner, last, started = request, "", True
+                    if text is not None and text.startswith(last):
+                        if len(text) > len(last):
+                            chosen.append(i)
+                            added.append(text[len(last) :])
+                        last = text
+                columns = part.take(pa.array(chosen, pa.int32())).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(added, pa.string())], names=["request_id", "seq", "text", "new_text"])
+
+    ordered = rows.repartition("request_id").sortWithinPartitions("request_id", "seq", "text")
+    return ordered.mapInArrow(fold, f"{kinds}, new_text string")
 
 
 # ---- sessions -------------------------------------------------------------------------------
@@ -250,21 +335,15 @@ def modified_sessions(current: DataFrame, saved: DataFrame, chat: str = "chat_id
     )
 
 
-def list_sessions(messages: DataFrame, chat: str = "chat_id", width: int = 1 << 20) -> DataFrame:
+def list_sessions(messages: DataFrame, chat: str = "chat_id") -> DataFrame:
     """Saved chats with their place by falling id and by falling last message time.
 
-    Ids are numbers, or texts such as titles, which are cut into buckets by their first bytes.
+    Ids are numbers, or texts such as titles. However ids and times are distributed, their sampled
+    ranges are of about equal size.
     """
     chats = messages.groupBy(chat).agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("messages"))
-    falling = F.col(chat).desc()
-    if isinstance(messages.schema[chat].dataType, StringType):
-        start = F.expr(f"conv(hex(rpad(substring(cast(`{chat}` as binary), 1, 6), 6)), 16, 10)")
-        bucket = -start.cast("long")
-    else:
-        bucket = range_bucket(-F.col(chat), width)
-    by_id = prefix_sum(chats.withColumn("_time", -F.unix_micros("last_ts")), [falling], [bucket], name="place_by_id")
-    minute = range_bucket(F.col("_time"), 60_000_000)
-    return prefix_sum(by_id, ["_time", falling], [minute], name="place_by_time").drop("_time")
+    by_id = range_rank(chats, [F.col(chat).desc()], "place_by_id")
+    return range_rank(by_id, [F.col("last_ts").desc(), F.col(chat).desc()], "place_by_time")
 
 
 # ---- training health ------------------------------------------------------------------------

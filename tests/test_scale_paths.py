@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kdframe.operators import eval_prompts, kd_hidden, mixture, tokens
+from kdframe.operators import eval_prompts, kd_hidden, mixture, ranking, tokens
 from kdframe.operators.mixture import Source
 from kdframe.operators.ranking import prefix_sum, range_bucket, shuffled_rank, take_first
 
@@ -150,3 +150,18 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         shared_dir(session)
+
+
+def test_ranges_of_a_skewed_vocabulary(spark):
+    """Nine of ten pieces occur once: the ranges of the rank are still of about equal size."""
+    rare = spark.range(90_000).select(F.concat(F.lit("th"), F.col("id").cast("string")).alias("piece"), F.lit(1).alias("n"))
+    common = spark.range(10_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("piece"), (F.col("id") + 2).cast("int").alias("n"))
+    df = rare.union(common)
+    order = [F.col("n").desc(), F.col("piece")]
+    sizes = [r["count"] for r in ranking.range_ordered(df, order).groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert max(sizes) < 2 * sum(sizes) / len(sizes) and len(sizes) == 8
+    ranked = ranking.range_rank(df, order)
+    assert "Window" not in ranked._jdf.queryExecution().toString()
+    rows = ranked.collect()
+    assert [r["rank"] for r in sorted(rows, key=lambda r: (-r["n"], r["piece"]))] == list(range(100_000))
+    assert ranking.range_rank(df.limit(0), order).count() == 0

@@ -2,6 +2,8 @@
 
 import json
 
+import os
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -222,36 +224,105 @@ def test_new_suffixes(spark):
     assert got == [(1, 0, "ab"), (1, 2, "c"), (2, 0, "ab"), (2, 2, "c"), (3, 1, "q")]
 
 
-def test_a_delta_that_is_sent_again_is_given_out_once():
-    class State:
-        exists, hasTimedOut, kept = False, False, None
+class Handle:
+    """State of one key, as the engine would hold it."""
+
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Value()
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return Kept()
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+class Value:
+    value = None
 
-        def getCurrentWatermarkMs(self):
-            return 0
+    def exists(self):
+        return self.value is not None
 
-        @property
-        def get(self):
-            return self.kept
+    def get(self):
+        return self.value
 
-        def update(self, value):
-            self.kept, self.exists = value, True
+    def update(self, value):
+        self.value = value
 
-        def setTimeoutTimestamp(self, at):
-            self.due = at
+    def clear(self):
+        self.value = None
 
-        def remove(self):
-            self.exists = False
 
+class Kept(dict):
+    containsKey, getValue, removeKey, updateValue = dict.__contains__, dict.__getitem__, dict.__delitem__, dict.__setitem__  # noqa: N815
+
+    def iterator(self):
+        return iter(self.items())
+
+
+def test_a_delta_that_is_sent_again_is_given_out_once():
     def deltas(*rows):
         return pd.DataFrame([(s, d, pd.Timestamp("2024-01-01")) for s, d in rows], columns=["seq", "delta", "ts"])
 
-    state, out = State(), []
+    request, handle, out = flows.Assembly(5000), Handle(), []
+    request.init(handle)
     for batch in ([(0, "a"), (1, "b")], [(1, "b"), (0, "a")], [(2, "c"), (4, "e")]):
-        out += [r for frame in flows._assemble((1,), iter([deltas(*batch)]), state, 5000) for r in frame["new_text"]]
-    assert state.due == pd.Timestamp("2024-01-01").timestamp() * 1000 + 5000
-    state.hasTimedOut = True
-    out += [r for frame in flows._assemble((1,), iter([]), state, 5000) for r in frame["new_text"]]
-    assert out == ["ab", "c", "e"]
+        out += [r for frame in request.handleInputRows((1,), iter([deltas(*batch)]), None) for r in frame["new_text"]]
+    assert handle.timers == {pd.Timestamp("2024-01-01").timestamp() * 1000 + 5000}
+    assert dict(request.waiting) == {(4,): ("e",)}
+    out += [r for frame in request.handleExpiredTimer((1,), None, None) for r in frame["new_text"]]
+    assert out == ["ab", "c", "e"] and not request.waiting
+    after = [r for frame in request.handleInputRows((1,), iter([deltas((0, "a"), (3, "d"), (5, "f"))]), None) for r in frame.to_dict("records")]
+    assert [(r["last_seq"], r["new_text"], r["late"]) for r in after] == [(5, "f", True)]
+
+
+def test_deltas_after_eviction_go_to_the_side_table(spark, tmp_path):
+    given = [
+        [(1, 0, "a", "00:00:00"), (1, 2, "c", "00:00:01"), (2, 0, "x", "00:00:00")],
+        [(3, 0, "z", "03:00:00")],  # moves the watermark on
+        [(3, 1, "z", "03:00:01")],  # and by then requests 1 and 2 are evicted
+        [(1, 0, "a", "03:00:02"), (1, 3, "d", "03:00:02"), (2, 1, "y", "03:00:02"), (3, 2, "<end_action>", "03:00:03"), (3, 3, "q", "03:00:03")],
+    ]
+    for i, rows in enumerate(given):
+        part = spark.createDataFrame(rows, "request_id long, seq long, delta string, ts string")
+        part = part.withColumn("ts", F.concat(F.lit("2024-01-01 "), "ts").cast("timestamp")).coalesce(1)
+        part.write.parquet(str(tmp_path / "in" / f"part={i}"))
+        os.utime(next((tmp_path / "in" / f"part={i}").glob("*.parquet")), (1_700_000_000 + i, 1_700_000_000 + i))
+    source = spark.readStream.schema("request_id long, seq long, delta string, ts timestamp").option("recursiveFileLookup", "true")
+    stream = source.option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in"))
+    texts, late, state = (str(tmp_path / x) for x in ("texts", "late", "state"))
+    flows.assemble_into(stream, texts, late, state, idle="1 minute", late="1 minute")
+    found = {}
+    for r in spark.read.parquet(texts).sort("request_id", "last_seq").collect():
+        found[r["request_id"]] = found.get(r["request_id"], "") + r["new_text"]
+    assert found == {1: "ac", 2: "x", 3: "zz"}
+    assert {(r["request_id"], r["seq"], r["delta"]) for r in spark.read.parquet(late).collect()} == {(1, 3, "d"), (2, 1, "y")}
+
+
+def test_many_growing_texts_of_one_request(spark):
+    """A third of all rows may be one request: its texts stream past, and are never gathered."""
+    n = 20_000
+    rows = spark.range(n).select(
+        F.lit(7).alias("request_id"), F.col("id").alias("seq"), F.repeat(F.lit("ab"), F.col("id").cast("int")).alias("text")
+    )
+    grown = flows.new_suffixes(rows)
+    plan = grown._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+    got = grown.agg(F.count("*"), F.sum(F.length("new_text")), F.max("seq")).first()
+    assert tuple(got) == (n - 1, 2 * (n - 1), n - 1)
+
+
+def test_suffix_folds_start_anew(spark):
+    rows = [(1, 0, "a"), (1, 1, None), (1, 2, "ab"), (1, 3, "x"), (1, 4, "abc"), (2, 0, "abcd"), (None, 0, "abcde"), (None, 1, "abcde")]
+    df = spark.createDataFrame(rows, "request_id int, seq int, text string")
+    got = {(r["request_id"], r["seq"], r["new_text"]) for r in flows.new_suffixes(df).collect()}
+    assert got == {(1, 0, "a"), (1, 2, "b"), (1, 4, "c"), (2, 0, "abcd"), (None, 0, "abcde")}
 
 
 def test_chats_with_text_ids_and_microseconds(spark, tmp_path):
