@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kdframe.functions.vectors import cosine, dot, huber_error, squared_error
-from kdframe.session import fits
+from kdframe.functions.vectors import cosine, huber_error, squared_error
+from kdframe.session import materialize
+
+# tasks receive the helpers of this module by value, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # fixed values
 WARMUP_STEPS = 1000
 LOSSES = ("mse", "cosine", "huber")
-BROADCAST_OUTPUTS = 4096
+BROADCAST_FLOATS = 1 << 23
+CELL_ROWS = 1 << 16
 
 
 def map_layer(layer: Column, student_layers: int, teacher_layers: int) -> Column:
@@ -25,33 +35,117 @@ def map_layer(layer: Column, student_layers: int, teacher_layers: int) -> Column
     return F.bround(layer * F.lit(teacher_layers - 1) / F.lit(student_layers - 1)).cast("int")
 
 
-def _packed(weights: DataFrame) -> DataFrame:
-    """One matrix per layer."""
-    rows = F.sort_array(F.collect_list(F.struct("out_idx", "w", "bias")))
-    return weights.groupBy("layer").agg(rows.alias("_matrix"))
+def matrices(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of list values that are not null, by width."""
+    size = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    for width in np.unique(size[size >= 0]).tolist():
+        places = np.flatnonzero(size == width)
+        chosen = vectors if len(places) == len(vectors) else vectors.take(pa.array(places))
+        yield places, chosen.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(places), width)
+
+
+def vectors_of(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    """List values from (places, matrix); null where there is none."""
+    found = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel())) for _, m in parts]
+    if not found:
+        return pa.nulls(n, pa.list_(pa.float64()))
+    where = np.full(n, -1)
+    where[np.concatenate([places for places, _ in parts])] = np.arange(sum(len(places) for places, _ in parts))
+    return pa.concat_arrays(found).take(pa.array(where, mask=where < 0))
 
 
-def _project_broadcast(hidden: DataFrame, weights: DataFrame, out: str) -> DataFrame:
-    joined = hidden.join(F.broadcast(_packed(weights)), "layer")
-    outputs = F.transform("_matrix", lambda r: dot(F.col("h"), r["w"]) + r["bias"])
-    return joined.withColumn(out, outputs).drop("_matrix").select(*hidden.columns)
+def _projected(h: pa.Array, weights: np.ndarray, bias: np.ndarray) -> pa.Array:
+    return vectors_of([(places, m @ weights.T + bias) for places, m in matrices(h)], len(h))
 
 
-def project(hidden: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per-layer linear projection ``w h + b`` of ``h``; layers without a projection are dropped.
+def _matrix(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    ordered = sorted(rows, key=lambda r: r[0])
+    return np.array([w for _, w, _ in ordered], dtype=np.float64), np.array([b for _, _, b in ordered], dtype=np.float64)
 
-    ``weights`` has one row per ``(layer, out_idx)``. Up to ``BROADCAST_OUTPUTS`` rows in all
-    (counted) are broadcast at once. A larger set is broadcast one layer at a time, each layer's
-    size being the model's output width; the layer list has one entry per model layer.
+
+def project(hidden: DataFrame, weights: DataFrame, on: str = "layer") -> DataFrame:
+    """Linear projection ``w h + b`` of ``h`` by the weights whose ``layer`` is in the column ``on``; rows of other
+    layers are dropped.
+
+    ``weights`` has one row per ``(layer, out_idx)``. Up to ``BROADCAST_FLOATS`` numbers in all (counted)
+    are broadcast as matrices. A larger set is dealt by layer: rows and weights of a layer meet in cells
+    of ``CELL_ROWS`` rows, weights first, so that a task holds one matrix at a time. Either way the hidden
+    states are read once, whatever the number of layers, and multiplied a batch at a time.
     """
-    if fits(weights, BROADCAST_OUTPUTS):
-        return _project_broadcast(hidden, weights, "h")
-    layers = [r["layer"] for r in weights.select("layer").distinct().orderBy("layer").collect()]
-    parts = [
-        _project_broadcast(hidden.where(F.col("layer") == layer), weights.where(F.col("layer") == layer), "h")
-        for layer in layers
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    kinds = {f.name: f.dataType.simpleString() for f in hidden.schema} | {"h": "array<double>"}
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in kinds.items())
+    if weights.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0] <= BROADCAST_FLOATS:
+        return _project_broadcast(hidden, weights, on, schema)
+    return _project_by_layer(hidden, weights, on, schema)
+
+
+def _project_broadcast(hidden: DataFrame, weights: DataFrame, on: str, schema: str) -> DataFrame:
+    rows: dict[int, list[tuple]] = {}
+    for layer, *row in weights.select("layer", "out_idx", "w", "bias").collect():
+        rows.setdefault(layer, []).append(row)
+    told = hidden.sparkSession.sparkContext.broadcast({layer: _matrix(own) for layer, own in rows.items()})
+    names = hidden.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            layers = batch.column(names.index(on)).to_pylist()
+            for layer in set(layers) & set(told.value):
+                part = batch.take(pa.array([i for i, x in enumerate(layers) if x == layer], pa.int32()))
+                columns = [_projected(part.column(i), *told.value[layer]) if name == "h" else part.column(i) for i, name in enumerate(names)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return hidden.mapInArrow(run, schema)
+
+
+def _project_by_layer(hidden: DataFrame, weights: DataFrame, on: str, schema: str) -> DataFrame:
+    rest = [name for name in hidden.columns if name != "h"]
+    rows = hidden.groupBy(F.col(on).alias("_layer")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = rows.select("_layer", F.ceil(F.col("_n") / CELL_ROWS).cast("int").alias("_cells"))
+    wanted = weights.select(F.col("layer").alias("_layer"), "out_idx", F.col("w").cast("array<double>").alias("w"), "bias")
+    # one row per model layer
+    known = materialize(cells.join(wanted.select("_layer").distinct(), "_layer"))
+    vector = F.struct(*rest)
+    left = wanted.join(F.broadcast(known), "_layer").select(
+        "_layer",
+        F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("_cell"),
+        F.col("out_idx").cast("int").alias("_nth"),
+        F.col("bias").cast("double").alias("_bias"),
+        F.col("w").alias("_v"),
+        F.lit(None).cast(hidden.select(vector.alias("x")).schema["x"].dataType).alias("_rest"),
+    )
+    right = hidden.join(F.broadcast(known), hidden[on] == F.col("_layer")).select(
+        "_layer",
+        F.pmod(F.xxhash64(*rest), F.col("_cells")).cast("int").alias("_cell"),
+        F.lit(None).cast("int").alias("_nth"),
+        F.lit(None).cast("double").alias("_bias"),
+        F.col("h").cast("array<double>").alias("_v"),
+        vector.alias("_rest"),
+    )
+    keys = ["_layer", "_cell"]
+    # nulls last: the weights of a cell come before its rows
+    met = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, F.col("_nth").asc_nulls_last())
+
+    hidden_columns = hidden.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, held, matrix = None, [], None
+        for batch in batches:
+            cell = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            weight = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            edges = [i for i in range(len(batch)) if i == 0 or cell[i] != cell[i - 1] or weight[i] != weight[i - 1]]
+            for start, end in zip(edges, [*edges[1:], len(batch)]):
+                part = batch.slice(start, end - start)
+                if cell[start] != owner:
+                    owner, held, matrix = cell[start], [], None
+                if weight[start]:
+                    held += zip(part.column(2).to_pylist(), [v.values.to_numpy() for v in part.column(4)], part.column(3).to_pylist())
+                    continue
+                if matrix is None:
+                    matrix, held = _matrix(held), []
+                columns = dict(zip(rest, part.column(5).flatten())) | {"h": _projected(part.column(4), *matrix)}
+                yield pa.RecordBatch.from_arrays([columns[name] for name in hidden_columns], names=hidden_columns)
+
+    return met.mapInArrow(run, schema)
 
 
 def checked_shapes(df: DataFrame, student: str = "s", teacher: str = "t") -> DataFrame:
@@ -139,25 +233,71 @@ def masked_layer_loss(
     return masked_layer_losses(df, [loss], by, strict).drop("loss_type")
 
 
-def mean_pool(hidden: DataFrame, by: Sequence[str] = ("seq_id", "layer"), h: str = "h", mask: str = "mask") -> DataFrame:
-    """Mask-weighted mean vector of every sequence and layer.
+def pooled(df: DataFrame, vectors: dict[str, str], by: Sequence[str]) -> DataFrame:
+    """Mask-weighted mean of vectors per group; ``vectors`` names the mask of each vector column. Rows that lack a
+    vector are left out.
 
-    Sums per dimension combine before the shuffle, so only one vector per task and group moves.
+    All of them are pooled in one pass: a batch adds up its rows to one vector per group before the
+    shuffle, and what is left of a group streams past in one task, added to one vector.
     """
-    cells = hidden.select(*by, mask, F.posexplode(h).alias("_dim", "_x"))
-    sums = cells.groupBy(*by, "_dim").agg(
-        (F.sum(F.col("_x") * F.col(mask)) / F.greatest(F.sum(mask), F.lit(1))).alias("_mean")
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("_dim", "_mean")))
-    return sums.groupBy(*by).agg(F.transform(ordered, lambda r: r["_mean"]).alias("pooled"))
+    names = list(vectors)
+    there = reduce(lambda a, b: a & b, (F.col(name).isNotNull() for name in names))
+    masks = {f"_m{i}": F.coalesce(F.col(mask).cast("double"), F.lit(0.0)) for i, mask in enumerate(vectors.values())}
+    rows = df.where(there).select(*by, *(F.col(n).cast("array<double>").alias(n) for n in names), *(m.alias(k) for k, m in masks.items()))
+    k, width, columns = len(by), len(names), rows.columns
+
+    def added(batch: pa.RecordBatch, weigh: bool) -> pa.RecordBatch:
+        """One row per group of a batch, in the order of their first rows."""
+        key = pd.DataFrame({str(i): batch.column(i).to_pandas() for i in range(k)})
+        group = key.groupby(list(key), sort=False, dropna=False).ngroup().to_numpy()
+        first = np.unique(group, return_index=True)[1]
+        out = [batch.column(i).take(pa.array(first)) for i in range(k)]
+        sums, counts = [], []
+        for at in range(width):
+            mask = batch.column(k + width + at).to_numpy(zero_copy_only=False)
+            parts = []
+            for places, m in matrices(batch.column(k + at)):
+                own = group[places]
+                order = np.argsort(own, kind="stable")
+                edge = np.flatnonzero(np.diff(own[order], prepend=-1))
+                weighed = m[order] * mask[places][order, None] if weigh else m[order]
+                parts.append((own[order][edge], np.add.reduceat(weighed, edge, axis=0)))
+            sums.append(vectors_of(parts, len(first)))
+            counts.append(pa.array(np.bincount(group, weights=mask, minlength=len(first))))
+        return pa.RecordBatch.from_arrays([*out, *sums, *counts], names=columns)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (added(batch, True) for batch in batches if len(batch))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if len(batch):
+                # the last group may go on in the next batch
+                whole = added(pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0] if last else batch, False)
+                yield whole.slice(0, len(whole) - 1)
+                last = whole.slice(len(whole) - 1)
+        if last:
+            yield last
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    sums = rows.mapInArrow(combine, schema).repartition(*by).sortWithinPartitions(*by).mapInArrow(merge, schema)
+
+    def mean(name: str, mask: str) -> Column:
+        return F.transform(name, lambda x: x / F.greatest(F.col(mask), F.lit(1.0))).alias(name)
+
+    return sums.select(*by, *map(mean, names, masks))
+
+
+def mean_pool(hidden: DataFrame, by: Sequence[str] = ("seq_id", "layer"), h: str = "h", mask: str = "mask") -> DataFrame:
+    """Mask-weighted mean vector of every sequence and layer."""
+    return pooled(hidden, {h: mask}, by).withColumnRenamed(h, "pooled")
 
 
 def pooled_layer_loss(df: DataFrame) -> DataFrame:
     """Mean of ``1 - cos`` of pooled vectors per layer, from one row per position with both sides."""
-    keys = ["seq_id", "layer"]
-    student = mean_pool(df, keys, "s", "s_mask").withColumnRenamed("pooled", "s")
-    teacher = mean_pool(df, keys, "t", "t_mask").withColumnRenamed("pooled", "t")
-    return student.join(teacher, keys).groupBy("layer").agg(F.avg(1 - cosine(F.col("s"), F.col("t"))).alias("loss"))
+    both = pooled(df, {"s": "s_mask", "t": "t_mask"}, ["seq_id", "layer"])
+    return both.groupBy("layer").agg(F.avg(1 - cosine(F.col("s"), F.col("t"))).alias("loss"))
 
 
 def last_layers(student: DataFrame, teacher: DataFrame, last_k: int) -> tuple[DataFrame, DataFrame]:

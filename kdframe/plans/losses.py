@@ -397,6 +397,7 @@ def h11(spark, root):
 
 def last_pairs(spark, root):
     student, teacher = hid.last_layers(tables.hidden_student(spark, root), tables.hidden_teacher(spark, root), 2)
+    student = hid.project(student, tables.projection(spark, root), on="projection")
     pairs = hid.pair_positions(
         student.drop("layer"), teacher.drop("layer"), ["seq_id", "pair", "pos"]
     )

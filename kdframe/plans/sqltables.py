@@ -217,7 +217,8 @@ SELECT s.seq_id, s.layer, s.pos, s.s, s.mask AS s_mask, t.h AS t, t.mask AS t_ma
 FROM projected s JOIN hidden_teacher t ON t.seq_id = s.seq_id AND t.pos = s.pos
  AND t.layer = CASE s.layer WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 5 END""",
     "last_pairs": """
-SELECT s.seq_id, s.layer - 2 AS layer, s.pos, s.h AS s, s.mask AS s_mask, t.h AS t, t.mask AS t_mask
+SELECT s.seq_id, s.layer - 2 AS layer, s.pos, list_transform(range(64), lambda o:
+         list_sum(list_transform(range(64), lambda j: s.h[j + 1] * (((s.layer - 1 + o + j) % 7 - 3) / 64.0))) + o * 0.01) AS s, s.mask AS s_mask, t.h AS t, t.mask AS t_mask
 FROM hidden_student s JOIN hidden_teacher t ON t.seq_id = s.seq_id AND t.pos = s.pos AND t.layer - 4 = s.layer - 2
 WHERE s.layer > 1 AND t.layer > 3""",
     "errors": """

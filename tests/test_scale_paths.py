@@ -102,7 +102,8 @@ def test_projection_layer_by_layer(spark, monkeypatch):
         "layer int, out_idx int, w array<double>, bias double",
     )
     small = sorted(map(tuple, kd_hidden.project(hidden, weights).collect()))
-    monkeypatch.setattr(kd_hidden, "BROADCAST_OUTPUTS", 2)
+    monkeypatch.setattr(kd_hidden, "BROADCAST_FLOATS", 2)
+    monkeypatch.setattr(kd_hidden, "CELL_ROWS", 1)
     assert sorted(map(tuple, kd_hidden.project(hidden, weights).collect())) == small
     assert len(small) == 4 and small[-1][3] == [2.5, 3.5, 4.5]
 
