@@ -151,8 +151,8 @@ def _project_by_layer(hidden: DataFrame, weights: DataFrame, on: str, schema: st
 def checked_shapes(df: DataFrame, student: str = "s", teacher: str = "t") -> DataFrame:
     """Fail on a student and teacher vector of different width."""
     text = F.concat(
-        F.lit("Shape mismatch: student "), F.size(student).cast("string"),
-        F.lit(" vs teacher "), F.size(teacher).cast("string"),
+        F.lit("vectors of different width: student "), F.size(student).cast("string"),
+        F.lit(", teacher "), F.size(teacher).cast("string"),
     )
     return df.withColumn(
         student, F.when(F.size(student) == F.size(teacher), F.col(student)).otherwise(F.raise_error(text))
@@ -165,7 +165,7 @@ def shape_rejects(df: DataFrame, student: str = "s", teacher: str = "t") -> Data
 
 def _check(loss: str) -> None:
     if loss not in LOSSES:
-        raise ValueError(f"Unknown loss_type: {loss}")
+        raise ValueError(f"no loss is called {loss!r}: use one of {LOSSES}")
 
 
 def _plain(loss: str) -> Column:

@@ -19,10 +19,12 @@ from kdframe.functions.vectors import (
     pad_zeros,
     vsum,
 )
+from kdframe.session import broadcast_if_fits, materialize
 
 # fixed values
 IGNORE = -100
 KD_COEFFICIENT = 0.001
+BROADCAST_LABELS = 1_000_000
 
 
 def align_vocabularies(df: DataFrame, student: str = "student", teacher: str = "teacher") -> DataFrame:
@@ -37,8 +39,12 @@ def align_vocabularies(df: DataFrame, student: str = "student", teacher: str = "
 
 
 def sequence_kl(df: DataFrame, temperature: float, by: Sequence[str] = ()) -> DataFrame:
-    """Divergence from the student to the teacher summed over all positions of a sequence."""
-    kl = kl_divergence(F.col("teacher"), F.col("student"), temperature)
+    """Divergence from the student to the teacher summed over all positions of a sequence.
+
+    Rows of ``token_scalars`` have it at temperature 1.
+    """
+    known = temperature == 1.0 and "kl" in df.columns
+    kl = F.col("kl") if known else kl_divergence(F.col("teacher"), F.col("student"), temperature)
     return df.groupBy(*by, "seq_id").agg(F.sum(kl).alias("kl"))
 
 
@@ -65,12 +71,54 @@ def selective_log_softmax(logits: Column, index: Column) -> Column:
 def shifted_cross_entropy(
     df: DataFrame, logits: str, label: str, by: Sequence[str] = (), seq: str = "seq_id"
 ) -> DataFrame:
-    """Mean next-token loss over the positions whose next label is not ignored."""
+    """Mean next-token loss over the positions whose next label is not ignored.
+
+    The next label is found on ids and labels alone. Up to ``BROADCAST_LABELS`` supervised positions
+    (counted) are brought to the logits, which then stay where they are; beyond that, only the rows
+    of supervised positions are shuffled.
+    """
     follows = F.lead(label).over(Window.partitionBy(seq).orderBy("pos"))
-    shifted = df.withColumn("_next", follows).where(F.col("_next").isNotNull() & (F.col("_next") != IGNORE))
+    wanted = df.select(seq, "pos", follows.alias("_next")).where(F.col("_next").isNotNull() & (F.col("_next") != IGNORE))
+    shifted = df.join(broadcast_if_fits(materialize(wanted), BROADCAST_LABELS), [seq, "pos"])
     return shifted.groupBy(*by).agg(F.avg(-selective_log_softmax(F.col(logits), F.col("_next"))).alias("ce"))
 
 
+def token_scalars(
+    df: DataFrame, student: str = "student", teacher: str = "teacher", label: str = "label", mask: str = "loss_mask"
+) -> DataFrame:
+    """All that the losses of a token need, without its logits; from aligned vocabularies.
+
+    ``label_or_zero``: the label, read as entry 0 where masked. ``logp`` and ``ref_logp``: its
+    log-probability under the student and the teacher, 0 where masked. ``adjustment``: the logarithm
+    of the student's summed squared probabilities. ``kl``: the divergence from the student to the
+    teacher. ``logit_sum`` and ``width``: of the student's logits. One pass over the vocabulary-wide
+    arrays; every loss is an aggregate of these numbers.
+    """
+    kept = [c for c in df.columns if c not in (student, teacher)]
+    wanted = F.when(F.col(mask) == 1, F.col(label)).otherwise(F.lit(0))
+    lse = df.withColumns(
+        {"label_or_zero": wanted, "_s": logsumexp(F.col(student)), "_t": logsumexp(F.col(teacher))}
+    )
+
+    def scored(logits: str, total: str) -> Column:
+        entry = F.element_at(logits, (F.col("label_or_zero") + 1).cast("int"))
+        return F.when(F.col(mask) == 1, entry - F.col(total)).otherwise(F.lit(0.0))
+
+    def term(t: Column, s: Column) -> Column:
+        return F.exp(t - F.col("_t")) * ((t - F.col("_t")) - (s - F.col("_s")))
+
+    return lse.select(
+        *kept,
+        "label_or_zero",
+        scored(student, "_s").alias("logp"),
+        scored(teacher, "_t").alias("ref_logp"),
+        (logsumexp(F.transform(student, lambda x: 2.0 * x)) - 2.0 * F.col("_s")).alias("adjustment"),
+        vsum(F.zip_with(teacher, student, term)).alias("kl"),
+        vsum(F.col(student)).alias("logit_sum"),
+        F.size(student).alias("width"),
+    )
+
+
 def token_logps(df: DataFrame, logits: str, label: str = "label", mask: str = "loss_mask") -> DataFrame:
     """``logp`` of the aligned label, 0 where masked. A masked label is read as entry 0."""
     wanted = F.when(F.col(mask) == 1, F.col(label)).otherwise(F.lit(0))
@@ -87,14 +135,16 @@ def sequence_logps(tokens: DataFrame, by: Sequence[str], per_token: bool = False
 
 
 def policy_weights(
-    tokens: DataFrame, logits: str, pair: str = "pair_id", strict: bool = True, mask: str = "loss_mask"
+    tokens: DataFrame, logits: str | None = None, pair: str = "pair_id", strict: bool = True, mask: str = "loss_mask"
 ) -> DataFrame:
     """``min(1, exp(wc + wr))`` per pair, ``w`` the masked mean of ``logp - logsumexp(2 log p)``.
 
+    Without ``logits``, ``tokens`` are those of ``token_scalars``.
+
     ``strict`` keeps the original alignment: log-probabilities rolled by one position (cyclically)
     against adjustments and mask that are not. Otherwise all three are taken at the same position.
     """
-    adjustment = let(
+    adjustment = F.col("adjustment") if logits is None else let(
         log_softmax(F.col(logits)), lambda lp: logsumexp(F.transform(lp, lambda x: 2.0 * x))
     )
     # vocabulary-wide work is done before the window, so that only scalars are shuffled
@@ -112,10 +162,14 @@ def policy_weights(
     )
 
 
-def chosen_nll(tokens: DataFrame, logits: str, by: Sequence[str] = ()) -> DataFrame:
-    """Cross-entropy on the chosen side, skipping every label 0 (a real token 0 included)."""
+def chosen_nll(tokens: DataFrame, logits: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Cross-entropy on the chosen side, skipping every label 0 (a real token 0 included).
+
+    Without ``logits``, ``tokens`` are those of ``token_scalars``.
+    """
     wanted = tokens.where((F.col("side") == "chosen") & (F.col("label_or_zero") != 0))
-    loss = -selective_log_softmax(F.col(logits), F.col("label_or_zero"))
+    # a label that is not 0 is not masked
+    loss = -F.col("logp") if logits is None else -selective_log_softmax(F.col(logits), F.col("label_or_zero"))
     return wanted.groupBy(*by).agg(F.avg(loss).alias("nll"))
 
 
@@ -178,10 +232,25 @@ def response_mse(df: DataFrame, student: str, teacher: str, by: Sequence[str] =
     return df.groupBy(*by).agg(F.avg(F.pow(F.col(student) - F.col(teacher), 2)).alias("mse"))
 
 
-def mean_logits(tokens: DataFrame, logits: str, by: Sequence[str], mask: str = "loss_mask") -> DataFrame:
-    """Mean logit over masked-in tokens and the whole vocabulary."""
+def mean_logits(tokens: DataFrame, logits: str | None, by: Sequence[str], mask: str = "loss_mask") -> DataFrame:
+    """Mean logit over masked-in tokens and the whole vocabulary.
+
+    Without ``logits``, ``tokens`` are those of ``token_scalars``.
+    """
     kept = tokens.where(F.col(mask) == 1)
-    return kept.groupBy(*by).agg((F.sum(vsum(F.col(logits))) / F.sum(F.size(logits))).alias("mean_logit"))
+    total, width = (F.col("logit_sum"), F.col("width")) if logits is None else (vsum(F.col(logits)), F.size(logits))
+    return kept.groupBy(*by).agg((F.sum(total) / F.sum(width)).alias("mean_logit"))
+
+
+def scored_pairs(tokens: DataFrame, seq: Sequence[str], pair: Sequence[str]) -> DataFrame:
+    """Log-probabilities of both sides of each pair, of the student and (``ref_``) of the teacher, from ``token_scalars``."""
+    whole = tokens.groupBy(*seq).agg(F.sum("logp").alias("logp"), F.sum("ref_logp").alias("ref_logp"))
+    sides = [
+        F.max(F.when(F.col("side") == side, F.col(f"{prefix}logp"))).alias(f"{prefix}{side}")
+        for prefix in ("", "ref_")
+        for side in ("chosen", "rejected")
+    ]
+    return whole.groupBy(*pair).agg(*sides)
 
 
 # fixed values: names of the logged metrics and the columns they average

@@ -11,6 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kdframe.session import broadcast_if_fits, materialize
+
+MASK_BITS = 32
+BROADCAST_BATCHES = 1_000_000
+
 
 def join_prompt_completion(df: DataFrame) -> DataFrame:
     """``input_ids``, ``attention_mask`` and ``loss_mask`` of prompt followed by completion."""
@@ -38,25 +43,47 @@ def _rotate(a: Column, first: Column) -> Column:
     return F.concat(F.slice(a, first, F.size(a)), F.slice(a, F.lit(1), first - 1))
 
 
+def packed_mask(mask: Column) -> Column:
+    """A mask as an array of longs with 32 positions each."""
+    words = F.sequence(F.lit(0), F.greatest(F.floor((F.size(mask) - 1) / MASK_BITS), F.lit(0)).cast("int"))
+
+    def word(i: Column) -> Column:
+        part = F.slice(mask, i * MASK_BITS + 1, F.lit(MASK_BITS))
+        bits = F.transform(part, lambda m, k: F.when(m == 1, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), k).cast("long"))
+        return F.aggregate(bits, F.expr("0L"), lambda a, b: a + b)
+
+    return F.transform(words, word)
+
+
+def used_columns(rotated: DataFrame, mask: str, batch: str) -> DataFrame:
+    """Per batch, the columns before the first that is zero in all rows (``_width``).
+
+    Masks travel bit-packed, 32 positions a row, and are OR-ed before the shuffle.
+    """
+    words = rotated.select(batch, F.size(mask).alias("_size"), F.posexplode(packed_mask(F.col(mask))).alias("_word", "_bits"))
+    merged = words.groupBy(batch, "_word").agg(F.bit_or("_bits").alias("_bits"), F.max("_size").alias("_size"))
+    # the lowest zero bit of a word that isn't full
+    zero = F.bitwise_not("_bits").bitwiseAND(F.col("_bits") + 1)
+    open_word = F.col("_bits") != (1 << MASK_BITS) - 1
+    place = F.when(open_word, F.col("_word") * MASK_BITS + F.round(F.log2(zero.cast("double"))).cast("int"))
+    return merged.groupBy(batch).agg(F.least(F.min(place), F.max("_size")).cast("int").alias("_width"))
+
+
 def flush_left(df: DataFrame, mask: str, others: Sequence[str], batch: str = "batch_id") -> DataFrame:
     """Rotate every row so that its first 1 is leftmost, then cut at the batch's first empty column.
 
-    A row without any 1 is an error. A batch is gathered into one row to look down its columns; it
-    has at most the configured batch size of rows.
+    A row without any 1 is an error. Only packed masks and widths are brought together by batch: the
+    arrays stay in their rows. ``df`` is read twice, so give it as a table where it is dear.
     """
     first = F.array_position(mask, 1).cast("int")
-    checked = F.when(first == 0, F.raise_error(F.lit("flush_left: a row has an all-zero mask"))).otherwise(first)
+    checked = F.when(first == 0, F.raise_error(F.lit("flush_left: every row needs a 1 in its mask"))).otherwise(first)
     arrays = [*others, mask]
     rest = [c for c in df.columns if c not in (batch, *arrays)]
     rotated = df.withColumn("_first", checked).select(
         batch, *rest, *[_rotate(F.col(name), F.col("_first")).alias(name) for name in arrays]
     )
-    rows = rotated.groupBy(batch).agg(F.collect_list(F.struct(*rest, *arrays)).alias("_rows"))
-    blank = F.array_repeat(F.lit(0), F.size(F.col("_rows")[0][mask]))
-    used = F.aggregate("_rows", blank, lambda seen, row: F.zip_with(seen, row[mask], lambda a, b: F.greatest(a, b.cast("int"))))
-    whole = rows.withColumn("_used", used).withColumn("_empty", F.array_position("_used", 0).cast("int"))
-    width = F.when(F.col("_empty") > 0, F.col("_empty") - 1).otherwise(F.size("_used"))
-    flat = whole.withColumn("_width", width).select(batch, "_width", F.inline("_rows"))
+    widths = materialize(used_columns(rotated, mask, batch))
+    flat = rotated.join(broadcast_if_fits(widths, BROADCAST_BATCHES), batch)
     return flat.select(
         batch, *rest, *[F.slice(F.col(name), F.lit(1), F.col("_width")).alias(name) for name in arrays]
     )
@@ -65,7 +92,7 @@ def flush_left(df: DataFrame, mask: str, others: Sequence[str], batch: str = "ba
 def truncate_batch(df: DataFrame, columns: Sequence[str], max_length: int, mode: str = "keep_end") -> DataFrame:
     """Cut the padded matrix to its last or first ``max_length`` columns."""
     if mode not in ("keep_end", "keep_start"):
-        raise ValueError(f"Unknown truncation mode: {mode!r}. Should be one of ['keep_end', 'keep_start'].")
+        raise ValueError(f"truncation mode {mode!r} is neither 'keep_end' nor 'keep_start'")
     for name in columns:
         a = F.col(name)
         if mode == "keep_end":

@@ -9,6 +9,7 @@ from kdframe.operators import kd_hidden as hid
 from kdframe.operators import kd_logits as kd
 from kdframe.plans import tables
 from kdframe.plans.catalog import query, r6
+from kdframe.session import materialize
 
 
 def aligned(spark, root):
@@ -120,6 +121,11 @@ def scored(spark, root, logits="student"):
     return kd.token_logps(aligned(spark, root), logits)
 
 
+def scalars(spark, root):
+    """One narrow row per token, from one scan of the logits; several losses are read from it."""
+    return materialize(kd.token_scalars(aligned(spark, root)))
+
+
 SEQ = ["seq_id", "pair_id", "side", "batch_id", "split"]
 
 
@@ -195,12 +201,12 @@ def l13(spark, root):
         JOIN weights USING (pair_id) LEFT JOIN batch_nll USING (batch_id) JOIN batch_kd USING (batch_id)""",
 )
 def l14(spark, root):
-    tokens = scored(spark, root)
+    tokens = scalars(spark, root)
     rows = (
-        rewarded(spark, root)
-        .join(kd.policy_weights(tokens, "student"), "pair_id")
-        .join(kd.chosen_nll(tokens, "student", ["batch_id"]), "batch_id", "left")
-        .join(kd.batchmean_kl(aligned(spark, root), 1.0, ["batch_id"]), "batch_id")
+        kd.preference_loss(kd.scored_pairs(tokens, SEQ, PAIR))
+        .join(kd.policy_weights(tokens), "pair_id")
+        .join(kd.chosen_nll(tokens, by=["batch_id"]), "batch_id", "left")
+        .join(kd.batchmean_kl(tokens, 1.0, ["batch_id"]), "batch_id")
     )
     loss = kd.combined_loss(
         F.col("loss"),
@@ -237,11 +243,12 @@ def l15(spark, root):
           "rewards/margins", "logps/chosen", "logps/rejected", "logits/kd", "logits/chosen", "logits/rejected", nll_loss))""",
 )
 def l16(spark, root):
-    means = kd.mean_logits(aligned(spark, root), "student", ["batch_id", "side"])
+    tokens = scalars(spark, root)
+    means = kd.mean_logits(tokens, None, ["batch_id", "side"])
     rows = (
-        rewarded(spark, root)
-        .join(kd.batchmean_kl(aligned(spark, root), 1.0, ["batch_id"]), "batch_id")
-        .join(kd.chosen_nll(scored(spark, root), "student", ["batch_id"]), "batch_id", "left")
+        kd.preference_loss(kd.scored_pairs(tokens, SEQ, PAIR))
+        .join(kd.batchmean_kl(tokens, 1.0, ["batch_id"]), "batch_id")
+        .join(kd.chosen_nll(tokens, by=["batch_id"]), "batch_id", "left")
         .join(kd.pivot_sides(means, ["batch_id"], "mean_logit", "logit_"), "batch_id")
     )
     return kd.batch_metrics(rows).select("batch_id", "split", "metric", r6("value").alias("value"))

@@ -304,7 +304,7 @@ def joined(spark, root):
 
 
 def flushed(spark, root):
-    return pref.flush_left(joined(spark, root), "attention_mask", ["input_ids", "loss_mask"])
+    return pref.flush_left(materialize(joined(spark, root)), "attention_mask", ["input_ids", "loss_mask"])
 
 
 def total(name):
@@ -402,7 +402,7 @@ def p5(spark, root):
        FROM pref_cells GROUP BY batch_id, row_no""",
 )
 def p5_back(spark, root):
-    rows = flushed(spark, root)
+    rows = materialize(flushed(spark, root))  # read by both ways
     flat = pref.flatten_batch(rows, "row_no").withColumn("value", F.col("input_ids") * 2)
     grid = pref.unflatten_batch(rows, flat, "value", "row_no")
     return tok.collect_ids(grid, ["batch_id", "row_no"], "value", "vals").select("batch_id", "row_no", listing("vals"))
