@@ -64,6 +64,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(table: DataFrame) -> None:
+    """Remove the files of a table of ``materialize`` that nothing will read again."""
+    spark = table.sparkSession
+    own = f"{shared_dir(spark).rstrip('/')}/kdframe/{spark.sparkContext.applicationId}/".removeprefix("file:").lstrip("/")
+    for file in table.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if own in folder.toString():
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows, reading no more than that many."""
     return df.limit(max_rows + 1).count() <= max_rows
