@@ -23,19 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges (start, length) of rows that have about ``SLICE_BYTES`` of text each, or are one row."""
+def cuts(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges (start, length) of rows that have about ``size`` bytes of text each, or are one row."""
     if len(texts):
         sizes = pc.fill_null(pc.binary_length(texts), 0)
-        part = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+        part = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64) // size
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
         for start, end in zip(edges, edges[1:]):
             yield start, end - start
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """An Arrow batch in parts of a bounded amount of text."""
-    for start, length in cuts(batch.column(batch.schema.get_field_index(text))):
+    for start, length in cuts(batch.column(batch.schema.get_field_index(text)), size):
         yield batch.slice(start, length)
 
 

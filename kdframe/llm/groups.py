@@ -75,21 +75,23 @@ def grouped(
     linked: Callable[[DataFrame], DataFrame],
     prepare: Callable[[pa.ChunkedArray], tuple[Callable[[int], np.ndarray], Callable[[int, int], bool] | None]],
     block_members: int = BLOCK_MEMBERS,
+    tested: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The smallest node (``root``) of the group of each ``node`` that is linked with another.
 
     ``members``: rows of ``shared_buckets``. ``payload``: (node, value) of all of them. ``linked`` keeps those
     of pairs (a, b, value_a, value_b) that pass the test. ``prepare`` is the same test for a block: it gets the
     values and returns a function that says, for one of them, with which it may pass, and one that tests such
-    a pair (None if there is nothing left to test).
+    a pair (None if there is nothing left to test). ``tested`` keeps those of pairs (a, b) that pass, in a way of
+    its own.
     """
 
-    def tested(pairs: DataFrame) -> DataFrame:
+    def fetched(pairs: DataFrame) -> DataFrame:
         a = payload.select(F.col("node").alias("a"), F.col("value").alias("value_a"))
         b = payload.select(F.col("node").alias("b"), F.col("value").alias("value_b"))
         return linked(pairs.join(b, "b").join(a, "a")).select("a", "b")
 
-    star = tested(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    star = (tested or fetched)(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     roots = materialize(components(star))
     # a group is named by its root; a node without link is a group of its own
     named = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kdframe.llm.common import column, mix64, slices
+from kdframe.llm.common import column, mix64, slices, unused
 from kdframe.llm.groups import common_members, grouped, shared_buckets
 from kdframe.session import broadcast_if_fits, materialize
 
@@ -188,5 +188,6 @@ def is_kept() -> Column:
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents of a group but the one with the smallest id; rows without id stay."""
     gone = near_duplicates(docs, id_col=id_col, **options).where(~is_kept())
-    known = broadcast_if_fits(materialize(gone.select(F.col("doc_id").alias("_gone")).distinct()), BROADCAST_IDS)
-    return docs.join(known, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = unused("_gone", docs)
+    known = broadcast_if_fits(materialize(gone.select(F.col("doc_id").alias(name)).distinct()), BROADCAST_IDS)
+    return docs.join(known, F.col(id_col) == F.col(name), "left_anti")

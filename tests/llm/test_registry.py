@@ -65,7 +65,7 @@ def test_pipeline(spark):
             out.append([(r["doc_id"], r["text"]) for r in rows])
     language, lines, near, clean = out
     assert {d for d, _ in given} - {d for d, _ in language} == {3, 4}
-    assert sorted(lines) == [(d, t) for d, t, _ in test_line_dedup.brute(language) if t]
+    assert sorted(lines) == [(d, t) for d, t, _ in test_line_dedup.brute(language, blocks=False) if t]
     assert sorted(d for d, _ in near) == [d for d, _, c in test_near_duplicates.brute(lines, 5) if d == c]
     judged = {r[0]: r[5] for r in test_decontaminate.brute(near, items)}
     assert sorted(d for d, _ in clean) == sorted(d for d in judged if not judged[d])
