@@ -75,6 +75,7 @@ def grouped(
     linked: Callable[[DataFrame], DataFrame],
     prepare: Callable[[pa.ChunkedArray], tuple[Callable[[int], np.ndarray], Callable[[int, int], bool] | None]],
     block_members: int = BLOCK_MEMBERS,
+    *,
     tested: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The smallest node (``root``) of the group of each ``node`` that is linked with another.
