@@ -41,24 +41,32 @@ def latest_state(updates: DataFrame, by: Sequence[str] = ("task_id",), time: str
     return updates.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_s")).select(*by, "_s.*")
 
 
-def task_table(suite: DataFrame, updates: DataFrame, time: str = "ts") -> DataFrame:
+def task_table(suite: DataFrame, updates: DataFrame, time: str = "ts", reports: DataFrame | None = None) -> DataFrame:
     """Current row of every suite task: status, score, runtime so far and report file.
 
-    Updates are reduced to one row per task before they meet the 16-row suite.
+    Updates are reduced to one row per task before they meet the 16-row suite. With ``reports`` (rows of
+    ``read_reports``, named like the suite's tasks), the score is the report's, and the report exists if
+    its file is readable JSON; without them, both follow the last update.
     """
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     spans = updates.groupBy("task_id").agg(
         ((micros(F.max(time)) - micros(F.min(time))) / 1e6).alias("_span"), F.max_by("score", time).alias("score"),
         F.max_by("status", time).alias("_status"),
     )
-    return suite.join(spans, "task_id", "left").select(
+    current = suite.join(spans, "task_id", "left").withColumn("_exists", F.col("score").isNotNull())
+    if reports is not None:
+        read = reports.select(F.col("task").alias("name"), F.col("score").alias("_score"), F.col("exists").alias("_read"))
+        current = current.join(read, "name", "left").withColumns(
+            {"score": F.col("_score"), "_exists": F.coalesce("_read", F.lit(False))}
+        )
+    return current.select(
         "task_id",
         "name",
         "shots",
         F.coalesce("_status", "status").alias("status"),
         "score",
         humantime(F.col("_span")).alias("runtime"),
-        F.struct(F.concat("name", F.lit(".json")).alias("path"), F.col("score").isNotNull().alias("exists")).alias("report"),
+        F.struct(F.concat("name", F.lit(".json")).alias("path"), F.col("_exists").alias("exists")).alias("report"),
     )
 
 
@@ -99,14 +107,16 @@ def generation_stats(runs: DataFrame, by: Sequence[str] = ("model",), failed: st
     return stats.where("_bad = 0").drop("_bad")
 
 
-def compare_models(stats: DataFrame, first: str | None = None, second: str | None = None) -> DataFrame:
-    """Two models side by side, by default the first and the last; the same model twice gives no row.
+def compare_models(
+    stats: DataFrame, first: str | None = None, second: str | None = None, order: str = "model"
+) -> DataFrame:
+    """Two models side by side, by default the first and the last by ``order``; the same model twice gives no row.
 
     ``stats`` has one row per model, so the window over all of it is small.
     """
     models = Window.partitionBy()
-    picked = stats.withColumn("_first", F.lit(first) if first else F.min("model").over(models)).withColumn(
-        "_second", F.lit(second) if second else F.max("model").over(models)
+    picked = stats.withColumn("_first", F.lit(first) if first else F.min_by("model", order).over(models)).withColumn(
+        "_second", F.lit(second) if second else F.max_by("model", order).over(models)
     )
     sides = [
         F.max(F.when(F.col("model") == F.col(chosen), F.col(c))).alias(f"{c}_{suffix}")

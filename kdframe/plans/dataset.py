@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from kdframe.operators import adapters, mixture
 from kdframe.operators.eval_prompts import parse_suite, task_registry
-from kdframe.operators.eval_reports import latest_state
+from kdframe.operators.eval_reports import latest_state, suite_table
 from kdframe.operators.eval_scoring import first_result
 from kdframe.operators.mixture import Source
 from kdframe.operators.ranking import shuffled_rank
 from kdframe.plans import tables
 from kdframe.plans.catalog import digest, query, r6, spoken
 from kdframe.session import fresh_path, materialize
+from kdframe.sources import benchmarks
 from kdframe.sources import tables as sources
 
 # ---- sources and sinks ----------------------------------------------------------------------
@@ -111,6 +112,50 @@ def s8(spark, root):
     return sources.read_runs(spark, path, RUN_SCHEMA)
 
 
+@query(
+    "s6_report_files",
+    """SELECT task_id, CASE WHEN last % 8 < 4 THEN round((quality || '.' || last % 10)::DOUBLE, 6) END AS score,
+              (last % 8 NOT IN (4, 7))::INT AS "exists"
+       FROM task_reports""",
+)
+def s6_files(spark, root):
+    path = fresh_path(spark, "reports")
+    sources.write_reports(tables.task_reports(spark, root), path)
+    suite = suite_table(spark).select("task_id", F.col("name").alias("task"))
+    return sources.read_reports(spark, path, suite).select("task_id", r6("score").alias("score"), F.col("exists").cast("int").alias("exists"))
+
+
+@query(
+    "s7_benchmark_documents",
+    """SELECT position, prompt_idx // 1000 AS part, model AS model_name, model_path, total_params, round(model_size_gb, 6) AS model_size_gb,
+              round(s.avg_generation_time, 6) AS avg_generation_time, round(s.avg_tokens_generated, 6) AS avg_tokens_generated,
+              round(s.avg_tokens_per_second, 6) AS avg_tokens_per_second, count(*)::INT AS n_responses,
+              md5(string_agg(response, '|' ORDER BY prompt_idx)) AS digest
+       FROM runs JOIN stats s USING (model) JOIN models USING (model) WHERE model <> 'error' GROUP BY ALL""",
+)
+def s7_documents(spark, root):
+    runs = tables.runs(spark, root).withColumn("failed", F.col("model") == "error")
+    documents = benchmarks.benchmark_documents(runs, tables.benchmark_models(spark, root), failed="failed")
+    answers = F.array_join(F.transform("responses", lambda r: r["response"]), "|")
+    numbers = ("model_size_gb", "avg_generation_time", "avg_tokens_generated", "avg_tokens_per_second")
+    return documents.select(
+        "position", "part", "model_name", "model_path", "total_params", *(r6(c).alias(c) for c in numbers),
+        F.size("responses").alias("n_responses"), digest(answers).alias("digest"),
+    )
+
+
+@query(
+    "s8_benchmark_responses",
+    """SELECT position, model AS model_name, prompt_idx, prompt, response, tokens_generated, round(tokens_per_second, 6) AS tokens_per_second
+       FROM speeds JOIN models USING (model)""",
+)
+def s8_responses(spark, root):
+    rows = benchmarks.benchmark_responses(tables.benchmark_file(spark, root))
+    return rows.select(
+        "position", "model_name", "prompt_idx", "prompt", "response", "tokens_generated", r6("tokens_per_second").alias("tokens_per_second")
+    )
+
+
 @query(
     "s9_snapshot",
     "SELECT task_id, status, round(score, 6) + 0.0 AS score, epoch_us(ts) AS ts_us FROM latest",

@@ -11,6 +11,9 @@ from kdframe.operators.ranking import prefix_sum, range_bucket
 from kdframe.operators.tokens import pieces
 from kdframe.plans import tables
 from kdframe.plans.catalog import digest, query, r6, spoken
+from kdframe.session import fresh_path
+from kdframe.sources.benchmarks import compare_benchmark_models
+from kdframe.sources.tables import read_reports, write_reports
 
 
 def R(x):  # noqa: N802  (short name for SQL texts)
@@ -476,6 +479,22 @@ def e19_table(spark, root):
     return table.select("task_id", "name", "status", r6("score").alias("score"), "runtime", F.col("report.path").alias("report"))
 
 
+@query(
+    "e19_report_table",
+    f"""SELECT task_id, ([{_NAMES}])[task_id + 1] AS name, coalesce(l.status, 'pending') AS status,
+               CASE WHEN last % 8 < 4 THEN round((quality || '.' || last % 10)::DOUBLE, 6) END AS score,
+               coalesce(last % 8 NOT IN (4, 7), false)::INT AS "exists"
+        FROM (SELECT unnest(range(16)) AS task_id) LEFT JOIN latest l USING (task_id) LEFT JOIN task_reports USING (task_id)""",
+)
+def e19_reports(spark, root):
+    path = fresh_path(spark, "reports")
+    write_reports(tables.task_reports(spark, root), path)
+    suite, updates = eval_reports.suite_table(spark), tables.status_of(tables.base(spark, root, "events"))
+    read = read_reports(spark, path, suite.select(F.col("name").alias("task")))
+    table = eval_reports.task_table(suite, updates, reports=read)
+    return table.select("task_id", "name", "status", r6("score").alias("score"), F.col("report.exists").cast("int").alias("exists"))
+
+
 def _stats(df):
     return [r6(c).alias(c) for c in ("avg_generation_time", "avg_tokens_generated", "avg_tokens_per_second")]
 
@@ -518,6 +537,23 @@ def e21(spark, root):
     )
 
 
+@query(
+    "e21_first_and_last",
+    f"""SELECT a.position AS position_a, b.position AS position_b, a.model AS model_name_a, b.model AS model_name_b,
+               a.total_params AS total_params_a, b.total_params AS total_params_b, {R("a.model_size_gb")} AS model_size_gb_a,
+               {R("b.model_size_gb")} AS model_size_gb_b, {R("a.avg_generation_time")} AS avg_generation_time_a,
+               {R("b.avg_generation_time")} AS avg_generation_time_b,
+               {R("(b.avg_tokens_per_second / a.avg_tokens_per_second - 1) * 100")} AS speed_change_pct
+        FROM (SELECT * FROM models JOIN stats USING (model)) a CROSS JOIN (SELECT * FROM models JOIN stats USING (model)) b
+        WHERE a.position = 0 AND b.position = (SELECT max(position) FROM models)""",
+)
+def e21_documents(spark, root):
+    compared = compare_benchmark_models(tables.benchmark_file(spark, root))
+    numbers = [f"{c}_{side}" for c in ("model_size_gb", "avg_generation_time") for side in "ab"]
+    names = [f"{c}_{side}" for c in ("position", "model_name", "total_params") for side in "ab"]
+    return compared.select(*names, *(r6(c).alias(c) for c in [*numbers, "speed_change_pct"]))
+
+
 @query(
     "e22_aligned_responses",
     f"""SELECT a.prompt_idx, a.response AS response_a, b.response AS response_b, {R("a.tokens_per_second")} AS speed_a,

@@ -260,6 +260,13 @@ SELECT *, CASE WHEN generation_time > 0 THEN tokens_generated / generation_time
 SELECT model, count(*) AS responses, avg(generation_time) AS avg_generation_time, avg(tokens_generated) AS avg_tokens_generated,
        CASE WHEN sum(generation_time) > 0 THEN sum(tokens_generated) / sum(generation_time) ELSE 0 END AS avg_tokens_per_second
 FROM runs GROUP BY model""",
+    "models": """
+SELECT event_type AS model, row_number() OVER (ORDER BY min(struct_pack(ts := ts, id := event_id))) - 1 AS position,
+       'models/' || event_type AS model_path, (sum(user_id) * 1000)::BIGINT AS total_params,
+       sum(user_id) * 2000 / 1073741824::DOUBLE AS model_size_gb
+FROM events GROUP BY event_type""",
+    "task_reports": """
+SELECT doc_id % 16 AS task_id, max_by(doc_id, doc_id) AS last, max_by(quality, doc_id) AS quality FROM labels GROUP BY doc_id % 16""",
     "status": """
 SELECT user_id % 16 AS task_id, ts, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' ELSE 'running' END AS status,
        value AS score

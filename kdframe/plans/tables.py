@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kdframe.functions.vectors import doubles
 from kdframe.operators.conversation import render_turns
 from kdframe.operators.eval_prompts import registry_rows
+from kdframe.operators.eval_reports import SUITE
 from kdframe.operators.ranking import prefix_sum
-from kdframe.session import spread
+from kdframe.session import fresh_path, spread
+from kdframe.sources import benchmarks
 
 
 def base(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -233,6 +235,29 @@ def runs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def benchmark_models(spark: SparkSession, root: str) -> DataFrame:
+    """What is known of each model of ``runs``; models stand in the order of their first events."""
+    counted = base(spark, root, "events").groupBy(F.col("event_type").alias("model")).agg(
+        F.min(F.struct("ts", "event_id")).alias("began"), F.sum(F.col("user_id") * 1000).alias("total_params")
+    )
+    # one row per model, so the window is small
+    position = F.row_number().over(Window.orderBy("began")) - 1
+    return counted.select(
+        "model",
+        position.cast("long").alias("position"),
+        F.concat(F.lit("models/"), "model").alias("model_path"),
+        "total_params",
+        (F.col("total_params") * 2 / 1024**3).alias("model_size_gb"),
+    )
+
+
+def benchmark_file(spark: SparkSession, root: str) -> DataFrame:
+    """The documents of all models, written and read back."""
+    path = fresh_path(spark, "benchmark")
+    benchmarks.write_benchmark(benchmarks.benchmark_documents(runs(spark, root), benchmark_models(spark, root)), path)
+    return benchmarks.read_benchmark(spark, path)
+
+
 def status_of(events: DataFrame) -> DataFrame:
     """Task state changes, from a batch or a stream of events."""
     state = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done")
@@ -381,3 +406,10 @@ def reports(spark: SparkSession, root: str) -> DataFrame:
         .when(kind == 6, F.lit('{"other": 1}'))
     )
     return labels.select("doc_id", "toxic", text.alias("report"))
+
+
+def task_reports(spark: SparkSession, root: str) -> DataFrame:
+    """One report per task of the suite: that of the task's last labelled document."""
+    names = F.array(*(F.lit(name) for name, _, _ in SUITE))
+    task = F.get(names, (F.col("doc_id") % 16).cast("int"))
+    return reports(spark, root).groupBy(task.alias("task")).agg(F.max_by("report", "doc_id").alias("report"))

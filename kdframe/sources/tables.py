@@ -39,15 +39,25 @@ def read_suite(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str, tasks: DataFrame) -> DataFrame:
-    """Score of every task from its ``<task>.json`` report, and whether that exists as readable JSON."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("task"), "value"
-    )
+    """Score of every task from its report, and whether that exists as readable JSON.
+
+    A report is a file ``<task>.json``, or the one file in a folder ``task=<task>`` as ``write_reports`` makes it.
+    """
+    files = spark.read.text(path, wholetext=True)
+    by_name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    named = F.col("task").cast("string") if "task" in files.columns else by_name
+    files = files.select(named.alias("task"), "value")
     parsed = files.withColumn("exists", F.try_parse_json("value").isNotNull())
     scored = parsed.withColumn("score", pick_score(first_result(F.col("value")))).drop("value")
     return tasks.join(scored, "task", "left").na.fill({"exists": False})
 
 
+def write_reports(reports: DataFrame, path: str) -> None:
+    """One file per task from ``task`` and the JSON text ``report``, in a folder ``task=<task>``."""
+    files = reports.select("task", F.coalesce("report", F.lit("")).alias("value"))
+    files.repartition("task").write.mode("errorifexists").partitionBy("task").text(path)
+
+
 def save_splits(df: DataFrame, path: str, split: str = "split") -> None:
     """Prepared data by split, spread over tasks so that a large split is many files."""
     df.write.mode("errorifexists").partitionBy(split).parquet(path)
