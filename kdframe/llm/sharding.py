@@ -9,7 +9,8 @@ A shard that holds many bytes is split into parts by a second hash, so a hot key
 large file or task.
 
 Defined cases: a null key is a key like any other; repeated keys share a shard; rows of one key are
-spread over its parts by ``spread``; an empty table gives an empty result; other columns are kept.
+spread over its parts by ``spread``; an empty table gives an empty result; other columns are kept, but for
+one that has the name of a result column: it may be read as a key, and the result takes its place.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kdframe.llm.common import unused
+
 SLOTS = 65_537
 PART_BYTES = 128 << 20
 
@@ -54,20 +57,35 @@ def slot_of(keys: list[str], slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
 
 
-def assign_shards(docs: DataFrame, keys: list[str], shards: list[str], *, slots: int = SLOTS) -> DataFrame:
-    """``docs`` with ``slot`` and ``shard``, the shard's name. One broadcast lookup, no shuffle."""
+def assign_shards(
+    docs: DataFrame, keys: list[str], shards: list[str], *, slots: int = SLOTS, slot_col: str = "slot", shard_col: str = "shard"
+) -> DataFrame:
+    """``docs`` with ``slot_col`` and ``shard_col``, the shard's name. One broadcast lookup, no shuffle."""
     spark: SparkSession = docs.sparkSession
-    table = [(slot, shards[shard]) for slot, shard in enumerate(lookup_table(shards, slots))]
-    lookup = spark.createDataFrame(table, "slot int, shard string")
-    return docs.withColumn("slot", slot_of(keys, slots)).join(F.broadcast(lookup), "slot")
-
-
-def split_shards(assigned: DataFrame, spread: list[str], size: Column, *, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``assigned`` with ``part``: a shard of many bytes has several, chosen by a hash of ``spread``."""
-    parts = assigned.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / part_bytes)).cast("int").alias("_parts"))
+    slot, shard = unused("_slot", docs), unused("_shard", docs)
+    table = [(at, shards[number]) for at, number in enumerate(lookup_table(shards, slots))]
+    lookup = spark.createDataFrame(table, f"{slot} int, {shard} string")
+    placed = docs.withColumn(slot, slot_of(keys, slots)).join(F.broadcast(lookup), slot)
+    return placed.drop(slot_col, shard_col).withColumnsRenamed({slot: slot_col, shard: shard_col})
+
+
+def split_shards(
+    assigned: DataFrame,
+    spread: list[str],
+    size: Column,
+    *,
+    part_bytes: int = PART_BYTES,
+    shard_col: str = "shard",
+    part_col: str = "part",
+) -> DataFrame:
+    """``assigned`` with ``part_col``: a shard of many bytes has several, chosen by a hash of ``spread``."""
+    key, parts, part = (unused(name, assigned) for name in ("_of", "_parts", "_part"))
+    count = F.greatest(F.lit(1), F.ceil(F.sum(size) / part_bytes)).cast("int")
     # one row for each shard, so bounded like the lookup table
-    joined = assigned.join(F.broadcast(parts), "shard")
-    return joined.withColumn("part", F.pmod(F.xxhash64(*spread, F.lit(1)), F.col("_parts")).cast("int")).drop("_parts")
+    counted = F.broadcast(assigned.groupBy(F.col(shard_col).alias(key)).agg(count.alias(parts)))
+    joined = assigned.join(counted, F.col(shard_col) == F.col(key))
+    chosen = joined.withColumn(part, F.pmod(F.xxhash64(*spread, F.lit(1)), F.col(parts)).cast("int"))
+    return chosen.drop(part_col, key, parts).withColumnRenamed(part, part_col)
 
 
 def write_shards(split: DataFrame, path: str) -> None:

@@ -57,8 +57,9 @@ def test_placement(spark, tmp_path):
     got = placed.collect()
     assert len(got) == len(rows) and all(r["shard"] == names[table[r["slot"]]] for r in got)
     assert len({r["shard"] for r in got if r["key"] == 7}) == 1 and len({r["shard"] for r in got if r["key"] is None}) == 1
-    split = sh.split_shards(placed.drop("_parts"), ["text"], F.lit(1), part_bytes=50)
+    split = sh.split_shards(placed, ["text"], F.lit(1), part_bytes=50)
     assert max(Counter((r["shard"], r["part"]) for r in split.collect()).values()) < 110
+    assert all(r["_parts"] == "own" for r in split.collect())
     path = str(tmp_path / "out")
     sh.write_shards(split, path)
     assert spark.read.parquet(path).count() == len(rows)
@@ -69,3 +70,18 @@ def test_placement(spark, tmp_path):
 def test_empty(spark):
     df = spark.createDataFrame([], "key long")
     assert sh.split_shards(sh.assign_shards(df, ["key"], ["a"], slots=7), ["key"], F.lit(1)).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ["_slot", "_shard", "_of", "_parts", "_part"]
+    df = spark.createDataFrame([(i, i) for i in range(60)], "key long, Part long").withColumns({n: F.lit("own") for n in names})
+    plain = sh.split_shards(sh.assign_shards(df.select("key"), ["key"], ["a", "b"], slots=7), ["key"], F.lit(1), part_bytes=9)
+    want = {r["key"]: (r["slot"], r["shard"], r["part"]) for r in plain.collect()}
+    taken = df.withColumns({"slot": F.lit("x"), "shard": F.lit("y")})
+    for _ in range(2):  # the second time, results stand where the first ones stood
+        taken = sh.split_shards(sh.assign_shards(taken, ["key"], ["a", "b"], slots=7), ["key"], F.lit(1), part_bytes=9)
+        rows = taken.collect()
+        assert {r["key"]: (r["slot"], r["shard"], r["part"]) for r in rows} == want
+        assert all(r[n] == "own" for r in rows for n in names) and len(taken.columns) == 9
+    by_taken = sh.assign_shards(df.withColumn("slot", F.col("key")), ["slot"], ["a", "b"], slots=7)
+    assert {r["key"]: r["slot"] for r in by_taken.collect()} == {k: v[0] for k, v in want.items()}
