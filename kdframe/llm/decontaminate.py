@@ -6,24 +6,27 @@ fewer) makes its words hits. Spans of hits longer than a limit are cut out of a
 of which hits cover too much goes.
 
 The automaton is broadcast; its size is bounded by the words of a block of items. A benchmark above
-the bound is dealt to several blocks, each streamed against all documents, and their hits are united.
+the bound is dealt to several blocks in Spark. A long item is cut into parts that overlap by all but one
+word of a window, so that each window is in one part. The driver holds one block at a time, each block is
+streamed against all documents, and the hits of all are united.
 
 Defined cases: null or wordless texts have no hits, null or wordless items have no window; an item
 without id counts as the empty id; repeated items count once; rows that repeat get the same result;
-an empty benchmark hits nothing; clashing extra columns are kept as they are.
+an empty benchmark hits nothing; extra columns are kept as they are, but for one named like the result.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kdframe.llm.common import row_key, text_function
-from kdframe.session import materialize
+from kdframe.llm.common import row_key, text_function, unused
+from kdframe.operators.ranking import prefix_sum
+from kdframe.session import fresh_path, materialize, release
 
 WINDOW = 13
 SHARE = 20
@@ -181,19 +184,69 @@ class Automaton:
 
 
 HITS = "struct<n_words:bigint,starts:array<int>,ends:array<int>,items:array<string>,rest:string>"
+Block = list[tuple[str, list[bytes]]]
+
+
+def parts_of(window: int, size: int) -> Callable[[], Callable[[list], list]]:
+    """Cuts items into parts of at most ``size`` windows, each with its number of words."""
+
+    def cut(text: str | None) -> list[dict]:
+        words = words_of(text)
+        windows = max(1, len(words) - window + 1)
+        parts = [words[at : min(at + size, windows) + window - 1] for at in range(0, windows, size)]
+        return [{"n": len(part), "words": b" ".join(part).decode()} for part in parts if part]
+
+    return lambda: lambda texts: list(map(cut, texts))
+
+
+def blocks(items: DataFrame, block_words: int, window: int = WINDOW) -> tuple[int, Iterator[Block]]:
+    """The number of blocks, and the items (id, text) in blocks, read one after the other.
+
+    A block has at most a quarter, or a window, more than ``block_words`` words; running sums over the parts
+    in the order of their hashes deal them.
+    """
+    size = max(window, block_words // 4 - window)
+    cut = text_function("array<struct<n:bigint,words:string>>", parts_of(window, size))
+    item, text = items.columns
+    told = items.select(F.coalesce(F.col(item), F.lit("")).alias("item"), F.explode(cut(text)).alias("part"))
+    parts = materialize(told.select("item", "part.n", "part.words").distinct())
+
+    def block(rows: DataFrame) -> Block:
+        return sorted((r["item"], r["words"].encode().split()) for r in rows.select("item", "words").toLocalIterator())
+
+    if (parts.agg(F.sum("n")).first()[0] or 0) <= block_words:
+        whole = block(parts)
+        release(parts)
+        return 1, iter([whole])
+    keyed = parts.withColumn("key", F.xxhash64("item", "words"))
+    placed = prefix_sum(keyed, ["key"], [F.shiftright("key", 52)], F.col("n"), name="before")
+    path = fresh_path(items.sparkSession, "blocks")
+    placed.select("item", "words", F.floor(F.col("before") / block_words).alias("block")).write.partitionBy("block").parquet(path)
+    dealt = items.sparkSession.read.parquet(path)
+    release(parts)
+    numbers = sorted(r["block"] for r in dealt.select("block").distinct().collect())
+    return len(numbers), (block(dealt.where(F.col("block") == number)) for number in numbers)
+
+
+def united(cut_from: int) -> Callable[[], Callable[..., list]]:
+    """Hits from spans and items of several blocks."""
+
+    def unite(text: str | None, starts: list | None, ends: list | None, ids: list | None) -> dict:
+        spans: list[list[int]] = []
+        for a, b in sorted(zip(starts or (), ends or ())):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(b, spans[-1][1])
+            else:
+                spans.append([a, b])
+        return {
+            "n_words": len(words_of(text)),
+            "starts": [a for a, _ in spans],
+            "ends": [b for _, b in spans],
+            "items": ids or [],
+            "rest": without(text, spans, cut_from) if spans else None,
+        }
 
-
-def blocks(items: DataFrame, block_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of about ``block_words`` words, read item by item."""
-    found = {(item or "", tuple(words_of(text))) for item, text in items.toLocalIterator()}
-    dealt, size = [[]], 0
-    for item, words in sorted(found):
-        if size and size + len(words) > block_words:
-            dealt.append([])
-            size = 0
-        dealt[-1].append((item, list(words)))
-        size += len(words)
-    return dealt
+    return lambda: lambda *columns: list(map(unite, *columns))
 
 
 def find_hits(
@@ -213,11 +266,9 @@ def find_hits(
     sorted ids of the items that have windows in the text, and the text without spans of at least
     ``cut_from`` words (null if nothing is cut)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col))
-
-    def scanner(block: list) -> Callable[[Column], Column]:
-        shared = spark.sparkContext.broadcast(Automaton(block, window))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("words"))
 
+    def scanner(shared, cuts: bool) -> Callable[[Column], Column]:
         def make():
             automaton = shared.value
 
@@ -227,7 +278,7 @@ def find_hits(
                     words = words_of(text)
                     spans, ids = automaton.scan(words)
                     starts, ends = [a for a, _ in spans], [b for _, b in spans]
-                    rest = without(text, spans, cut_from) if spans else None
+                    rest = without(text, spans, cut_from) if spans and cuts else None
                     rows.append({"n_words": len(words), "starts": starts, "ends": ends, "items": sorted(ids), "rest": rest})
                 return rows
 
@@ -235,30 +286,28 @@ def find_hits(
 
         return text_function(HITS, make)
 
-    dealt = blocks(items, block_words)
-    if len(dealt) == 1:
-        return docs.withColumn(into, scanner(dealt[0])(F.col(text_col)))
-    keyed = docs.select(row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
-    found = [materialize(keyed.select("_key", scanner(b)("_text").alias("hit"))) for b in dealt]
+    n_blocks, dealt = blocks(items, block_words, window)
+    if n_blocks == 1:
+        shared = spark.sparkContext.broadcast(Automaton(next(dealt), window))
+        return docs.withColumn(into, scanner(shared, True)(F.col(text_col)))
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    found = []
+    for block in dealt:
+        shared = spark.sparkContext.broadcast(Automaton(block, window))
+        found.append(materialize(keyed.select("key", scanner(shared, False)("text").alias("hit"))))
+        shared.unpersist()
     hits = functools.reduce(DataFrame.union, found).where("size(hit.starts) > 0").distinct()
-    united = hits.groupBy("_key").agg(
-        F.flatten(F.collect_list(F.arrays_zip("hit.starts", "hit.ends"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit.items")))).alias("items"),
+    key, spans, ids = (unused(name, docs) for name in ("_key", "_spans", "_items"))
+    by_row = hits.groupBy(F.col("key").alias(key)).agg(
+        F.flatten(F.collect_list(F.arrays_zip("hit.starts", "hit.ends"))).alias(spans),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit.items")))).alias(ids),
     )
-    joined = docs.withColumn("_key", row_key(id_col, text_col)).join(united, "_key", "left")
-
-    @F.udf(HITS)
-    def unite(text, spans, ids):
-        merged: list[list[int]] = []
-        for a, b in sorted(tuple(s) for s in spans or ()):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        rest = without(text, merged, cut_from) if merged else None
-        return len(words_of(text)), [a for a, _ in merged], [b for _, b in merged], ids or [], rest
-
-    return joined.withColumn(into, unite(F.col(text_col), "spans", "items")).drop("_key", "spans", "items")
+    by_row = materialize(by_row)
+    for table in found:
+        release(table)
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(by_row, key, "left")
+    unite = text_function(HITS, united(cut_from), "array<int>", "array<int>", "array<string>")
+    return joined.withColumn(into, unite(text_col, f"{spans}.starts", f"{spans}.ends", ids)).drop(key, spans, ids)
 
 
 def n_hit(hits: str = "hits") -> Column:
@@ -274,6 +323,7 @@ def is_contaminated(hits: str = "hits", share: int = SHARE) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", share: int = SHARE, **options) -> DataFrame:
     """``docs`` without documents above the coverage limit, and without long hit spans in the others."""
-    marked = find_hits(docs, benchmark, text_col=text_col, into="_hits", **options)
-    kept = marked.where(~is_contaminated("_hits", share))
-    return kept.withColumn(text_col, F.coalesce("_hits.rest", text_col)).drop("_hits")
+    hits = unused("_hits", docs)
+    marked = find_hits(docs, benchmark, text_col=text_col, into=hits, **options)
+    kept = marked.where(~is_contaminated(hits, share))
+    return kept.withColumn(text_col, F.coalesce(f"{hits}.rest", text_col)).drop(hits)

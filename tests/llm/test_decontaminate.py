@@ -92,3 +92,30 @@ def test_removal(spark):
     b = spark.createDataFrame([(7, passage)], "item_id long, text string")
     got = dict(dc.decontaminate(d.drop("_hits"), b).select("doc_id", "text").collect())
     assert got == {1: f"{filler} [] end.", 3: filler, 4: None}
+
+
+@pytest.mark.parametrize("block_words", [500_000, 90])
+def test_clashing_columns(spark, block_words):
+    docs, items = cases()
+    names = ["key", "hit", "spans", "items", "_key", "_spans", "_items", "_hits", "item", "words"]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({n: F.lit("own") for n in names})
+    b = spark.createDataFrame(items, "item_id long, text string").withColumns({n: F.lit("own") for n in names})
+    found = dc.find_hits(d.withColumn("hits", F.lit("old")), b, block_words=block_words)
+    assert result(found) == brute(docs, items)
+    assert all(r[n] == "own" for r in found.collect() for n in names)
+    kept = dc.decontaminate(d, b, block_words=block_words)
+    assert kept.columns == d.columns and all(r[n] == "own" for r in kept.collect() for n in names)
+    assert sorted(kept.select("doc_id").toPandas()["doc_id"].dropna()) == sorted(r[0] for r in brute(docs, items) if not r[5] and r[0] is not None)
+
+
+def test_blocks_are_bounded_and_hold_every_window(spark):
+    rng = random.Random(8)
+    items = [(str(i), " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice([1, 5, 13, 40, 5000])))) for i in range(300)]
+    n, dealt = dc.blocks(spark.createDataFrame(items, "item string, words string"), 20_000)
+    got = list(dealt)
+    assert n == len(got) > 5 and max(sum(len(w) for _, w in b) for b in got) <= 25_000
+
+    def windows(sequences):
+        return {(i, tuple(w[k : k + 13])) for i, w in sequences for k in range(max(1, len(w) - 12))}
+
+    assert windows(p for b in got for p in b) == windows((i, dc.words_of(t)) for i, t in items)
