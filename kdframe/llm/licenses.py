@@ -1,15 +1,17 @@
 """Licence texts and notices in documents, by Dice coefficient over word bigrams.
 
 Normalised text (lower case, everything but ASCII letters and digits a space) is compared with licence
-templates: 2 |A and B| / (|A| + |B|) over the sets of word bigrams. A text is looked at whole and by
-line, as licences stand alone or as notices in other text. Bounds prune templates before any set is
+templates: 2 |A and B| / (|A| + |B|) over the sets of word bigrams. A text is looked at whole, by line, and
+by runs of one to six paragraphs (of several lines, between blank lines), as licences stand alone, as
+notices in other text, or wrapped above code; comment marks are no words. Bounds prune templates before any set is
 built: a coefficient of at least t needs set sizes within a factor of t / (2 - t), and a unit has as
 many bigrams at most as words less one.
 
 All work is one projection of built-in functions; the templates are literals, a parameter of a bounded
 number. Defined cases: null and empty texts match nothing; a single word is its own only bigram; of
-equal coefficients the first template by name counts; repeated rows and other columns are kept; an
-empty table gives an empty result.
+equal coefficients the first template by name counts; a text without blank lines has no paragraphs;
+repeated rows and other columns are kept, but for one named like the result; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kdframe.llm.common import let
+from kdframe.llm.common import let, unused
 
 THRESHOLD = 0.8
 MAX_TEMPLATES = 500
+RUN = 6  # paragraphs
+BLANK = r"\n[ \t\r]*+\n[ \t\r\n]*+"
 
 # Notices and short texts of public licences, by SPDX-like name.
 TEMPLATES = {
@@ -115,14 +119,16 @@ def literal(strings: list[str]) -> Column:
     return F.split(F.lit(",".join(strings)), ",")
 
 
-MATCH = "struct<dice:double,license:string,unit:int>"
+MATCH = "struct<dice:double,license:string,unit:int,paragraphs:int>"
 
 
 def find_licenses(
     docs: DataFrame, *, text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, into: str = "licenses"
 ) -> DataFrame:
-    """``docs`` with the array ``into`` of (dice, license, unit): the best template of each unit that reaches the
-    threshold. Unit 0 is the whole text, further ones are its lines from 1 on (of a text of one line, only unit 0)."""
+    """``docs`` with the array ``into`` of (dice, license, unit, paragraphs): the best template of each unit that
+    reaches the threshold. Unit 0 is the whole text, further ones are its lines from 1 on (of a text of one line, only
+    unit 0). Then come runs of ``paragraphs`` paragraphs, ``unit`` being the first of them, from 1 on; a run that is
+    the whole text or one line isn't listed again."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     sets = {name: template_bigrams(text) for name, text in sorted(templates.items())}
@@ -132,25 +138,52 @@ def find_licenses(
     arrays = {name: literal(grams) for name, grams in sets.items()}
     none = F.lit(None).cast(MATCH)
 
-    def best(grams: Column, unit: Column) -> Column:
+    def best(grams: Column, unit: Column, run: Column) -> Column:
         found = []
         for name, (low, high) in ranges.items():
             common = F.size(F.array_intersect(grams, arrays[name]))
             dice = F.lit(2.0) * common / (F.size(grams) + len(sets[name]))
-            match = F.struct((-dice).alias("dice"), F.lit(name).alias("license"), unit.cast("int").alias("unit"))
+            match = F.struct((-dice).alias("dice"), F.lit(name).alias("license"), unit.cast("int").alias("unit"), run.cast("int").alias("paragraphs"))
             found.append(F.when(F.size(grams).between(low, high), match).otherwise(none))
         least = F.array_min(F.filter(F.array(*found), lambda m: m["dice"] <= -threshold))
-        return let(least, lambda m: F.when(m.isNotNull(), F.struct((-m["dice"]).alias("dice"), m["license"], m["unit"])).otherwise(none))
+        return let(least, lambda m: F.when(m.isNotNull(), F.struct((-m["dice"]).alias("dice"), m["license"], m["unit"], m["paragraphs"])).otherwise(none))
 
-    def judged(words: Column, number: Column) -> Column:
-        return F.when(F.arrays_overlap(words, anchor), let(bigrams_of(words), lambda g: best(g, number))).otherwise(none)
+    def judged(words: Column, number: Column, run: Column) -> Column:
+        return F.when(F.arrays_overlap(words, anchor), let(bigrams_of(words), lambda g: best(g, number, run))).otherwise(none)
 
     def by_line(text: Column) -> Column:
-        return F.transform(F.split(text, "\n"), lambda line, i: let(words_of(line), lambda w: judged(w, i + 1)))
+        return F.transform(F.split(text, "\n"), lambda line, i: let(words_of(line), lambda w: judged(w, i + 1, F.lit(0))))
 
-    words, text = F.col("_words"), F.coalesce(F.col(text_col), F.lit(""))
+    def by_paragraph(text: Column) -> Column:
+        """Runs with an anchor word; the words of a paragraph are made once."""
+
+        def of(paragraph: Column) -> Column:
+            return let(words_of(paragraph), lambda w: F.struct(
+                w.alias("words"), F.arrays_overlap(w, anchor).alias("anchored"), F.contains(paragraph, F.lit("\n")).alias("long")
+            ))
+
+        def runs(listed: Column) -> Column:
+            def first(p: Column, at: Column) -> Column:
+                most = F.least(F.lit(RUN), F.size(listed) - at)
+                return F.transform(F.sequence(F.lit(1), most), lambda k: F.struct((at + 1).alias("unit"), k.alias("run")))
+
+            def worth(x: Column) -> Column:
+                several = ((x["run"] > 1) | F.get(listed, x["unit"] - 1)["long"]) & (x["run"] < F.size(listed))
+                return several & F.exists(F.slice(listed, x["unit"], x["run"]), lambda p: p["anchored"])
+
+            def verdict(x: Column) -> Column:
+                words = F.flatten(F.transform(F.slice(listed, x["unit"], x["run"]), lambda p: p["words"]))
+                return let(words, lambda w: judged(w, x["unit"], x["run"]))
+
+            return F.transform(F.filter(F.flatten(F.transform(listed, first)), worth), verdict)
+
+        return let(F.transform(F.split(text, BLANK), of), runs)
+
+    own, anchored = unused("_words", docs), unused("_anchored", docs)
+    words, text = F.col(own), F.coalesce(F.col(text_col), F.lit(""))
     nothing = F.array().cast(f"array<{MATCH}>")
     lines = F.when(F.contains(text, F.lit("\n")), by_line(text)).otherwise(nothing)
-    found = F.filter(F.concat(F.array(judged(words, F.lit(0))), lines), lambda m: m.isNotNull())
-    marked = docs.withColumn("_words", words_of(text)).withColumn("_anchored", F.arrays_overlap("_words", anchor))
-    return marked.withColumn(into, F.when(F.col("_anchored"), found).otherwise(nothing)).drop("_words", "_anchored")
+    parts = F.when(F.rlike(text, F.lit(BLANK)), by_paragraph(text)).otherwise(nothing)
+    found = F.filter(F.concat(F.array(judged(words, F.lit(0), F.lit(0))), lines, parts), lambda m: m.isNotNull())
+    marked = docs.withColumn(own, words_of(text)).withColumn(anchored, F.arrays_overlap(own, anchor))
+    return marked.withColumn(into, F.when(F.col(anchored), found).otherwise(nothing)).drop(own, anchored)

@@ -77,7 +77,9 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     best = F.element_at(F.array_sort(F.transform("licenses", lambda m: F.struct((-m["dice"]).alias("d"), m["license"], m["unit"]))), 1)
-    listed = F.array_join(F.transform("licenses", lambda m: F.concat_ws(":", m["unit"], m["license"])), ",")
+    # a line's number, or the number of the first paragraph of a run and how many there are
+    unit = lambda m: F.when(m["paragraphs"] > 0, F.concat_ws("+", m["unit"], m["paragraphs"])).otherwise(m["unit"])
+    listed = F.array_join(F.transform("licenses", lambda m: F.concat_ws(":", unit(m), m["license"])), ",")
     top = found.withColumn("best", F.when(F.size("licenses") > 0, best))
     return top.select(
         "doc_id",
