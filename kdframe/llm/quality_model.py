@@ -10,8 +10,8 @@ Votes and pattern counts cover all rows. Only the scorer is fitted on a sample o
 rows (a bound on the work of fitting), and all rows are scored.
 
 Defined cases: null, empty and wordless texts score 0 and are bad; a text on which nobody votes has the
-prior as posterior; repeated rows count as often as they occur; other columns are kept; an empty table
-gives an empty result.
+prior as posterior; repeated rows count as often as they occur; other columns are kept, but for those
+named like a result; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kdframe.llm.common import column, slices, text_function
+from kdframe.llm.common import column, slices, text_function, unused
 from kdframe.session import materialize
 
 FIT_ROWS = 20_000
@@ -235,6 +235,7 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
         return lambda texts: list(map(score, texts))
 
-    scored = docs.withColumn("_scores", text_function("struct<weak:double,strong:double>", make)(F.col(text_col)))
-    rated = scored.withColumns({"weak_score": F.col("_scores.weak"), "quality_score": F.col("_scores.strong")}).drop("_scores")
+    own = unused("_scores", docs)
+    scored = docs.withColumn(own, text_function("struct<weak:double,strong:double>", make)(F.col(text_col)))
+    rated = scored.withColumns({"weak_score": F.col(f"{own}.weak"), "quality_score": F.col(f"{own}.strong")}).drop(own)
     return rated.withColumn("good", F.col("quality_score") >= 0.5)

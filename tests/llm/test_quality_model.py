@@ -43,9 +43,9 @@ def test_defined_cases(spark):
     good = [" ".join(rng.choice(["several", "plain", "words", "in", "order"]) + str(i) * 0 for i in range(40)) + "." for _ in range(20)]
     bad = ["$$ ## !! " * 20 for _ in range(10)]
     rows = list(enumerate([*good, *bad, None, "", " \n", "x", good[0], "word " * 50_000])) + [(None, good[1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("votes", F.lit("own"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"votes": F.lit("own"), "_scores": F.lit("own"), "good": F.lit("old")})
     got = {(r["doc_id"], i): r for i, r in enumerate(qm.classify(df).collect())}
-    assert len(got) == len(rows) and all(r["votes"] == "own" for r in got.values())
+    assert len(got) == len(rows) and all(r["votes"] == r["_scores"] == "own" for r in got.values())
     empty = [r for r in got.values() if r["doc_id"] in (30, 31, 32)]
     assert all(r["quality_score"] == 0 and r["weak_score"] == 0 and not r["good"] for r in empty)
     assert all(0 <= r["quality_score"] <= 1 for r in got.values())
