@@ -68,6 +68,23 @@ def test_order_is_by_rejections_per_cost(spark):
     assert [r.name for r in qr.ordered(df, [slow, quick])] == ["always", "never"]
 
 
+def test_cost_includes_the_measures(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(3000))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dear = qr.Rule("dear", lambda c: c("n_repeat_words") >= 0)
+    cheap = qr.Rule("cheap", lambda c: c("n_symbols") >= 0)
+    assert [r.name for r in qr.ordered(df, [dear, cheap])] == ["cheap", "dear"]
+
+
+def test_sample_comes_from_the_whole_table(spark):
+    # the first half of the table never fails, the second always
+    df = spark.range(0, 20_000, numPartitions=8).select(F.when(F.col("id") < 10_000, "a").otherwise("b").alias("text"))
+    second = qr.Rule("second", lambda c: c("plain") == "b")
+    never = qr.Rule("never", lambda c: F.lit(False))
+    assert [r.name for r in qr.ordered(df, [never, second])] == ["second", "never"]
+
+
 @pytest.mark.parametrize("rules", [qr.RULES, qr.RULES[::-1]])
 def test_order_does_not_change_verdicts(spark, rules):
     df = qr.measures(spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string"))
