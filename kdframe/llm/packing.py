@@ -1,10 +1,9 @@
 """Pack token sequences into windows of a fixed capacity by Karmarkar-Karp differencing.
 
 A document is its token ids and one separator id. Whole windows are cut off its front; only the
-remainders are packed. Remainders go round-robin to groups of a bounded size, and in each group
-multiway differencing merges partial partitions with opposing imbalances into near-equal windows.
-A window above capacity sheds its excess into the room that others have, and the window count
-rises whenever that room isn't enough.
+remainders are packed. Remainders go round-robin to groups of a bounded size and are cut into parts
+of at most ``CUT`` ids. In each group, multiway differencing merges partial partitions with opposing
+imbalances into near-equal windows, and the window count rises whenever capacity is exceeded.
 
 Defined cases: a null or empty text is a document of one separator; repeated rows are packed one
 by one; an empty table gives an empty result; columns other than id and text are not read.
@@ -13,6 +12,7 @@ by one; an empty table gives an empty result; columns other than id and text are
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import heapq
 import re
@@ -30,7 +30,9 @@ from kdframe.llm.common import column, slices
 from kdframe.session import materialize
 
 WINDOW = 1024
-GROUP_ITEMS = 2048
+GROUP_ITEMS = 1024
+#: Most ids of a part. Smaller parts make the windows more equal, and more pieces.
+CUT = 256
 
 #: Characters of which both libraries have the same classes; other texts go to the slower one.
 COMMON = re.compile("[^\x00-ɏ‐-‧€]")
@@ -121,75 +123,100 @@ def tokenize(
     return materialize(rows.mapInArrow(run, f"{PIECE.format(id=kind)}, serial long"))
 
 
+def merged(left: list[int], right: list[int], windows: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Two partitions in one: the largest sums of ``right`` on the smallest of ``left``, empty windows first.
+    Sums rise; with each goes its place in ``left`` and in ``right``, or -1."""
+    alone = min(len(right), windows - len(left))
+    paired = len(right) - alone
+    found = [(s, i, -1) for i, s in enumerate(left)]
+    found += [(right[j], -1, j) for j in range(paired, len(right))]
+    for i in range(paired):
+        found[i] = (left[i] + right[paired - 1 - i], i, paired - 1 - i)
+    found.sort()
+    return [s for s, _, _ in found], [(i, j) for _, i, j in found]
+
+
 def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
     """A window for each item. The two partitions with the largest spreads are merged, the largest sums of
-    one with the smallest of the other, until one partition is left. A partition keeps its sums in falling
-    order and leaves out empty windows."""
+    one with the smallest of the other, until one partition is left. A partition keeps its sums in rising
+    order and leaves out empty windows. Nearly all merges add one item; they only move one sum."""
     if windows <= 1 or len(lengths) < 2:
         return np.zeros(len(lengths), dtype=np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    sums = [lengths[i : i + 1].astype(np.int64) for i in order]
-    made = [None] * len(order)
-    heap = [(-int(lengths[i]), at) for at, i in enumerate(order)]
+    order = np.argsort(-lengths, kind="stable").tolist()
+    sums: list = [[int(lengths[i])] for i in order]
+    made: list = [None] * len(order)
+    heap = [(-own[0], at) for at, own in enumerate(sums)]
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
         if len(sums[a]) < len(sums[b]):
             a, b = b, a
-        left, right = sums[a], sums[b]
+        total, right = sums[a], sums[b]
         sums[a] = sums[b] = None
-        total = np.zeros(min(windows, len(left) + len(right)), dtype=np.int64)
-        at_left = np.arange(len(left))
-        at_right = len(total) - 1 - np.arange(len(right))
-        total[at_left] = left
-        total[at_right] += right
-        falling = np.argsort(-total, kind="stable")
-        place = np.empty_like(falling)
-        place[falling] = np.arange(len(falling))
-        total = total[falling]
+        if len(right) == 1:
+            full = len(total) == windows
+            value = right[0] + (total.pop(0) if full else 0)
+            place = bisect.bisect_left(total, value)
+            total.insert(place, value)
+            made.append((a, b, place, full))
+        else:
+            total, places = merged(total, right, windows)
+            made.append((a, b, places, None))
         sums.append(total)
-        made.append((a, b, place[at_left], place[at_right]))
-        low = int(total[-1]) if len(total) == windows else 0
-        heapq.heappush(heap, (low - int(total[0]), len(sums) - 1))
+        low = total[0] if len(total) == windows else 0
+        heapq.heappush(heap, (low - total[-1], len(sums) - 1))
     window = np.empty(len(order), dtype=np.int64)
-    where = {len(sums) - 1: np.arange(windows)}
+    where = {len(sums) - 1: list(range(len(sums[-1])))}
     for at in range(len(sums) - 1, -1, -1):
         slots = where.pop(at)
         if made[at] is None:
             window[order[at]] = slots[0]
+            continue
+        a, b, places, full = made[at]
+        if full is None:
+            of_left = sorted((i, slot) for slot, (i, _) in zip(slots, places) if i >= 0)
+            of_right = sorted((j, slot) for slot, (_, j) in zip(slots, places) if j >= 0)
+            where[a], where[b] = [slot for _, slot in of_left], [slot for _, slot in of_right]
         else:
-            a, b, at_left, at_right = made[at]
-            where[a], where[b] = slots[at_left], slots[at_right]
+            slot = slots.pop(places)
+            if full:
+                slots.insert(0, slot)
+            where[a], where[b] = slots, [slot]
     return window
 
 
-def fill(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (item, start in the item, length, window, offset) that cover all items."""
+def fill(lengths: np.ndarray, capacity: int, cut: int = CUT) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (item, start in the item, length, window, offset) that cover all items.
+
+    Items are cut into parts of ``cut`` and a last, shorter one, and the parts are differenced into as few windows
+    as their sum needs. While a window is above capacity, the count rises, by what brings the mean down by
+    half of the excess, and the parts are differenced again.
+    """
+    cut = min(cut, capacity)
+    lengths = np.asarray(lengths, dtype=np.int64)
+    parts = -(-lengths // cut)
+    item = np.repeat(np.arange(len(lengths)), parts)
+    number = np.arange(len(item)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = number * cut
+    size = np.minimum(lengths[item] - start, cut)
     count = int(-(-lengths.sum() // capacity))
-    window = differencing(lengths, count)
-    used = [0] * count
-    pieces, excess = [], []
-    for item in np.lexsort((-lengths, window)).tolist():
-        at, size = int(window[item]), int(lengths[item])
-        fits = min(size, capacity - used[at])
-        if fits:
-            pieces.append((item, 0, fits, at, used[at]))
-            used[at] += fits
-        if fits < size:
-            excess.append((item, fits, size - fits))
-    room = [at for at in range(count) if used[at] < capacity]
-    while excess:
-        item, start, size = excess.pop()
-        if not room:
-            room.append(len(used))
-            used.append(0)
-        at = room[-1]
-        fits = min(size, capacity - used[at])
-        pieces.append((item, start, fits, at, used[at]))
-        used[at] += fits
-        if used[at] == capacity:
-            room.pop()
-        if fits < size:
-            excess.append((item, start + fits, size - fits))
+    while True:
+        window = differencing(size, count)
+        excess = int(np.bincount(window, weights=size, minlength=1).max()) - capacity
+        if excess <= 0:
+            break
+        count += max(1, excess * count // (2 * capacity))
+    pieces: list[tuple[int, int, int, int, int]] = []
+    used = 0
+    for i in np.lexsort((start, item, window)).tolist():
+        own, first, long, at = int(item[i]), int(start[i]), int(size[i]), int(window[i])
+        last = pieces[-1] if pieces else None
+        if last is None or last[3] != at:
+            used = 0
+        if used and last[0] == own and last[1] + last[2] == first:
+            pieces[-1] = (own, last[1], last[2] + long, at, last[4])
+        else:
+            pieces.append((own, first, long, at, used))
+        used += long
     return pieces
 
 

@@ -91,3 +91,53 @@ def test_differencing_is_balanced():
     # the textbook case: 8, 7, 6, 5, 4 in two windows differ by 2
     sums = np.bincount(packing.differencing(np.array([8, 7, 6, 5, 4]), 2), weights=[8, 7, 6, 5, 4])
     assert abs(sums[0] - sums[1]) == 2
+
+
+@pytest.mark.parametrize("windows", [1, 2, 7, 60, 500])
+def test_differencing_covers_all_items(windows):
+    rng = np.random.default_rng(windows)
+    sizes = rng.integers(1, 256, 300)
+    window = packing.differencing(sizes, windows)
+    assert window.min() >= 0 and window.max() < windows and len(window) == 300
+    sums = np.bincount(window, weights=sizes, minlength=windows)
+    if windows <= 60:
+        assert sums.max() - sums.min() <= sizes.max()
+    else:
+        assert sums.max() == sizes.max()
+
+
+def test_window_count_rises(monkeypatch):
+    counts = []
+    given = packing.differencing
+    monkeypatch.setattr(packing, "differencing", lambda sizes, n: counts.append(n) or given(sizes, n))
+    # three items of 6 need 18 of 2 * 9, but no two fit in a window of 9
+    pieces = packing.fill(np.array([6, 6, 6]), 9, cut=9)
+    assert counts == [2, 3] and sorted(p[3] for p in pieces) == [0, 1, 2]
+    counts.clear()
+    # parts of 3 fit in two windows at once
+    pieces = packing.fill(np.array([6, 6, 6]), 9, cut=3)
+    assert counts == [2] and sum(p[2] for p in pieces) == 18
+
+
+def test_parts_are_whole_and_windows_nearly_full():
+    rng = np.random.default_rng(3)
+    rose = 0
+    for _ in range(40):
+        lengths = rng.integers(1, 1024, rng.integers(1, 400))
+        pieces = packing.fill(lengths, 1024)
+        used = {}
+        covered = [0] * len(lengths)
+        for item, start, size, at, offset in sorted(pieces, key=lambda p: (p[0], p[1])):
+            assert start == covered[item] and 0 < size
+            covered[item] += size
+            used.setdefault(at, []).append((offset, size))
+        assert covered == lengths.tolist()
+        for places in used.values():
+            places.sort()
+            assert [a for a, _ in places] == np.cumsum([0, *(n for _, n in places)])[:-1].tolist()
+            assert sum(n for _, n in places) <= 1024
+        least = -(-int(lengths.sum()) // 1024)
+        rose += len(used) > least
+        assert len(used) <= least * 1.05 + 1
+    assert rose
+    assert packing.fill(np.array([1]), 1024) == [(0, 0, 1, 0, 0)]
