@@ -5,6 +5,9 @@ of a pattern and the gaps between them give the positions (in code points, end e
 the base kinds stay if their check holds; those of the further kinds stay if their score, of the
 pattern, the checksum and the context, reaches ``MIN_SCORE``.
 
+Two kinds are secrets: values that a name such as ``token`` or ``password`` introduces, and keys in a
+known public form.
+
 Defined cases: a null text has no span; spans of different kinds may overlap; equal spans of different
 kinds are sorted by kind; repeated rows and other columns are kept; an empty table gives an empty result.
 """
@@ -115,6 +118,26 @@ def iban_pattern() -> str:
     return f"(?=[A-Z]{{2}}[0-9]{{2}})(?<![A-Za-z0-9])(?:{'|'.join(forms)})(?![A-Za-z0-9])"
 
 
+def mixed(value: Column) -> Column:
+    """Whether a value has letters and at least two digits, as a generated one has and a word hasn't."""
+    return value.rlike("[A-Za-z]") & value.rlike("[0-9].*[0-9]")
+
+
+#: Names before a value that make it a secret, and the characters of such values.
+SECRET_NAME = r"(?:tokens?|secrets?|passwords?|passwd|pwd|credentials?|(?:api|access|secret|private|auth|account)[_ -]?key)"
+SECRET = "[A-Za-z0-9_+/.-]"
+SECRET_PATTERN = (
+    rf"(?<!{SECRET})(?={SECRET}{{16}})(?<=(?i:{SECRET_NAME})[\"']?[\x20\t]{{0,3}}(?:[:=]|:=|=>)[\x20\t]{{0,3}}[\"']?)"
+    rf"{SECRET}++={{0,2}}+"
+)
+# The public forms of keys that carry their issuer's prefix, signed web tokens and private key blocks.
+KEY_PATTERN = (
+    "(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36}(?![0-9A-Za-z])"
+    "|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"
+    r"|eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)"
+    "|-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----"
+)
+
 LOCAL, DOMAIN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 
 #: In the order in which equal starts are sorted. A local part starts where no other can, or where the last match ended.
@@ -126,6 +149,8 @@ KINDS = [
     Kind("iban", iban_pattern(), mod97, 0.8, "iban|account|konto|cuenta|compte"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", always, 0.3, r"\bssn\b|social security", needs="-"),
     Kind("dni", r"(?<![A-Za-z0-9])[0-9]{8}[A-Z](?![A-Za-z0-9])", dni_letter, 0.4, r"\bdni\b|\bnif\b|identidad|identity", "serial|order|part"),
+    Kind("secret", SECRET_PATTERN, mixed, 0.6, "bearer|auth|login|secret|private", "example|placeholder|dummy|sample"),
+    Kind("key", KEY_PATTERN, always, 0.9, "key|token|secret|private", "example|placeholder|dummy|sample"),
 ]
 
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,text:string,score:double>"

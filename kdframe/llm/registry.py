@@ -61,6 +61,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(c.alias(name) for name, c in count.items()),
         F.sha2(base, 256).alias("base_sha256"),
         pii.listed(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"),
     )
 
 
