@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 reread as the next one's docs. All but the last return the columns of ``documents``.
+
+Defined cases, for every stage: an empty table gives an empty result; columns other than ``doc_id``,
+``text``, ``lang`` and ``n_chars`` are kept as they are, whatever their names, but by packing, which returns
+pieces; texts of any length are processed whole. A null or letterless text has no language and goes
+with the first stage; in a later one it has no shingles and no hits, and line dedup drops it only if it
+is null or empty. Rows that repeat whole are one document: they get the same result in every stage. Of
+lines and documents that are equal under different ids, those of the smallest id stay.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kdframe.llm import decontaminate, language, line_dedup, near_duplicates, packing
-from kdframe.llm.common import table
+from kdframe.llm.common import table, unused
 from kdframe.llm.registry import tokenizer_files
 from kdframe.session import materialize
 
@@ -21,9 +28,10 @@ LANGUAGE_SCORE = 0.5
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or whose language is in doubt, go."""
     model = language.fit(docs.where(F.coalesce(language.fold("doc_id") != 2, F.lit(False))))
-    found = docs.withColumn("_found", language.predictor(docs, model)("text"))
-    sure = (F.col("_found.lang_pred") != language.UNKNOWN) & (F.col("_found.score") >= LANGUAGE_SCORE)
-    return found.where(sure).drop("_found")
+    name = unused("_found", docs)
+    found = docs.withColumn(name, language.predictor(docs, model)("text"))
+    sure = (F.col(name)["lang_pred"] != language.UNKNOWN) & (F.col(name)["score"] >= LANGUAGE_SCORE)
+    return found.where(sure).drop(name)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
