@@ -130,6 +130,8 @@ SECRET_PATTERN = (
     rf"(?<!{SECRET})(?={SECRET}{{16}})(?<=(?i:{SECRET_NAME})[\"']?[\x20\t]{{0,3}}(?:[:=]|:=|=>)[\x20\t]{{0,3}}[\"']?)"
     rf"{SECRET}++={{0,2}}+"
 )
+#: Words that announce a made-up value; as a part of an address or a name they don't.
+NO_SECRET = r"(?<![\w.@-])(?:example|placeholder|dummy|sample)(?![\w.@-])"
 # The public forms of keys that carry their issuer's prefix, signed web tokens and private key blocks.
 KEY_PATTERN = (
     "(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36}(?![0-9A-Za-z])"
@@ -149,8 +151,8 @@ KINDS = [
     Kind("iban", iban_pattern(), mod97, 0.8, "iban|account|konto|cuenta|compte"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", always, 0.3, r"\bssn\b|social security", needs="-"),
     Kind("dni", r"(?<![A-Za-z0-9])[0-9]{8}[A-Z](?![A-Za-z0-9])", dni_letter, 0.4, r"\bdni\b|\bnif\b|identidad|identity", "serial|order|part"),
-    Kind("secret", SECRET_PATTERN, mixed, 0.6, "bearer|auth|login|secret|private", "example|placeholder|dummy|sample"),
-    Kind("key", KEY_PATTERN, always, 0.9, "key|token|secret|private", "example|placeholder|dummy|sample"),
+    Kind("secret", SECRET_PATTERN, mixed, 0.6, "bearer|auth|login|secret|private", NO_SECRET),
+    Kind("key", KEY_PATTERN, always, 0.9, "key|token|secret|private", NO_SECRET),
 ]
 
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,text:string,score:double>"

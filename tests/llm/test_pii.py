@@ -129,11 +129,13 @@ def test_keys(spark):
         (5, "-----BEGIN PUBLIC KEY-----"),
         (6, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJlMTIz"),
         (7, "the token of the password: internationalisation"),
+        (8, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" a@mail.example.com'),
+        (9, 'example token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = pii.find_pii(df).select("doc_id", pii.listed(F.col("pii")).alias("spans")).collect()
     assert {r["doc_id"]: r["spans"] for r in found} == {
-        1: "key:4:24", 2: "", 3: "key:0:31", 4: "key:0:40", 5: "", 6: "key:0:57", 7: "",
+        1: "key:4:24", 2: "", 3: "key:0:31", 4: "key:0:40", 5: "", 6: "key:0:57", 7: "", 8: "secret:9:49,email:51:69", 9: "",
     }
     cleaned = pii.redact(pii.find_pii(df)).where("doc_id = 1").first()["text"]
     assert cleaned == "use [KEY] here"
