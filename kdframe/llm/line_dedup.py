@@ -11,8 +11,8 @@ stays.
 SimHashes find the tight copies cheaply, but few pairs near the limit. ``complete`` adds a net that loses
 none: two lines of at least the similarity have so many words in common that their rarest ones share one
 (of a line of n words, the floor of its share of edits and one more). Length, and the parities of the words'
-bits, prune pairs on narrow rows; what is left is tested like all others. The order of words is a sample's
-count and a hash; a wrong count costs time, never a pair.
+bits, prune pairs on narrow rows; what is left is tested like all others. The order of words is their count
+in all texts, where words that share a counter are counted together, and a hash.
 
 Lines of more than ``UNIT`` characters are handled in units of that length, cut at spaces, so that a
 line of any length costs a bounded edit distance.
@@ -46,7 +46,6 @@ SIMILARITY = 80
 SIMHASH_UNITS = 256
 HASHED_BYTES = 1 << 20  # text whose words are hashed together, at some 50 bytes for each of its bytes
 COUNT_SLOTS = 1 << 20  # counters of word hashes
-COUNT_SHARE = 8  # one row in so many is counted
 NET_UNITS = 1 << 19  # units that are sorted at a time
 BUCKET_MEMBERS = 20_000
 SKETCH_BITS = 1024  # of the words of a unit, to decide on pairs before their words are fetched
@@ -124,8 +123,7 @@ def digests(parts: list[str], word_byte: np.ndarray = LETTER, rarity: np.ndarray
 
 
 def rarities(rows: DataFrame) -> np.ndarray:
-    """For each counter of word hashes, 128 times the logarithm of its words' count in a sample of (row, text)."""
-    sample = rows.where(F.pmod(F.xxhash64("row.key"), F.lit(COUNT_SHARE)) == 0).select("text")
+    """For each counter of word hashes, 128 times the logarithm of its words' count in all of (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNT_SLOTS, dtype=np.int64)
@@ -135,10 +133,10 @@ def rarities(rows: DataFrame) -> np.ndarray:
         slot = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
 
-    found = sample.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNT_SLOTS)
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return np.minimum(128 * np.log2(1 + COUNT_SHARE * counts), 4095).astype(np.uint64)
+    return np.minimum(128 * np.log2(1 + counts), 4095).astype(np.uint64)
 
 
 def nets(word: np.ndarray, begin: np.ndarray, rarity: np.ndarray, similarity: int = SIMILARITY) -> pa.StructArray:
