@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session have a bounded size also where rows are whole texts: executors and Python
+    workers hold a few of them for each task, outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+
 def cuts(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges (start, length) of rows that have about ``size`` bytes of text each, or are one row."""
     if len(texts):

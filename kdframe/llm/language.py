@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kdframe.llm.common import column, slices, text_function
+from kdframe.llm.common import bounded_batches, column, slices, text_function
 
 BUCKETS = 1 << 14
 FIT_ROWS = 20_000
@@ -157,6 +157,7 @@ def fit(
 
 def predictor(docs: DataFrame, model: Model) -> Callable[[Column | str], Column]:
     """A column function of a text: ``lang_pred`` and ``score``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -31,11 +31,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kdframe.llm.common import column, mix64, row_key, slices, text_function, unused
+from kdframe.llm.common import bounded_batches, column, mix64, row_key, slices, text_function, unused
 from kdframe.llm.groups import common_members, components, grouped, shared_buckets
 from kdframe.session import broadcast_if_fits, fits, materialize, release
 
@@ -49,6 +48,8 @@ COUNT_SLOTS = 1 << 20  # counters of word hashes
 NET_UNITS = 1 << 19  # units that are sorted at a time
 BUCKET_MEMBERS = 20_000
 SKETCH_BITS = 1024  # of the words of a unit, to decide on pairs before their words are fetched
+SKETCHED_UNITS = 1024
+WIDE_WORDS, WIDE_BYTES = 96, 64  # units of so many words have so much of their sketch beside their net
 PAIRS_AT_ONCE = 1 << 20
 BROADCAST_UNITS = 1_000_000  # numbers of units, and hashes of the wanted ones
 BROADCAST_PAIRS = 1_000_000
@@ -185,20 +186,26 @@ NET = "struct<n:int,odd_a:bigint,odd_b:bigint,keys:array<bigint>>"
 def close_pairs(nodes: DataFrame, similarity: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of different groups that share a rare word and may be similar enough, from (node, group, net).
 
-    ``nearest`` leaves of a bucket's pairs those of each node with the nearest one before and behind it.
+    ``nearest`` leaves of a bucket's pairs those of each node with the nearest one before and behind it. Nodes may have
+    more parities, ``wide``, or null: of two long lines 128 bits tell little.
     """
-    rows = nodes.select("node", "group", "net.n", "net.odd_a", "net.odd_b", F.explode("net.keys").alias("key"))
+    more = [name for name in nodes.columns if name == "wide"]
+    rows = nodes.select("node", "group", "net.n", "net.odd_a", "net.odd_b", *more, F.explode("net.keys").alias("key"))
     cells = F.shiftright("key", 32).cast("int")
     block = F.pmod(F.xxhash64("node"), cells).cast("int")
     other = F.explode(F.sequence(F.lit(0), cells - 1))
     dealt = rows.withColumn("block", block).withColumn("other", other)
     dealt = dealt.withColumn("key", F.when(cells == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))))
-    ordered = dealt.select("key", "n", "node", "group", "odd_a", "odd_b").repartition("key").sortWithinPartitions("key", "n")
+    ordered = dealt.select("key", "n", "node", "group", "odd_a", "odd_b", *more).repartition("key").sortWithinPartitions("key", "n")
 
     def paired(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, n, node, group, odd_a, odd_b = (table.column(i).to_numpy() for i in range(6))
         odd_a, odd_b = odd_a.view(np.uint64), odd_b.view(np.uint64)
         most = n.astype(np.int64) * (100 - similarity) // 100
+        wide = table.column(6).combine_chunks() if more else pa.nulls(len(key), pa.binary())
+        has = wide.is_valid().to_numpy(zero_copy_only=False)
+        place, bits = np.cumsum(has) - 1, wide.drop_null().to_pylist()
+        bits = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(bits), -1) if bits else None
         found: list = []
         held = 0
 
@@ -220,7 +227,11 @@ def close_pairs(nodes: DataFrame, similarity: int, nearest: bool) -> DataFrame:
             fits = (key[i] == key[j]) & (n[i] >= n[j] - most[j])
             i, j = i[fits], j[fits]
             far = np.bitwise_count(odd_a[i] ^ odd_a[j]).astype(np.int64) + np.bitwise_count(odd_b[i] ^ odd_b[j])
-            close = (far <= n[i] - n[j] + 2 * most[j]) & (group[i] != group[j]) & (node[i] != node[j])
+            apart = n[i] - n[j] + 2 * most[j]
+            close = (far <= apart) & (group[i] != group[j]) & (node[i] != node[j])
+            both = np.flatnonzero(close & has[i] & has[j])
+            if len(both):
+                close[both] = np.bitwise_count(bits[place[i[both]]] ^ bits[place[j[both]]]).sum(axis=1, dtype=np.int64) <= apart[both]
             if close.any():
                 found.append((i[close], j[close], far[close]))
                 held += int(close.sum())
@@ -358,10 +369,30 @@ def close_units(similarity: int):
     return prepare
 
 
+def sketches(word: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """For units of so many words each, parities of ``SKETCH_BITS`` bits of their words: two units differ in at most as
+    many as they have different words."""
+    out = []
+    ends = np.cumsum(count)
+    for at in range(0, len(count), SKETCHED_UNITS):
+        own = count[at : at + SKETCHED_UNITS]
+        unit = np.repeat(np.arange(len(own)), own)
+        words = word[ends[at] - own[0] : ends[at + len(own) - 1]].view(np.uint64)
+        # a word that repeats is another one each time
+        order = np.lexsort((words, unit))
+        ranked = words[order]
+        begin = np.flatnonzero((np.diff(ranked, prepend=~ranked[:1]) != 0) | (np.diff(unit, prepend=-1) != 0))
+        nth = np.arange(len(ranked)) - np.repeat(begin, np.diff(np.append(begin, len(ranked))))
+        token = mix64(ranked + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        bits = unit * SKETCH_BITS + (token % np.uint64(SKETCH_BITS)).astype(np.int64)
+        odd = np.bincount(bits, minlength=len(own) * SKETCH_BITS).reshape(-1, SKETCH_BITS) & 1
+        out += map(bytes, np.packbits(odd.astype(np.uint8), axis=1))
+    return out
+
+
 def sketch(words: list[int]) -> bytes:
-    """Parities of ``SKETCH_BITS`` bits of the words: two units differ in at most as many as they have different words."""
-    bits = (mix64(bag(words).view(np.uint64)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits(np.bincount(bits, minlength=SKETCH_BITS) & 1).tobytes()
+    """The sketch of a single unit."""
+    return sketches(np.array(words, dtype=np.int64), np.array([len(words)]))[0]
 
 
 def differing_bits(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -408,6 +439,7 @@ def repeated_units(
     docs: DataFrame, *, id_col: str, text_col: str, similarity: int, blocks: int, shared: int, complete: bool
 ) -> DataFrame:
     """Per row key of ``docs``: the numbers of the units to remove (``gone``)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key")).alias("row"), F.col(text_col).alias("text"))
     netted = materialize(occurrences(rows, rarities(rows) if complete else None, similarity))
     firsts = materialize(
@@ -435,10 +467,7 @@ def repeated_units(
     texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     # rows that repeat whole give the same units again
     found = texts.join(places, "key")
-    pick = text_function("array<struct<words:array<bigint>,sketch:binary>>", picked, "array<int>")
-    values = found.select("places", pick("text", F.col("places.unit")).alias("values"))
-    payload = values.select(F.explode(F.arrays_zip(F.col("places").alias("place"), F.col("values").alias("value"))).alias("x"))
-    payload = materialize(payload.select(F.col("x.place.hash").alias("node"), F.col("x.value").alias("value")).dropDuplicates(["node"]))
+    payload = materialize(unit_values(found).dropDuplicates(["node"]))
     similar = links(similarity)
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -461,7 +490,10 @@ def repeated_units(
         # the nearest pairs join most groups; then all pairs across groups are tested
         roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked_pairs(nearest))))
         own = in_net.drop("group").join(in_pairs, "node").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
-        more = materialize(linked_pairs(close_pairs(own, similarity, False)))
+        wide = F.when(F.size("value.words") >= WIDE_WORDS, F.substring("value.sketch", 1, WIDE_BYTES)).alias("wide")
+        pairs = materialize(close_pairs(own.join(payload.select("node", wide), "node"), similarity, False))
+        more = materialize(linked_pairs(pairs))
+        release(pairs)
         if not more.isEmpty():
             roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
     release(payload)
@@ -471,22 +503,39 @@ def repeated_units(
     kept = several.groupBy("root").agg(F.min("first").alias("kept"))
     repeated = alone.union(several.join(kept, "root").select("hash", "kept"))
     gone = materialize(seen.join(repeated, "hash").where(F.struct("row", "unit") != F.col("kept")).select(F.col("row.key").alias("key"), "unit"))
+    for done in (seen, firsts, units_wanted, members, *([nearest] if complete else [])):
+        release(done)
     listed = gone.groupBy("key").agg(F.sort_array(F.collect_set("unit")).alias("gone"))
     return F.broadcast(listed) if fits(gone, BROADCAST_UNITS) else listed.hint("shuffle_hash")
 
 
-def picked() -> Callable[[list, list], list]:
-    """The words, as hashes, of chosen units."""
+def valued(parts: list[str]) -> pa.StructArray:
+    """The words, as hashes, and sketches of units."""
+    word, _, unit = hashed_words(parts)
+    rest = np.setdiff1d(np.arange(len(parts)), unit)
+    if len(rest):
+        more, _, of = hashed_words([parts[i] for i in rest], VISIBLE)
+        word, unit = np.concatenate((word, more)), np.concatenate((unit, rest[of]))
+        order = np.argsort(unit, kind="stable")
+        word, unit = word[order], unit[order]
+    count = np.bincount(unit, minlength=len(parts))
+    words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(word.view(np.int64)))
+    return pa.StructArray.from_arrays([words, pa.array(sketches(word, count), pa.binary())], names=["words", "sketch"])
 
-    def pick(texts: list, numbers: list) -> list:
-        out = []
-        for text, chosen in zip(texts, numbers):
-            own = [u for _, u in units(text or "")]
-            words = [[xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in normal(own[i])] for i in chosen]
-            out.append([{"words": w, "sketch": sketch(w)} for w in words])
-        return out
 
-    return pick
+def unit_values(placed: DataFrame) -> DataFrame:
+    """(node, value) of the chosen units, from (text, places)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "text", HASHED_BYTES)):
+            nodes, parts = [], []
+            for text, places in zip(column(batch, "text"), column(batch, "places")):
+                own = [unit for _, unit in units(text or "")]
+                nodes += [place["hash"] for place in places]
+                parts += [own[place["unit"]] for place in places]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), valued(parts)], names=["node", "value"])
+
+    return placed.select("text", "places").mapInArrow(run, "node long, value struct<words:array<bigint>,sketch:binary>")
 
 
 def removed() -> Callable[[list, list], list]:

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(app: str = "kdframe", cores: int | str = "*", shuffle: int = 8) -> SparkSession:
     """A session for tests and benches. On a cluster, use the session the cluster provides."""
@@ -58,10 +60,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a table in the shared folder, so that lost executors cost no recomputation."""
-    path = fresh_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage with a table in the shared folder, so that lost executors cost no recomputation.
+
+    The shuffle files that it took go as soon as the table is written.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "table")
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(table: DataFrame) -> None:
