@@ -5,8 +5,10 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,13 +115,53 @@ def growing_prefix(chunks: DataFrame) -> DataFrame:
     return kept.select("request_id", "seq", (F.col("_before") + F.length("delta")).alias("prefix_chars"))
 
 
+def delta_runs(chunks: DataFrame) -> DataFrame:
+    """Deltas put together where they lie in line in the input: (request_id, first, text, ends, stopped).
+
+    A run has deltas of one request and part, each with the ``seq`` after the last one's; a stop delta ends it and has no
+    text. ``ends`` is where each delta ends in the text.
+    """
+    rows = chunks.select("request_id", F.col("seq").cast("long").alias("seq"), "delta")
+    border = PART_CHUNKS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            request, seq, delta = batch.columns
+            stop = pc.fill_null(pc.is_in(delta, value_set=pa.array(STOPS, delta.type)), False)
+            text = pc.if_else(stop, "", pc.fill_null(delta, ""))
+            stop = stop.to_numpy(zero_copy_only=False)
+            at, given = pc.fill_null(seq, 0).to_numpy(), seq.is_valid().to_numpy(zero_copy_only=False)
+            new = ~given | (at % border == 0)
+            new[0] = True
+            other = pc.fill_null(pc.not_equal(request[1:], request[:-1]), True).to_numpy(zero_copy_only=False)
+            new[1:] |= other | (at[1:] != at[:-1] + 1) | ~given[:-1] | stop[:-1]
+            starts = np.flatnonzero(new)
+            edges = np.append(starts, len(batch)).astype(np.int32)
+            size = pc.utf8_length(text).to_numpy().astype(np.int32)
+            ends = np.cumsum(size)
+            ends = ends - np.repeat(ends[starts] - size[starts], np.diff(edges))
+            columns = [
+                request.take(pa.array(starts)),
+                seq.take(pa.array(starts)),
+                pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), text), ""),
+                pa.ListArray.from_arrays(pa.array(edges), pa.array(ends.astype(np.int32))),
+                pa.array(stop[edges[1:] - 1]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["request_id", "first", "text", "ends", "stopped"])
+
+    kind = rows.schema["request_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"request_id {kind}, first long, text string, ends array<int>, stopped boolean")
+
+
 def final_text(chunks: DataFrame) -> DataFrame:
-    """The assembled text of every request, put together in parts and then from parts.
+    """The assembled text of every request, put together in runs, parts and then from parts.
 
     Each part ends at its first stop delta, and the text ends with the first part that has one.
-    Requests with no text at all are left out.
+    Requests with no text at all are left out. Where runs of a part overlap, as deltas are sent twice or lie in another
+    order, they are taken apart again.
     """
-    stop = F.col("delta").isin(*STOPS)
 
     def joined(parts: Column) -> Column:
         """Concatenate up to and including the first stopped part."""
@@ -127,16 +169,27 @@ def final_text(chunks: DataFrame) -> DataFrame:
         upto = F.when(first > 0, F.slice(parts, F.lit(1), first)).otherwise(parts)
         return F.array_join(F.transform(upto, lambda p: p["text"]), "")
 
-    one = F.struct("seq", F.when(stop, "").otherwise(F.col("delta")).alias("text"), stop.alias("stopped"))
+    def deltas(run: Column) -> Column:
+        def one(end: Column, i: Column) -> Column:
+            start = F.when(i > 0, F.get(run["ends"], i - 1)).otherwise(0)
+            stopped = run["stopped"] & (i == F.size(run["ends"]) - 1)
+            return F.struct((run["first"] + i).alias("seq"), F.substr(run["text"], start + 1, end - start).alias("text"), stopped.alias("stopped"))
+
+        return F.transform(run["ends"], one)
+
+    runs = F.col("_runs")
+    behind = F.zip_with(
+        F.slice(runs, F.lit(1), F.size(runs) - 1),
+        F.slice(runs, F.lit(2), F.size(runs) - 1),
+        lambda a, b: F.coalesce(a["first"] + F.size(a["ends"]) <= b["first"], F.lit(False)),
+    )
+    apart = F.forall(behind, lambda x: x)
+    text = F.when(apart, joined(runs)).otherwise(joined(F.sort_array(F.flatten(F.transform(runs, deltas)))))
     parts = (
-        chunks.groupBy("request_id", F.floor(F.col("seq") / PART_CHUNKS).alias("part"))
-        .agg(F.sort_array(F.collect_list(one)).alias("_deltas"))
-        .select(
-            "request_id",
-            F.struct(
-                "part", joined(F.col("_deltas")).alias("text"), F.exists("_deltas", lambda d: d["stopped"]).alias("stopped")
-            ).alias("_part"),
-        )
+        delta_runs(chunks)
+        .groupBy("request_id", F.floor(F.col("first") / PART_CHUNKS).alias("part"))
+        .agg(F.sort_array(F.collect_list(F.struct("first", "text", "stopped", "ends"))).alias("_runs"))
+        .select("request_id", F.struct("part", text.alias("text"), F.exists(runs, lambda r: r["stopped"]).alias("stopped")).alias("_part"))
     )
     whole = parts.groupBy("request_id").agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
     return whole.select("request_id", joined(F.col("_parts")).alias("text")).where(F.length("text") > 0)
