@@ -219,13 +219,13 @@ class Assembly(StatefulProcessor):
 
     def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
-            columns = ["last_seq", "new_text", "prefix_chars", "done", "late"]
-            frame = pd.DataFrame(rows, columns=columns).astype({"prefix_chars": "Int64"})
-            frame.insert(0, "request_id", key[0])
-            yield frame
+            last_seq, new_text, chars, done, late = map(list, zip(*rows))
+            columns = {"request_id": [key[0]] * len(rows), "last_seq": last_seq, "new_text": new_text}
+            columns |= {"prefix_chars": pd.array(chars, dtype="Int64"), "done": done, "late": late}
+            yield pd.DataFrame(columns)
 
-    def _remind(self, latest: int) -> None:
-        if self.due.exists():
+    def _remind(self, latest: int, known: bool) -> None:
+        if known and self.due.exists():
             (before,) = self.due.get()
             if before >= latest + self.idle_ms:
                 return
@@ -234,27 +234,36 @@ class Assembly(StatefulProcessor):
         self.handle.registerTimer(latest + self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        next_seq, chars, done, evicted = self.progress.get() if self.progress.exists() else (0, 0, False, False)
-        fresh: dict[int, str] = {}
-        late: dict[int, str] = {}
+        # of a request that is new nothing waits and nothing is due: that is not asked for
+        known = self.progress.exists()
+        next_seq, chars, done, evicted = self.progress.get() if known else (0, 0, False, False)
+        seqs: list[int] = []
+        deltas: list[str] = []
         latest = 0
         for batch in rows:
             latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
-            given = zip(batch["seq"].tolist(), batch["delta"].tolist())
-            if evicted:
-                late.update((seq, delta) for seq, delta in given if seq >= next_seq)
-            elif not done:
-                # a delta that is sent again after it was given out is dropped
-                fresh.update((seq, delta) for seq, delta in given if seq >= next_seq)
+            seqs += batch["seq"].tolist()
+            deltas += batch["delta"].tolist()
         if evicted or done:
             # after a stop nothing counts; after eviction a delta is told as late, at its place
+            late = {seq: delta for seq, delta in zip(seqs, deltas) if seq >= next_seq} if evicted else {}
             yield from self._rows(key, [(seq, late[seq], None, True, True) for seq in sorted(late)])
             return
         text: list[str] = []
+        fresh: dict[int, str] = {}
+        if seqs == list(range(next_seq, next_seq + len(seqs))):
+            # all come in line, as they mostly do: up to a stop they are taken at once
+            ends = min((deltas.index(stop) for stop in STOPS if stop in deltas), default=None)
+            done = ends is not None
+            text = list(filter(None, deltas[:ends]))
+            next_seq += ends + 1 if done else len(deltas)
+        else:
+            # a delta that is sent again after it was given out is dropped
+            fresh.update((seq, delta) for seq, delta in zip(seqs, deltas) if seq >= next_seq)
         while not done:
             if next_seq in fresh:
                 delta = fresh.pop(next_seq)
-            elif self.waiting.containsKey((next_seq,)):
+            elif known and self.waiting.containsKey((next_seq,)):
                 (delta,) = self.waiting.getValue((next_seq,))
                 self.waiting.removeKey((next_seq,))
             else:
@@ -264,12 +273,12 @@ class Assembly(StatefulProcessor):
             text += [] if done else [delta or ""]
         joined = "".join(text)
         chars += len(joined)
-        if done:
-            self.waiting.clear()
-        else:
+        if not done:
             for seq, delta in fresh.items():
                 self.waiting.updateValue((seq,), (delta,))
-            self._remind(latest)
+            self._remind(latest, known)
+        elif known:
+            self.waiting.clear()
         self.progress.update((next_seq, chars, done, False))
         if joined or done:
             yield from self._rows(key, [(next_seq - 1, joined, chars, done, False)])
