@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ NET_UNITS = 1 << 19  # units that are sorted at a time
 BUCKET_MEMBERS = 20_000
 SKETCH_BITS = 1024  # of the words of a unit, to decide on pairs before their words are fetched
 SKETCHED_UNITS = 1024
-WIDE_WORDS, WIDE_BYTES = 96, 64  # units of so many words have so much of their sketch beside their net
+WIDE_WORDS, WIDE_BYTES = 96, 64  # a unit of twice so many words has so many bytes of parities beside its net: ``wide``
 PAIRS_AT_ONCE = 1 << 20
 BROADCAST_UNITS = 1_000_000  # numbers of units, and hashes of the wanted ones
 BROADCAST_PAIRS = 1_000_000
@@ -104,14 +105,14 @@ def hashed_words(parts: list[str], word_byte: np.ndarray = LETTER) -> tuple[np.n
 
 def digests(parts: list[str], word_byte: np.ndarray = LETTER, rarity: np.ndarray | None = None, similarity: int = SIMILARITY) -> tuple:
     """Numbers of the units that have words, and the hashes and SimHashes of their words; with ``rarity``, also
-    their nets.
+    their nets and wide parities.
 
     A unit's hash is a sum of its words' hashes mixed with their places.
     """
     word, size, unit = hashed_words(parts, word_byte)
     if not len(word):
         empty = tuple(np.empty(0, dtype=np.int64) for _ in range(3))
-        return empty if rarity is None else (*empty, nets(word, np.empty(0, dtype=np.int64), rarity, similarity))
+        return empty if rarity is None else (*empty, *nets(word, np.empty(0, dtype=np.int64), rarity, similarity))
     begin = np.flatnonzero(np.diff(unit, prepend=-1))
     numbers = unit[begin].astype(np.int64)
     nth = np.arange(len(word)) - np.repeat(begin, np.diff(np.append(begin, len(word))))
@@ -120,7 +121,7 @@ def digests(parts: list[str], word_byte: np.ndarray = LETTER, rarity: np.ndarray
     votes = (size >= SHORTEST) | ~np.repeat(np.maximum.reduceat(size, begin) >= SHORTEST, np.diff(np.append(begin, len(word))))
     voters = np.flatnonzero(np.diff(unit[votes], prepend=-1))
     found = numbers, whole.view(np.int64), simhashes(word[votes], np.minimum(size, HEAVIEST)[votes], voters)
-    return found if rarity is None else (*found, nets(word, begin, rarity, similarity))
+    return found if rarity is None else (*found, *nets(word, begin, rarity, similarity))
 
 
 def rarities(rows: DataFrame) -> np.ndarray:
@@ -140,8 +141,9 @@ def rarities(rows: DataFrame) -> np.ndarray:
     return np.minimum(128 * np.log2(1 + counts), 4095).astype(np.uint64)
 
 
-def nets(word: np.ndarray, begin: np.ndarray, rarity: np.ndarray, similarity: int = SIMILARITY) -> pa.StructArray:
-    """Of each unit the number of its words, the parities of 128 bits of them, and the keys of its rarest words.
+def nets(word: np.ndarray, begin: np.ndarray, rarity: np.ndarray, similarity: int = SIMILARITY) -> tuple[pa.StructArray, pa.Array]:
+    """Of each unit the number of its words, the parities of 128 bits of them, and the keys of its rarest words; and
+    the wide parities, more of them for longer units, none for those of less than ``WIDE_WORDS``.
 
     A key has the word's hash in its low half, above it the number of cells that its bucket is dealt to.
     """
@@ -176,36 +178,63 @@ def nets(word: np.ndarray, begin: np.ndarray, rarity: np.ndarray, similarity: in
             *(pa.array(x.view(np.int64)) for x in odd),
             pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys)),
         ]
-        parts.append(pa.StructArray.from_arrays(columns, names=["n", "odd_a", "odd_b", "keys"]))
-    return pa.concat_arrays(parts)
+        parts.append((pa.StructArray.from_arrays(columns, names=["n", "odd_a", "odd_b", "keys"]), wide_parities(token, count)))
+    return tuple(pa.concat_arrays(x) for x in zip(*parts))
+
+
+def wide_parities(token: np.ndarray, count: np.ndarray) -> pa.Array:
+    """For units of so many words each: the parities of a number of bits that is a power of two and over the number of
+    words. Those of a longer unit, folded, compare with those of a shorter one."""
+    width = np.where(count < WIDE_WORDS, 0, (4 * WIDE_BYTES) << ((count >= 2 * WIDE_WORDS) + 1 * (count >= 4 * WIDE_WORDS)))
+    edges = np.append(0, np.cumsum(width))
+    last = np.repeat(width - 1, count)
+    place = np.repeat(edges[:-1], count) + ((token >> np.uint64(41)).astype(np.int64) & last)
+    odd = np.bincount(place[last >= 0], minlength=edges[-1]) & 1
+    data = np.packbits(odd.astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer((edges // 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def folded(wide: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of the wide parities, from the shortest: the places of all that are as long, or -1, and these,
+    folded to that length."""
+    length = pc.fill_null(pc.binary_length(wide), 0).to_numpy(zero_copy_only=False)
+    own = {int(n): np.flatnonzero(length == n) for n in np.unique(length[length > 0])}
+    bits = {n: np.frombuffer(b"".join(wide.take(pa.array(at)).to_pylist()), dtype=np.uint64) for n, at in own.items()}
+    found = []
+    for size in own:
+        longer = [n for n in own if n >= size]
+        place = np.full(len(length), -1)
+        place[np.concatenate([own[n] for n in longer])] = np.arange((length >= size).sum())
+        parts = [np.bitwise_xor.reduce(bits[n].reshape(-1, n // size, size // 8), axis=1) for n in longer]
+        found.append((place, np.concatenate(parts)))
+    return found
 
 
 NET = "struct<n:int,odd_a:bigint,odd_b:bigint,keys:array<bigint>>"
 
 
 def close_pairs(nodes: DataFrame, similarity: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of different groups that share a rare word and may be similar enough, from (node, group, net).
+    """Pairs (a, b) of different groups that share a rare word and may be similar enough, from (node, net). ``nodes`` may
+    have a ``group``; else each is one of its own.
 
     ``nearest`` leaves of a bucket's pairs those of each node with the nearest one before and behind it. Nodes may have
     more parities, ``wide``, or null: of two long lines 128 bits tell little.
     """
-    more = [name for name in nodes.columns if name == "wide"]
-    rows = nodes.select("node", "group", "net.n", "net.odd_a", "net.odd_b", *more, F.explode("net.keys").alias("key"))
+    more = [name for name in nodes.columns if name in ("group", "wide")]
+    rows = nodes.select("node", "net.n", "net.odd_a", "net.odd_b", *more, F.explode("net.keys").alias("key"))
     cells = F.shiftright("key", 32).cast("int")
     block = F.pmod(F.xxhash64("node"), cells).cast("int")
     other = F.explode(F.sequence(F.lit(0), cells - 1))
     dealt = rows.withColumn("block", block).withColumn("other", other)
     dealt = dealt.withColumn("key", F.when(cells == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))))
-    ordered = dealt.select("key", "n", "node", "group", "odd_a", "odd_b", *more).repartition("key").sortWithinPartitions("key", "n")
+    ordered = dealt.select("key", "n", "node", "odd_a", "odd_b", *more).repartition("key").sortWithinPartitions("key", "n")
 
     def paired(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, n, node, group, odd_a, odd_b = (table.column(i).to_numpy() for i in range(6))
+        key, n, node, odd_a, odd_b = (table.column(i).to_numpy() for i in range(5))
+        group = table.column("group").to_numpy() if "group" in more else node
         odd_a, odd_b = odd_a.view(np.uint64), odd_b.view(np.uint64)
         most = n.astype(np.int64) * (100 - similarity) // 100
-        wide = table.column(6).combine_chunks() if more else pa.nulls(len(key), pa.binary())
-        has = wide.is_valid().to_numpy(zero_copy_only=False)
-        place, bits = np.cumsum(has) - 1, wide.drop_null().to_pylist()
-        bits = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(bits), -1) if bits else None
+        wider = folded(table.column("wide").combine_chunks()) if "wide" in more else []
         found: list = []
         held = 0
 
@@ -229,8 +258,8 @@ def close_pairs(nodes: DataFrame, similarity: int, nearest: bool) -> DataFrame:
             far = np.bitwise_count(odd_a[i] ^ odd_a[j]).astype(np.int64) + np.bitwise_count(odd_b[i] ^ odd_b[j])
             apart = n[i] - n[j] + 2 * most[j]
             close = (far <= apart) & (group[i] != group[j]) & (node[i] != node[j])
-            both = np.flatnonzero(close & has[i] & has[j])
-            if len(both):
+            for place, bits in wider:
+                both = np.flatnonzero(close & (place[i] >= 0) & (place[j] >= 0))
                 close[both] = np.bitwise_count(bits[place[i[both]]] ^ bits[place[j[both]]]).sum(axis=1, dtype=np.int64) <= apart[both]
             if close.any():
                 found.append((i[close], j[close], far[close]))
@@ -279,6 +308,24 @@ def distance(a: list, b: list) -> int:
     return score
 
 
+def near(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether the edit distance is at most ``most``. Words that are equal place by place may prove it; those that are
+    equal at both ends don't count."""
+    least = min(len(a), len(b))
+    same = a[:least] == b[:least]
+    if len(a) == len(b) and least - np.count_nonzero(same) <= most:
+        return True
+    first = least if same.all() else int(same.argmin())
+    least -= first
+    same = a[len(a) - least :][::-1] == b[len(b) - least :][::-1]
+    behind = least if same.all() else int(same.argmin())
+    x, y = a[first : len(a) - behind].tolist(), b[first : len(b) - behind].tolist()
+    longest = max(len(x), len(y))
+    if longest <= most:
+        return True
+    return longest - (Counter(x) & Counter(y)).total() <= most and distance(x, y) <= most
+
+
 def bag(words: list[int]) -> np.ndarray:
     """Words as a set in which a repeated word is another one each time."""
     order = np.argsort(np.array(words, dtype=np.int64), kind="stable")
@@ -306,7 +353,7 @@ def simhashes(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np
 
 
 def occurrences(docs: DataFrame, rarity: np.ndarray | None = None, similarity: int = SIMILARITY) -> DataFrame:
-    """(row, unit, hash, sim) of all units with words, from (row, text); with ``rarity``, also their nets."""
+    """(row, unit, hash, sim) of all units with words, from (row, text); with ``rarity``, also their nets and wide parities."""
     told = None if rarity is None else docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,10 +379,10 @@ def occurrences(docs: DataFrame, rarity: np.ndarray | None = None, similarity: i
                 pa.array(sims),
                 *net,
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "unit", "hash", "sim", "net"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "unit", "hash", "sim", "net", "wide"][: len(columns)])
 
     kind = f"row {docs.schema['row'].dataType.simpleString()}, unit int, hash long, sim long"
-    return docs.mapInArrow(run, kind if rarity is None else f"{kind}, net {NET}")
+    return docs.mapInArrow(run, kind if rarity is None else f"{kind}, net {NET}, wide binary")
 
 
 def block_keys(sim: str, blocks: int, shared: int) -> Column:
@@ -426,10 +473,10 @@ def links(similarity: int) -> Callable[..., Column]:
         sizes = [np.diff(w.offsets.to_numpy()).astype(np.int64) for w in (words_a, words_b)]
         most, apart = bounds(sizes, similarity)
         passed = differing_bits(a.to_pylist(), b.to_pylist()) <= apart
+        edges_a, edges_b = words_a.offsets.to_numpy(), words_b.offsets.to_numpy()
+        all_a, all_b = words_a.values.to_numpy(), words_b.values.to_numpy()
         for i in np.flatnonzero(passed):
-            x, y = words_a[i].as_py(), words_b[i].as_py()
-            common = (Counter(x) & Counter(y)).total()
-            passed[i] = max(len(x), len(y)) - common <= most[i] and distance(x, y) <= most[i]
+            passed[i] = near(all_a[edges_a[i] : edges_a[i + 1]], all_b[edges_b[i] : edges_b[i + 1]], most[i])
         return pa.array(passed)
 
     return test
@@ -454,7 +501,7 @@ def repeated_units(
     members = shared_buckets(firsts.select(F.explode(block_keys("sim", blocks, shared)).alias("key"), F.col("hash").alias("node")))
     wanted = members.select("node").union(members.select("hub"))
     if complete:
-        in_net = firsts.where(F.size("net.keys") > 0).select(F.col("hash").alias("node"), F.col("hash").alias("group"), "net")
+        in_net = firsts.where(F.size("net.keys") > 0).select(F.col("hash").alias("node"), "net", "wide")
         nearest = materialize(close_pairs(in_net, similarity, True))
         in_pairs = nearest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = wanted.union(in_pairs)
@@ -489,15 +536,14 @@ def repeated_units(
     if complete:
         # the nearest pairs join most groups; then all pairs across groups are tested
         roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked_pairs(nearest))))
-        own = in_net.drop("group").join(in_pairs, "node").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
-        wide = F.when(F.size("value.words") >= WIDE_WORDS, F.substring("value.sketch", 1, WIDE_BYTES)).alias("wide")
-        pairs = materialize(close_pairs(own.join(payload.select("node", wide), "node"), similarity, False))
+        own = in_net.join(in_pairs, "node").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
+        pairs = materialize(close_pairs(own.drop("root"), similarity, False))
         more = materialize(linked_pairs(pairs))
         release(pairs)
         if not more.isEmpty():
             roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
     release(payload)
-    named = firsts.join(roots.withColumnRenamed("node", "hash"), "hash", "left").drop("sim", "net")
+    named = firsts.join(roots.withColumnRenamed("node", "hash"), "hash", "left").drop("sim", "net", "wide")
     alone = named.where("root is null and n > 1").select("hash", F.col("first").alias("kept"))
     several = named.where("root is not null")
     kept = several.groupBy("root").agg(F.min("first").alias("kept"))
