@@ -45,12 +45,12 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
         yield batch.slice(start, length)
 
 
-def text_function(kind: str, make: Callable[[], Callable[..., list]], *more: str) -> Callable[..., Column]:
+def text_function(kind: str, make: Callable[[], Callable[..., list]], *more: str, once: bool = False) -> Callable[..., Column]:
     """A column function of a text, and of columns of the types ``more``, that runs in Python on Arrow batches.
 
     ``make`` is called once in a task and returns a function from a list of texts, of a bounded total
     length (and lists of the other columns' values), to a list of values of type ``kind``. The row's
-    other columns stay in the JVM.
+    other columns stay in the JVM. With ``once``, conditions on the value don't compute it anew.
     """
     arrow = to_arrow_type(_parse_datatype_string(kind))
 
@@ -68,7 +68,8 @@ def text_function(kind: str, make: Callable[[], Callable[..., list]], *more: str
         for columns in batches:
             yield answers(apply, columns)
 
-    return F.arrow_udf(several if more else one, kind)
+    function = F.arrow_udf(several if more else one, kind)
+    return function.asNondeterministic() if once else function
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

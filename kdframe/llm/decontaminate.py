@@ -284,7 +284,7 @@ def find_hits(
 
             return scan
 
-        return text_function(HITS, make)
+        return text_function(HITS, make, once=True)
 
     n_blocks, dealt = blocks(items, block_words, window)
     if n_blocks == 1:

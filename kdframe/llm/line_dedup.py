@@ -623,7 +623,7 @@ def dedup_lines(
     key, out = unused("_key", docs), unused("_gone", docs)
     gone = gone.withColumnsRenamed({"key": key, "gone": out})
     joined = docs.withColumn(key, row_key(id_col, text_col)).join(gone, key, "left")
-    remove = text_function("string", removed, "array<int>")
+    remove = text_function("string", removed, "array<int>", once=True)
     cleaned = joined.withColumn(text_col, F.coalesce(remove(text_col, F.col(out)), text_col))
     if removed_col:
         cleaned = cleaned.withColumn(removed_col, F.coalesce(F.size(out), F.lit(0)).cast("long"))

@@ -15,12 +15,12 @@ import base64
 import bisect
 import functools
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,6 +33,8 @@ WINDOW = 1024
 GROUP_ITEMS = 1024
 #: Most ids of a part. Smaller parts make the windows more equal, and more pieces.
 CUT = 256
+#: Text bytes that are encoded at a time.
+ENCODED_BYTES = 1 << 20
 
 #: Characters of which both libraries have the same classes; other texts go to the slower one.
 COMMON = re.compile("[^\x00-ɏ‐-‧€]")
@@ -45,21 +47,26 @@ PIECE = "doc_id {id}, start long, length long, ids array<int>, ids_crc32 long, d
 
 @functools.lru_cache(maxsize=2)
 def encoder(definition: bytes, ranks: bytes | None) -> Callable[[str], np.ndarray]:
-    """Token ids of a text. With ``ranks``, the same vocabulary as byte ranks, usual texts take the faster library."""
-    from tokenizers import Tokenizer
+    """Token ids of a text. With ``ranks``, the same vocabulary as byte ranks, usual texts take the faster library; the
+    other one, which takes more memory, is loaded for the first text that needs it."""
+
+    @functools.cache
+    def exact():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(definition.decode())
 
-    exact = Tokenizer.from_str(definition.decode())
     if ranks is None:
-        return lambda text: np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+        return lambda text: np.array(exact().encode(text, add_special_tokens=False).ids, dtype=np.int32)
     import tiktoken
 
     merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-    special = {t.content: i for i, t in exact.get_added_tokens_decoder().items()}
+    special = {t["content"]: t["id"] for t in json.loads(definition)["added_tokens"]}
     fast = tiktoken.Encoding("ranks", pat_str=PRETOKENS, mergeable_ranks=merges, special_tokens=special)
 
     def encode(text: str) -> np.ndarray:
         if COMMON.search(text):
-            return np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+            return np.array(exact().encode(text, add_special_tokens=False).ids, dtype=np.int32)
         return fast.encode_to_numpy(text, allowed_special="all").astype(np.int32)
 
     return encode
@@ -94,7 +101,7 @@ def tokenize(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*shared.value)
         serial = TaskContext.get().partitionId() << 40
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", ENCODED_BYTES)):
             source, starts, lengths, kept, sums, totals = [], [], [], [], [], []
             for i, text in enumerate(column(batch, "text")):
                 ids = np.append(encode(text or ""), np.int32(separator))
@@ -231,21 +238,29 @@ def pack(pieces: DataFrame, *, window: int = WINDOW, group_items: int = GROUP_IT
     kind = pieces.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("serial", ignore_index=True)
-        rows = []
-        for item, start, size, at, offset in fill(frame["length"].to_numpy(), window):
-            ids = frame["ids"][item][start : start + size]
-            first = int(frame["start"][item]) + start
-            rows.append(
-                (frame["doc_id"][item], first, size, ids, crc(ids), frame["doc_tokens"][item], (key[0] << 20 | at) * 2, offset)
-            )
-        return pd.DataFrame(rows, columns=names).astype({"doc_id": frame["doc_id"].dtype})
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("serial")
+        found = fill(rows.column("length").to_numpy(), window)
+        item, start, size, at, offset = np.array(found, dtype=np.int64).reshape(-1, 5).T
+        ids = rows.column("ids").combine_chunks()
+        values, edges = ids.values.to_numpy(), np.append(0, np.cumsum(size))
+        own = values[np.repeat(ids.offsets.to_numpy()[item] + start - edges[:-1], size) + np.arange(edges[-1])]
+        columns = [
+            rows.column("doc_id").take(pa.array(item)),
+            pa.array(rows.column("start").to_numpy()[item] + start),
+            pa.array(size),
+            pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(own)),
+            pa.array([crc(own[a:b]) for a, b in zip(edges, edges[1:])], pa.int64()),
+            rows.column("doc_tokens").take(pa.array(item)),
+            pa.array((key[0].as_py() << 20 | at) * 2),
+            pa.array(offset),
+        ]
+        return pa.table(columns, names=names)
 
     # multiplying by an odd number spreads a partition's serial numbers over all groups
     dealt = rest.withColumn("group", F.pmod(F.col("serial") + F.shiftright("serial", 40) * F.lit(7919), F.lit(groups)))
     schema = f"{PIECE.format(id=kind)}, sequence_id long, offset long"
-    packed = dealt.groupBy("group").applyInPandas(run, schema)
+    packed = dealt.groupBy("group").applyInArrow(run, schema)
     whole = pieces.where(F.col("length") == window).select(
         *names[:6], (F.col("serial") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
