@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ PROBE_EVERY = 100
 PART_CHUNKS = 4096
 IDLE = "1 hour"
 FOLDED_ROWS = 64
+RUN_MICROS = 1_000_000
+BUCKETS = 4096
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -199,6 +202,68 @@ ASSEMBLED = "request_id long, last_seq long, new_text string, prefix_chars long,
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def arrived_runs(chunks: DataFrame) -> DataFrame:
+    """Deltas put together as they arrive: (request, first, text, ends, at, ts), so that few rows reach the state.
+
+    A run has deltas of one request, in line by ``seq`` and of one second; a stop delta and one without a text are runs
+    of their own. ``ends`` is where each delta ends in the text, ``ts`` the newest time and ``at`` its milliseconds.
+    A delta without a ``seq`` counts as one before the first. Deltas of an Arrow batch need not lie in order.
+    """
+    rows = chunks.select(F.col("request_id").cast("long"), F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"), "delta", "ts")
+    names = ["request", "first", "text", "ends", "at", "ts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            owner = pc.fill_null(batch.column(0).dictionary_encode().indices, -1).to_numpy()
+            at = batch.column(1).to_numpy()
+            if np.any((owner[1:] < owner[:-1]) | ((owner[1:] == owner[:-1]) & (at[1:] < at[:-1]))):
+                order = np.lexsort((at, owner))  # equal ones stay as they came
+                batch, owner, at = batch.take(pa.array(order)), owner[order], at[order]
+            request, seq, delta, ts = batch.columns
+            timed = ts.is_valid().to_numpy(zero_copy_only=False)
+            time = pc.fill_null(ts.cast(pa.int64()), -1).to_numpy()
+            alone = pc.fill_null(pc.is_in(delta, value_set=pa.array(STOPS, delta.type)), False)
+            alone = pc.or_(alone, delta.is_null()).to_numpy(zero_copy_only=False)
+            new = np.ones(len(batch), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1) | alone[1:] | alone[:-1]
+            new[1:] |= (time[1:] // RUN_MICROS != time[:-1] // RUN_MICROS) | (timed[1:] != timed[:-1])
+            starts = np.flatnonzero(new)
+            edges = np.append(starts, len(batch)).astype(np.int32)
+            size = pc.fill_null(pc.utf8_length(delta), 0).to_numpy().astype(np.int32)
+            ends = np.cumsum(size)
+            ends = (ends - np.repeat(ends[starts] - size[starts], np.diff(edges))).astype(np.int32)
+            newest = np.maximum.reduceat(time, starts)
+            columns = [
+                request.take(pa.array(starts)).cast(pa.string()),
+                seq.take(pa.array(starts)),
+                pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), delta), ""),
+                pa.ListArray.from_arrays(pa.array(edges), pa.array(ends)),
+                pa.array(newest // 1000),
+                pa.array(newest, mask=~timed[starts]).cast(ts.type),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kind = rows.schema["ts"].dataType.simpleString()
+    return rows.mapInArrow(run, f"request string, first long, text string, ends array<int>, at long, ts {kind}")
+
+
+def _deltas(runs: list[tuple]) -> Iterator[tuple[int, str | None]]:
+    """The deltas of runs with their ``seq``, as they came."""
+    for first, text, ends in runs:
+        start = 0
+        for i, end in enumerate(ends):
+            yield first + i, None if text is None else text[start:end]
+            start = end
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    request, last_seq, new_text, chars, done, late = map(list, zip(*rows))
+    columns = {"request_id": pd.array(request, dtype="Int64"), "last_seq": last_seq, "new_text": new_text}
+    return pd.DataFrame(columns | {"prefix_chars": pd.array(chars, dtype="Int64"), "done": done, "late": late})
+
+
 class Assembly(StatefulProcessor):
     """The readable text of one request.
 
@@ -217,13 +282,6 @@ class Assembly(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "seq long", "delta string")
         self.due = handle.getValueState("due", "at long")
 
-    def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        if rows:
-            last_seq, new_text, chars, done, late = map(list, zip(*rows))
-            columns = {"request_id": [key[0]] * len(rows), "last_seq": last_seq, "new_text": new_text}
-            columns |= {"prefix_chars": pd.array(chars, dtype="Int64"), "done": done, "late": late}
-            yield pd.DataFrame(columns)
-
     def _remind(self, latest: int, known: bool) -> None:
         if known and self.due.exists():
             (before,) = self.due.get()
@@ -233,33 +291,29 @@ class Assembly(StatefulProcessor):
         self.due.update((latest + self.idle_ms,))
         self.handle.registerTimer(latest + self.idle_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def take(self, runs: list[tuple], latest: int) -> list[tuple]:
+        """Rows (last_seq, new_text, prefix_chars, done, late) for runs (first, text, ends) up to the time ``latest``."""
         # of a request that is new nothing waits and nothing is due: that is not asked for
         known = self.progress.exists()
         next_seq, chars, done, evicted = self.progress.get() if known else (0, 0, False, False)
-        seqs: list[int] = []
-        deltas: list[str] = []
-        latest = 0
-        for batch in rows:
-            latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
-            seqs += batch["seq"].tolist()
-            deltas += batch["delta"].tolist()
         if evicted or done:
             # after a stop nothing counts; after eviction a delta is told as late, at its place
-            late = {seq: delta for seq, delta in zip(seqs, deltas) if seq >= next_seq} if evicted else {}
-            yield from self._rows(key, [(seq, late[seq], None, True, True) for seq in sorted(late)])
-            return
+            late = {seq: delta for seq, delta in _deltas(runs) if seq >= next_seq} if evicted else {}
+            return [(seq, late[seq], None, True, True) for seq in sorted(late)]
         text: list[str] = []
-        fresh: dict[int, str] = {}
-        if seqs == list(range(next_seq, next_seq + len(seqs))):
+        fresh: dict[int, str | None] = {}
+        in_line = sorted(runs, key=lambda run: run[0])
+        if all(run[0] == before for run, before in zip(in_line, accumulate((len(r[2]) for r in in_line), initial=next_seq))):
             # all come in line, as they mostly do: up to a stop they are taken at once
-            ends = min((deltas.index(stop) for stop in STOPS if stop in deltas), default=None)
-            done = ends is not None
-            text = list(filter(None, deltas[:ends]))
-            next_seq += ends + 1 if done else len(deltas)
+            for _, part, ends in in_line:
+                next_seq += len(ends)
+                done = len(ends) == 1 and part in STOPS
+                if done:
+                    break
+                text.append(part or "")
         else:
             # a delta that is sent again after it was given out is dropped
-            fresh.update((seq, delta) for seq, delta in zip(seqs, deltas) if seq >= next_seq)
+            fresh.update((seq, delta) for seq, delta in _deltas(runs) if seq >= next_seq)
         while not done:
             if next_seq in fresh:
                 delta = fresh.pop(next_seq)
@@ -280,14 +334,14 @@ class Assembly(StatefulProcessor):
         elif known:
             self.waiting.clear()
         self.progress.update((next_seq, chars, done, False))
-        if joined or done:
-            yield from self._rows(key, [(next_seq - 1, joined, chars, done, False)])
+        return [(next_seq - 1, joined, chars, done, False)] if joined or done else []
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def evict(self) -> list[tuple]:
+        """Rows, as of ``take``, for what the request still holds when its time is up."""
         next_seq, chars, done, evicted = self.progress.get()
         self.due.clear()
         if done or evicted:
-            return
+            return []
         text = []
         for (seq,), (delta,) in sorted(self.waiting.iterator()):
             next_seq = seq + 1
@@ -297,7 +351,196 @@ class Assembly(StatefulProcessor):
         self.waiting.clear()
         joined = "".join(text)
         self.progress.update((next_seq, chars + len(joined), False, True))
-        yield from self._rows(key, [(next_seq - 1, joined, chars + len(joined), True, False)])
+        return [(next_seq - 1, joined, chars + len(joined), True, False)]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        runs: list[tuple] = []
+        latest = 0
+        for batch in rows:
+            latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
+            runs += [(seq, delta, (len(delta or ""),)) for seq, delta in zip(batch["seq"].tolist(), batch["delta"].tolist())]
+        if found := self.take(runs, latest):
+            yield _frame([(key[0], *row) for row in found])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if found := self.evict():
+            yield _frame([(key[0], *row) for row in found])
+
+    def close(self) -> None:
+        pass
+
+
+class HeldValue:
+    """A value of one request while its bucket works on it."""
+
+    def __init__(self, value: tuple | None):
+        self.value = value
+
+    def exists(self) -> bool:
+        return self.value is not None
+
+    def get(self) -> tuple:
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.value = value
+
+    def clear(self) -> None:
+        self.value = None
+
+
+class HeldWaiting:
+    """The waiting deltas of one request, in the map of its bucket; ``count`` of none saves asking for them."""
+
+    def __init__(self, bucket: Assemblies, request: str | None, count: int, found: list[tuple] = ()):
+        self.bucket, self.request, self.count, self.found = bucket, request, count, found
+
+    def containsKey(self, key: tuple) -> bool:  # noqa: N802
+        return self.count > 0 and self.bucket.waiting.containsKey((self.request, *key))
+
+    def getValue(self, key: tuple) -> tuple:  # noqa: N802
+        return self.bucket.waiting.getValue((self.request, *key))
+
+    def removeKey(self, key: tuple) -> None:  # noqa: N802
+        self.bucket.waiting.removeKey((self.request, *key))
+        self.count -= 1
+
+    def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+        self.count += not self.containsKey(key)
+        self.bucket.waiting.updateValue((self.request, *key), value)
+
+    def iterator(self) -> Iterator[tuple]:
+        return iter(self.found)
+
+    def clear(self) -> None:
+        if self.count:
+            self.bucket.left.add(self.request)
+            self.count = 0
+
+
+class Held:
+    """The handle that ``Assembly`` sees: the states of one request out of those of its bucket."""
+
+    def __init__(self, progress: tuple | None, due: int | None, waiting: HeldWaiting):
+        self.states = {"progress": HeldValue(progress), "due": HeldValue(None if due is None else (due,)), "waiting": waiting}
+
+    def getValueState(self, name: str, schema: str) -> HeldValue:  # noqa: N802
+        return self.states[name]
+
+    def getMapState(self, name: str, key: str, value: str) -> HeldWaiting:  # noqa: N802
+        return self.states[name]
+
+    def registerTimer(self, at: int) -> None:  # noqa: N802
+        """The bucket keeps the timer: what is due is in ``due``."""
+
+    deleteTimer = registerTimer  # noqa: N815
+
+
+class Assemblies(StatefulProcessor):
+    """The readable texts of the requests of one bucket, each by ``Assembly``.
+
+    A call of the processor takes milliseconds and so do the questions to its state, so the requests of a bucket share
+    both. ``open`` and ``closed`` are the progress of each request, ``waiting`` the early deltas of all. One timer, in
+    ``clock`` (0 for none), wakes the bucket at the time its first open request is due, or before that.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "request string", "next_seq long, chars long, due long, early long")
+        self.closed = handle.getMapState("closed", "request string", "next_seq long, chars long, done boolean, evicted boolean")
+        self.waiting = handle.getMapState("waiting", "request string, seq long", "delta string")
+        self.clock = handle.getValueState("clock", "at long")
+        self.left: set[str | None] = set()
+
+    def _work(self, held: Held) -> Assembly:
+        request = Assembly(self.idle_ms)
+        request.init(held)
+        return request
+
+    def _held(self, request: str | None, known: bool) -> tuple[Held, bool]:
+        """What is held of a request, and whether it is open in the state."""
+        if known and (row := self.open.getValue((request,))):
+            next_seq, chars, due, early = row
+            return Held((next_seq, chars, False, False), due, HeldWaiting(self, request, early)), True
+        row = self.closed.getValue((request,)) if known else None
+        return Held(row and tuple(row), None, HeldWaiting(self, request, 0)), False
+
+    def _keep(self, request: str | None, work: Assembly, opened: bool) -> None:
+        next_seq, chars, done, evicted = work.progress.get()
+        if done or evicted:
+            self.closed.updateValue((request,), (next_seq, chars, done, evicted))
+            if opened:
+                self.open.removeKey((request,))
+        else:
+            (due,) = work.due.get()
+            self.open.updateValue((request,), (next_seq, chars, due, work.waiting.count))
+
+    def _sweep(self) -> None:
+        """Remove the waiting deltas of requests that are closed."""
+        if self.left:
+            for key in [key for key in self.waiting.keys() if key[0] in self.left]:
+                self.waiting.removeKey(key)
+            self.left.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        runs: dict[str | None, list[tuple]] = {}
+        latest: dict[str | None, int] = {}
+        for batch in rows:
+            for request, first, text, ends, at in zip(*(batch[c].tolist() for c in ("request", "first", "text", "ends", "at"))):
+                runs.setdefault(request, []).append((first, text, ends))
+                latest[request] = max(latest.get(request, 0), at)
+        known = self.clock.exists()
+        found, dues = [], []
+        for request, arrived in runs.items():
+            held, opened = self._held(request, known)
+            work = self._work(held)
+            before = work.progress.get()
+            rest = work.take(arrived, latest[request])
+            found += [(None if request is None else int(request), *row) for row in rest]
+            if work.progress.get() is not before:
+                self._keep(request, work, opened)
+                if not work.progress.get()[2]:
+                    dues += work.due.get()
+        self._sweep()
+        set_to = self.clock.get()[0] if known else 0
+        due = min(dues, default=0)
+        if due and (not set_to or due < set_to):
+            if set_to:
+                self.handle.deleteTimer(set_to)
+            self.handle.registerTimer(due)
+            self.clock.update((due,))
+        elif not known:
+            self.clock.update((0,))
+        if found:
+            yield _frame(found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        watermark, fired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        idle, first = {}, 0
+        for (request,), (next_seq, chars, due, early) in self.open.iterator():
+            if due < watermark or due <= fired:
+                idle[request] = (next_seq, chars, due, early)
+            else:
+                first = min(first or due, due)
+        waiting: dict[str | None, list[tuple]] = {request: [] for request, state in idle.items() if state[3]}
+        if waiting:
+            for (request, seq), delta in self.waiting.iterator():
+                if request in waiting:
+                    waiting[request].append(((seq,), delta))
+        found = []
+        for request, (next_seq, chars, due, early) in idle.items():
+            work = self._work(Held((next_seq, chars, False, False), due, HeldWaiting(self, request, early, waiting.get(request, []))))
+            found += [(None if request is None else int(request), *row) for row in work.evict()]
+            self._keep(request, work, True)
+        self._sweep()
+        if first:
+            self.handle.registerTimer(first)
+        self.clock.update((first,))
+        if found:
+            yield _frame(found)
 
     def close(self) -> None:
         pass
@@ -310,16 +553,18 @@ def assemble_stream(chunks: DataFrame, idle: str = IDLE, late: str = IDLE) -> Da
     contiguous text is given out; one that is sent again is dropped. A request that is idle for
     ``idle`` of event time is evicted, and what it still holds is given out then. A delta that comes
     after that is a row marked ``late``, with its own ``seq`` and text: a request never starts again.
-    The engine drops rows more than ``late`` behind the newest before they get here.
+    The engine drops rows more than ``late`` behind the newest before they get here; deltas that arrive in line within
+    a second are kept if one of them is.
     """
     idle_ms = int(pd.Timedelta(idle) / pd.Timedelta(milliseconds=1))
     # this state needs the store that has maps and timers
     chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return (
-        chunks.select("request_id", "seq", "delta", "ts")
+        arrived_runs(chunks)
         .withWatermark("ts", late)
-        .groupBy("request_id")
-        .transformWithStateInPandas(Assembly(idle_ms), ASSEMBLED, "append", "EventTime")
+        .withColumn("bucket", F.pmod(F.hash("request"), F.lit(BUCKETS)))
+        .groupBy("bucket")
+        .transformWithStateInPandas(Assemblies(idle_ms), ASSEMBLED, "append", "EventTime")
     )
 
 
